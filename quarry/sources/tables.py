@@ -43,7 +43,10 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem")
+    return deals_from(load(spark, sf_dir, "lineitem"))
+
+
+def deals_from(li: DataFrame) -> DataFrame:
     return li.select(
         F.col("l_orderkey").cast("string").alias("alert_id"),
         F.col("l_shipdate").cast("date").alias("deal_date"),
@@ -64,6 +67,7 @@ def deal_number_filter(deal_number: str) -> Column:
     ``deal_number`` is derived from ``l_orderkey``; a predicate on the derived
     text cannot reach the Parquet scan, the equivalent one on the key can.
     """
-    if deal_number.startswith("deal_") and deal_number[5:].isdigit():
-        return F.col("l_orderkey") == int(deal_number[5:])
+    key = deal_number[5:]
+    if deal_number.startswith("deal_") and key.isdigit() and str(int(key)) == key:
+        return F.col("l_orderkey") == int(key)
     return F.concat(F.lit("deal_"), F.col("l_orderkey").cast("string")) == deal_number
