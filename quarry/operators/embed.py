@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import l2_normalize
+from ..session import spread
 
 DEFAULT_DIM = 64
 
@@ -35,18 +35,24 @@ def token_bucket(tok, dim: int = DEFAULT_DIM):
 def hashed_embedding(df: DataFrame, id_col: str = "id", text_col: str = "text",
                      dim: int = DEFAULT_DIM, out_col: str = "embedding") -> DataFrame:
     """``(id, embedding array<double>)``, one row per input id (zero vector
-    for a text without tokens)."""
-    toks = df.select(F.col(id_col).alias("_id"),
-                     F.explode_outer(tokens(F.lower(F.col(text_col)))).alias("_t"))
-    counts = (toks.select("_id", F.when(F.col("_t").isNotNull(), token_bucket(F.col("_t"), dim))
-                          .alias("_b"))
-              .groupBy("_id", "_b").agg(F.count(F.lit(1)).alias("_n")))
-    per_id = counts.groupBy("_id").agg(
-        F.map_from_entries(F.collect_list(
-            F.when(F.col("_b").isNotNull(), F.struct("_b", "_n")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
-    return per_id.select(F.col("_id").alias(id_col), l2_normalize(dense).alias(out_col))
+    for a text without tokens).
+
+    Tokens are exploded and bucketed, then one hash aggregate per id keeps
+    ``dim`` counters (codegen, partial aggregation before the shuffle, so a
+    text contributes at most one row per task).  The norm and the scaled
+    vector are plain column arithmetic: no per-element lambdas.
+    """
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")))
+    toks = src.select("_id", F.explode_outer(tokens(F.lower(F.col("_x")))).alias("_t"))
+    bucketed = toks.select("_id", token_bucket(F.col("_t"), dim).alias("_b"))
+    counts = bucketed.groupBy("_id").agg(
+        F.array(*[F.count_if(F.col("_b") == i) for i in range(dim)]).alias("_cnt"))
+    cnt = F.col("_cnt").cast("array<double>")
+    norm = F.sqrt(F.aggregate(cnt, F.lit(0.0), lambda s, x: s + x * x))
+    # the norm is evaluated once per row (array_repeat), never per element
+    scaled = F.zip_with(cnt, F.array_repeat(norm, dim), lambda x, n: x / n)
+    vec = F.when(norm > 0, scaled).otherwise(cnt)
+    return counts.select(F.col("_id").alias(id_col), vec.alias(out_col))
 
 
 def embed_with_model(df: DataFrame, encode: Callable, dim: int, id_col: str = "id",

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import context, corpus, embed, knn, relational, toolcalls
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import derived, files, tables
 from ..streaming import conversations as streams
 
@@ -40,8 +40,14 @@ def query(name: str):
 
 # ------------------------------------------------------------------ inputs
 
+# Text tables feed regex-heavy per-row work: give each core a task even when
+# the table arrives as one file split (a no-op on a large table).
+_SPREAD = {"documents", "pages"}
+
+
 def _t(spark, sf, name):
-    return tables.load(spark, sf, name)
+    df = tables.load(spark, sf, name)
+    return spread(df) if name in _SPREAD else df
 
 
 def _alerts(spark, sf):
