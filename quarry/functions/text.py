@@ -37,7 +37,7 @@ def tokens(text) -> Column:
 def num_tokens(text) -> Column:
     """Token count; whitespace never forms a token, so counts add up when
     two texts are joined at white space."""
-    return F.coalesce(F.size(tokens(text)), F.lit(0))
+    return F.coalesce(F.regexp_count(_c(text), F.lit(TOKEN_PATTERN)), F.lit(0))
 
 
 def truncate_tokens(text, max_tokens) -> Column:

@@ -4,6 +4,7 @@ SQL statements with their errors captured as data."""
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,7 +126,8 @@ _READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 
 
 def sql_batch(spark: SparkSession, statements: DataFrame, id_col: str = "sql_id",
-              sql_col: str = "sql", max_statements: int = 10_000) -> DataFrame:
+              sql_col: str = "sql", max_statements: int = 10_000,
+              parallel: int = 4) -> DataFrame:
     """Run a table of SQL statements; ``(sql_id, ok, row_json, error)``.
 
     Each distinct statement runs once as its own distributed job and its
@@ -137,17 +139,15 @@ def sql_batch(spark: SparkSession, statements: DataFrame, id_col: str = "sql_id"
     of statement texts (not their results) comes to the driver, behind a
     size check.
     """
-    distinct = statements.select(sql_col).distinct()
-    n = distinct.count()
-    if n > max_statements:
-        raise ValueError(f"{n} distinct statements > {max_statements}")
-    texts = [r[0] for r in distinct.collect()]
-    frames = []
-    errors = []
-    for i, s in enumerate(texts):
+    # one bounded pass: never more than max_statements + 1 texts on the driver
+    texts = [r[0] for r in statements.select(sql_col).distinct().limit(max_statements + 1).collect()]
+    if len(texts) > max_statements:
+        raise ValueError(f"more than {max_statements} distinct statements")
+
+    def run_one(i_s):
+        i, s = i_s
         if s is None or not _READ_ONLY.match(s):
-            errors.append((s, "only SELECT or WITH statements are run"))
-            continue
+            return s, None, "only SELECT or WITH statements are run"
         path = scratch_path(spark, f"sql-{i}")
         try:
             res = spark.sql(s)
@@ -155,9 +155,15 @@ def sql_batch(spark: SparkSession, statements: DataFrame, id_col: str = "sql_id"
              .write.mode("overwrite").parquet(path))
         except Exception as e:  # analysis, parse and run-time errors alike
             msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-            errors.append((s, msg))
-            continue
-        frames.append(spark.read.parquet(path).select(F.lit(s).alias(sql_col), "row_json"))
+            return s, None, msg
+        return s, path, None
+
+    # statements are independent jobs: submit them from a few driver threads
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(texts)))) as pool:
+        done = list(pool.map(run_one, enumerate(texts)))
+    frames = [spark.read.parquet(p).select(F.lit(s).alias(sql_col), "row_json")
+              for s, p, err in done if p is not None]
+    errors = [(s, err) for s, p, err in done if p is None]
     ok_rows = None
     for f in frames:
         ok_rows = f if ok_rows is None else ok_rows.unionByName(f)
