@@ -69,3 +69,11 @@ def test_cosine_column_function(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<double>, b array<double>")
     vals = [r.c for r in df.select(V.cosine("a", "b").alias("c")).collect()]
     assert vals[0] is None and vals[1] == pytest.approx(1.0)
+
+
+def test_pluggable_similarity(spark):
+    q, c = frames(spark, [(1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 5.0])], [(0, [1.0, 1.0])])
+    neg_manhattan = lambda Q, Vm: -np.abs(Q[:, None, :] - Vm[None, :, :]).sum(axis=2)
+    rows = knn.nearest(q, c, 3, neg_manhattan).orderBy("rank").collect()
+    assert [r.id for r in rows] == [1, 2, 3]
+    assert rows[0].score == -1.0
