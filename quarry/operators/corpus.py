@@ -146,12 +146,12 @@ def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "marku
             lambda x: x["line"]), "\n").alias("text"))
     ws = Window.partitionBy(id_col).orderBy("sec_no").rowsBetween(Window.unboundedPreceding, 0)
     levels = list(range(2, max_level + 1))
-    for k in levels:
-        secs = secs.withColumn(
-            f"_a{k}",
-            F.last(F.when((F.col("lvl") > 0) & (F.col("lvl") <= k),
-                          F.struct(F.col("lvl").alias("l"), F.col("_title").alias("t"))),
-                   ignorenulls=True).over(ws))
+    # all ancestor columns in one select: one Window operator over one sort
+    secs = secs.select("*", *[
+        F.last(F.when((F.col("lvl") > 0) & (F.col("lvl") <= k),
+                      F.struct(F.col("lvl").alias("l"), F.col("_title").alias("t"))),
+               ignorenulls=True).over(ws).alias(f"_a{k}")
+        for k in levels])
     anc = F.array(*[F.when((F.col(f"_a{k}.l") == k) & (F.col("lvl") >= k), F.col(f"_a{k}.t"))
                     for k in levels])
     titles = F.concat(F.array(F.col(title_col)), F.filter(anc, lambda x: x.isNotNull()))

@@ -54,16 +54,41 @@ def route_tool_call(parsed: DataFrame, name_col: str = "name") -> DataFrame:
 
 def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SYSTEM_PROMPT,
                          key: str = "conv_id", order: str = "turn", role: str = "role",
-                         text: str = "text") -> DataFrame:
+                         text: str = "text", block_turns: int | None = None) -> DataFrame:
     """Messages visible at each turn: the system prompt, then every turn up to
     and including this one, in order.  ``(conv_id, turn, n_messages,
-    history)``.  One window per conversation with a growing frame."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    hist = F.collect_list(F.struct(F.col(role).alias("role"), F.col(text).alias("content"))).over(w)
+    history)``.
+
+    Without ``block_turns``: one window per conversation with a growing frame.
+    With ``block_turns = B``: turns are cut into blocks of ``B``; a turn's
+    history is the messages of all earlier blocks (one window over block
+    rows, ``n / B`` per conversation) followed by a running list inside its
+    own ``(conversation, block)`` partition.  A conversation holding a large
+    share of all turns is then spread over many tasks instead of one.  The
+    output itself is quadratic in a conversation's length by definition.
+    """
+    msg = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
+    if block_turns is None:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        hist = F.collect_list(msg).over(w)
+        base = conv.select(key, order, hist.alias("_h"))
+    else:
+        m = conv.select(key, order, msg.alias("_m"),
+                        F.floor(F.col(order) / F.lit(block_turns)).alias("_blk"))
+        w_in = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        inner = m.select(key, order, "_blk", F.collect_list("_m").over(w_in).alias("_in"))
+        blocks = m.groupBy(key, "_blk").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_m").alias("m")))),
+            lambda x: x["m"]).alias("_bm"))
+        w_b = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        prefix = blocks.select(key, "_blk", F.flatten(F.collect_list("_bm").over(w_b)).alias("_pre"))
+        base = inner.join(prefix, [key, "_blk"]).select(
+            key, order, F.concat(F.col("_pre"), F.col("_in")).alias("_h"))
+    hist = F.col("_h")
     if system_prompt is not None:
         sys_msg = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")))
         hist = F.concat(sys_msg, hist)
-    return conv.select(key, order, hist.alias("history")) \
+    return base.select(key, order, hist.alias("history")) \
         .select(key, order, F.size("history").alias("n_messages"), "history")
 
 

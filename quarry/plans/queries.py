@@ -26,6 +26,7 @@ CHUNK_TOKENS = 1600
 CATEGORY_ROOT = "root"
 CATEGORY_DEPTH = 2
 FILTER_DEAL = "deal_7"
+HISTORY_BLOCK = 4  # turns per history block (small here so the tables exercise several)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,7 +438,7 @@ def q_budget_prefix(spark, sf):
 
 @query("conversation_history")
 def q_conversation_history(spark, sf):
-    h = toolcalls.conversation_history(_t(spark, sf, "conversations"))
+    h = toolcalls.conversation_history(_t(spark, sf, "conversations"), block_turns=HISTORY_BLOCK)
     return h.select("conv_id", "turn", "n_messages", F.to_json("history").alias("history"))
 
 

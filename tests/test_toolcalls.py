@@ -36,3 +36,12 @@ def test_instructions_left_join(spark):
     got = {r.call_id: r.instructions for r in
            toolcalls.instructions_lookup(c, toolcalls.instructions_table(spark)).collect()}
     assert got["a"] is not None and got["b"] is None
+
+
+def test_blocked_history_equals_window_history(spark, sf_small):
+    from quarry.sources import tables
+    conv = tables.load(spark, sf_small, "conversations")
+    a = toolcalls.conversation_history(conv, "S").collect()
+    for b in (1, 3, 64):
+        got = toolcalls.conversation_history(conv, "S", block_turns=b).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, a))
