@@ -179,22 +179,23 @@ def section_string(titles, text) -> Column:
     return F.array_join(F.concat(T._c(titles), F.array(T._c(text))), SECTION_JOIN)
 
 
+def _part(t, n, done, trunc):
+    return F.struct(t.alias("t"), n.alias("n"), F.lit(done).alias("done"), F.lit(trunc).alias("trunc"))
+
+
 def _split_round(parts: Column, title_tokens: Column, max_tokens: int) -> Column:
+    """One halving round.  Each piece carries its token count ``n``; counts
+    add up at white-space joins, so only new halves are counted."""
     def step(p):
-        fits = (title_tokens + T.num_tokens(p["t"])) <= max_tokens
         branch = F.when(p["done"], F.array(p)).when(
-            fits, F.array(F.struct(p["t"].alias("t"), F.lit(True).alias("done"),
-                                   F.lit(False).alias("trunc"))))
+            title_tokens + p["n"] <= max_tokens, F.array(_part(p["t"], p["n"], True, False)))
         for d in RECURSIVE_DELIMITERS:
             left, right = T.halve(p["t"], d)
             branch = branch.when(
                 (left != "") & (right != ""),
-                F.array(F.struct(left.alias("t"), F.lit(False).alias("done"),
-                                 F.lit(False).alias("trunc")),
-                        F.struct(right.alias("t"), F.lit(False).alias("done"),
-                                 F.lit(False).alias("trunc"))))
-        return branch.otherwise(F.array(F.struct(p["t"].alias("t"), F.lit(True).alias("done"),
-                                                 F.lit(True).alias("trunc"))))
+                F.array(_part(left, T.num_tokens(left), False, False),
+                        _part(right, T.num_tokens(right), False, False)))
+        return branch.otherwise(F.array(_part(p["t"], p["n"], True, True)))
     return F.flatten(F.transform(parts, step))
 
 
@@ -205,20 +206,27 @@ def chunk_recursive(sections: DataFrame, max_tokens: int = 1600,
     ``max_tokens``: at most ``max_recursion`` halvings per branch, trying the
     delimiters ``\\n\\n``, ``\\n``, ``". "`` in turn; a piece without a usable
     delimiter, or still too long after the last halving, is truncated.  Every
-    piece repeats the titles.  ``(keys..., piece_no, text, n_tokens)``."""
+    piece repeats the titles.  ``(keys..., piece_no, text, n_tokens)``.
+
+    All rounds run inside the row (no shuffle).  The text is counted once;
+    a split counts only its two halves, and the output count follows from
+    the carried counts (a truncated piece has exactly ``max_tokens``).
+    """
     titles_str = F.array_join(F.col(titles_col), SECTION_JOIN)
-    tt = T.num_tokens(titles_str)
-    parts = F.array(F.struct(F.col(text_col).alias("t"), F.lit(False).alias("done"),
-                             F.lit(False).alias("trunc")))
-    df = sections.select(*keys, titles_col, parts.alias("_p"), tt.alias("_tt"))
+    df = sections.select(*keys, titles_col, T.num_tokens(titles_str).alias("_tt"),
+                         T.num_tokens(F.col(text_col)).alias("_n0"), F.col(text_col).alias("_t0"))
+    df = df.select(*keys, titles_col, "_tt",
+                   F.array(_part(F.col("_t0"), F.col("_n0"), False, False)).alias("_p"))
     for _ in range(max_recursion):
         df = df.withColumn("_p", _split_round(F.col("_p"), F.col("_tt"), max_tokens))
     out = df.select(*keys, titles_col, "_tt", F.posexplode("_p").alias("piece_no", "_x"))
     full = section_string(F.col(titles_col), F.col("_x.t"))
-    over = (F.col("_tt") + T.num_tokens(F.col("_x.t"))) > max_tokens
-    text = F.when(F.col("_x.trunc") | over, T.truncate_tokens(full, max_tokens)).otherwise(full)
-    return (out.select(*keys, "piece_no", text.alias("text"))
-            .withColumn("n_tokens", T.num_tokens(F.col("text"))))
+    total = F.col("_tt") + F.col("_x.n")
+    cut = F.col("_x.trunc") | (total > max_tokens)
+    return out.select(*keys, "piece_no",
+                      F.when(cut, T.truncate_tokens(full, max_tokens)).otherwise(full).alias("text"),
+                      F.when(cut, F.least(total, F.lit(max_tokens))).otherwise(total)
+                      .cast("int").alias("n_tokens"))
 
 
 # --------------------------------------------------------------------------
