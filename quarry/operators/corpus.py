@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 # Fixed values (markup rules of the corpus).
 BLOCK_PATTERN = r"(?is)<(?:h1|p|li)\b[^>]*>.*?</(?:h1|p|li)>"
@@ -232,13 +233,16 @@ def chunk_recursive(sections: DataFrame, max_tokens: int = 1600,
 # --------------------------------------------------------------------------
 # Category tree
 
-def category_pages(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
+def category_pages(edges: DataFrame, root: str, max_depth: int,
+                   checkpoint_every: int = 3) -> DataFrame:
     """Distinct page titles under ``root``: pages directly under a category
     are taken, subcategories are descended while depth remains.  The depth
     bound also ends cycles.  ``(title)``.
 
-    One join per level between the distinct frontier and the edge table;
-    each frontier is de-duplicated so shared subcategories are walked once.
+    One semi-join per level between the distinct frontier and the edge
+    table; each frontier is de-duplicated so shared subcategories are walked
+    once.  Every ``checkpoint_every`` levels the frontier is checkpointed to
+    the shared folder, so the plan does not grow with the depth.
     """
     spark = edges.sparkSession
     e = edges.select("parent", "child", "kind")
@@ -250,6 +254,8 @@ def category_pages(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
         if depth < max_depth:
             frontier = (members.where(F.col("kind") == "category")
                         .select(F.col("child").alias("cat")).distinct())
+            if checkpoint_every and (depth + 1) % checkpoint_every == 0:
+                frontier = cut_lineage(frontier)
     out = pages[0]
     for p in pages[1:]:
         out = out.unionByName(p)

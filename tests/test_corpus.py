@@ -72,3 +72,11 @@ def test_category_descent_depth_and_cycle(spark):
     assert got(0) == ["p0"]
     assert got(1) == ["p0", "p1"]
     assert got(5) == ["p0", "p1", "p2"]
+
+
+def test_category_descent_with_frontier_checkpoints(spark):
+    edges = spark.createDataFrame(
+        [(f"c{i}", f"c{i + 1}", "category") for i in range(6)] + [(f"c{i}", f"p{i}", "page") for i in range(7)],
+        "parent string, child string, kind string")
+    got = sorted(r.title for r in corpus.category_pages(edges, "c0", 6, checkpoint_every=2).collect())
+    assert got == [f"p{i}" for i in range(7)]
