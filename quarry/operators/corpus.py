@@ -180,24 +180,41 @@ def section_string(titles, text) -> Column:
     return F.array_join(F.concat(T._c(titles), F.array(T._c(text))), SECTION_JOIN)
 
 
-def _part(t, n, done, trunc):
-    return F.struct(t.alias("t"), n.alias("n"), F.lit(done).alias("done"), F.lit(trunc).alias("trunc"))
-
-
-def _split_round(parts: Column, title_tokens: Column, max_tokens: int) -> Column:
-    """One halving round.  Each piece carries its token count ``n``; counts
-    add up at white-space joins, so only new halves are counted."""
-    def step(p):
-        branch = F.when(p["done"], F.array(p)).when(
-            title_tokens + p["n"] <= max_tokens, F.array(_part(p["t"], p["n"], True, False)))
-        for d in RECURSIVE_DELIMITERS:
-            left, right = T.halve(p["t"], d)
-            branch = branch.when(
-                (left != "") & (right != ""),
-                F.array(_part(left, T.num_tokens(left), False, False),
-                        _part(right, T.num_tokens(right), False, False)))
-        return branch.otherwise(F.array(_part(p["t"], p["n"], True, True)))
-    return F.flatten(F.transform(parts, step))
+def _sql_count(x: str) -> str:
+    return f"coalesce(regexp_count({x}, r'{T.TOKEN_PATTERN}'), 0)"
+
+
+def _sql_halves(t: str, delim: str):
+    """SQL text of ``functions.text.halve`` (same rule) for one delimiter."""
+    d = " || ".join(f"char({ord(ch)})" for ch in delim)
+    d = f"({d})" if len(delim) > 1 else d
+    mid = f"CAST(floor(char_length({t}) / 2) AS INT)"
+    after = f"locate({d}, {t}, {mid} + 1)"
+    pos = f"(CASE WHEN {after} > 0 THEN {after} ELSE locate({d}, {t}, 1) END)"
+    left = f"(CASE WHEN {pos} > 0 THEN substr({t}, 1, {pos} - 1) ELSE {t} END)"
+    right = f"(CASE WHEN {pos} > 0 THEN substr({t}, {pos} + {len(delim)}) ELSE '' END)"
+    return left, right
+
+
+def _sql_part(t: str, n: str, done: bool, trunc: bool) -> str:
+    return (f"named_struct('t', {t}, 'n', {n}, 'done', {str(done).lower()}, "
+            f"'trunc', {str(trunc).lower()})")
+
+
+def _split_round_sql(parts: str, title_tokens: str, max_tokens: int) -> str:
+    """One halving round as a SQL lambda (built once, parsed by Spark: the
+    same rule as before without thousands of driver round trips).  Each
+    piece carries its token count ``n``; counts add up at white-space joins,
+    so only new halves are counted."""
+    case = [f"WHEN p.done THEN array(p)",
+            f"WHEN {title_tokens} + p.n <= {int(max_tokens)} THEN array({_sql_part('p.t', 'p.n', True, False)})"]
+    for d in RECURSIVE_DELIMITERS:
+        left, right = _sql_halves("p.t", d)
+        case.append(f"WHEN {left} != '' AND {right} != '' THEN array("
+                    f"{_sql_part(left, _sql_count(left), False, False)}, "
+                    f"{_sql_part(right, _sql_count(right), False, False)})")
+    case.append(f"ELSE array({_sql_part('p.t', 'p.n', True, True)})")
+    return f"flatten(transform({parts}, p -> CASE {' '.join(case)} END))"
 
 
 def chunk_recursive(sections: DataFrame, max_tokens: int = 1600,
@@ -217,9 +234,10 @@ def chunk_recursive(sections: DataFrame, max_tokens: int = 1600,
     df = sections.select(*keys, titles_col, T.num_tokens(titles_str).alias("_tt"),
                          T.num_tokens(F.col(text_col)).alias("_n0"), F.col(text_col).alias("_t0"))
     df = df.select(*keys, titles_col, "_tt",
-                   F.array(_part(F.col("_t0"), F.col("_n0"), False, False)).alias("_p"))
+                   F.expr(f"array({_sql_part('_t0', '_n0', False, False)})").alias("_p"))
+    one_round = F.expr(_split_round_sql("_p", "_tt", max_tokens))
     for _ in range(max_recursion):
-        df = df.withColumn("_p", _split_round(F.col("_p"), F.col("_tt"), max_tokens))
+        df = df.withColumn("_p", one_round)
     out = df.select(*keys, titles_col, "_tt", F.posexplode("_p").alias("piece_no", "_x"))
     full = section_string(F.col(titles_col), F.col("_x.t"))
     total = F.col("_tt") + F.col("_x.n")

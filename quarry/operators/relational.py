@@ -3,6 +3,7 @@ SQL statements with their errors captured as data."""
 
 from __future__ import annotations
 
+import logging
 import re
 from concurrent.futures import ThreadPoolExecutor
 
@@ -125,19 +126,24 @@ def schema_text(info: DataFrame) -> DataFrame:
 _READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 
 
-def sql_batch(spark: SparkSession, statements: DataFrame, id_col: str = "sql_id",
-              sql_col: str = "sql", max_statements: int = 10_000,
-              parallel: int = 4) -> DataFrame:
-    """Run a table of SQL statements; ``(sql_id, ok, row_json, error)``.
-
-    Each distinct statement runs once as its own distributed job and its
-    whole result is written to the shared checkpoint folder (so a run-time
-    error surfaces inside the ``try`` and the result survives executor
-    loss); results are read back and joined to every id that asked for the
-    statement.  A failing statement yields one row with ``ok = false`` and
-    the error text.  Only ``SELECT``/``WITH`` statements are run.  The list
-    of statement texts (not their results) comes to the driver, behind a
-    size check.
+def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
+              max_statements: int = 10_000, parallel: int = 4) -> DataFrame:
+    """Run a table of SQL statements; ``(sql, ok, row_json, error)`` per
+    distinct statement.
+
+    Each distinct statement runs once as its own distributed job; its whole
+    result is written to the shared checkpoint folder, so a run-time error
+    surfaces inside the ``try`` and the result survives executor loss.  A
+    successful statement contributes one row per result row (``ok = true``),
+    or one row with a null ``row_json`` when its result is empty; a failing
+    one contributes one row with ``ok = false`` and the error text.  Only
+    ``SELECT``/``WITH`` statements are run.
+
+    Only the statement texts come to the driver (at most ``max_statements``),
+    never their results; results are read back from storage and are not
+    joined on the statement text, so a statement with a huge result is not a
+    hot join key.  Callers that need per-request rows join their own ids to
+    the (small) statement status.
     """
     # one bounded pass: never more than max_statements + 1 texts on the driver
     texts = [r[0] for r in statements.select(sql_col).distinct().limit(max_statements + 1).collect()]
@@ -147,7 +153,7 @@ def sql_batch(spark: SparkSession, statements: DataFrame, id_col: str = "sql_id"
     def run_one(i_s):
         i, s = i_s
         if s is None or not _READ_ONLY.match(s):
-            return s, None, "only SELECT or WITH statements are run"
+            return s, None, 0, "only SELECT or WITH statements are run"
         path = scratch_path(spark, f"sql-{i}")
         try:
             res = spark.sql(s)
@@ -155,24 +161,25 @@ def sql_batch(spark: SparkSession, statements: DataFrame, id_col: str = "sql_id"
              .write.mode("overwrite").parquet(path))
         except Exception as e:  # analysis, parse and run-time errors alike
             msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-            return s, None, msg
-        return s, path, None
-
-    # statements are independent jobs: submit them from a few driver threads
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(texts)))) as pool:
-        done = list(pool.map(run_one, enumerate(texts)))
-    frames = [spark.read.parquet(p).select(F.lit(s).alias(sql_col), "row_json")
-              for s, p, err in done if p is not None]
-    errors = [(s, err) for s, p, err in done if p is None]
-    ok_rows = None
-    for f in frames:
-        ok_rows = f if ok_rows is None else ok_rows.unionByName(f)
-    if ok_rows is None:
-        ok_rows = spark.createDataFrame([], f"{sql_col} string, row_json string")
-    ok_rows = ok_rows.select(sql_col, F.lit(True).alias("ok"), "row_json",
-                             F.lit(None).cast("string").alias("error"))
-    err = spark.createDataFrame(errors, f"{sql_col} string, error string").select(
-        sql_col, F.lit(False).alias("ok"), F.lit(None).cast("string").alias("row_json"), "error")
-    results = ok_rows.unionByName(err)
-    return statements.select(id_col, sql_col).join(results, sql_col, "left") \
-        .select(id_col, sql_col, F.coalesce("ok", F.lit(False)).alias("ok"), "row_json", "error")
+            return s, None, 0, msg
+        return s, path, spark.read.parquet(path).count(), None  # count from file metadata
+
+    # statements are independent jobs: submit them from a few driver threads;
+    # their failures are data here, so the client-side error log is quieted
+    ctx_log = logging.getLogger("SQLQueryContextLogger")
+    level = ctx_log.level
+    ctx_log.setLevel(logging.CRITICAL)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(texts)))) as pool:
+            done = list(pool.map(run_one, enumerate(texts)))
+    finally:
+        ctx_log.setLevel(level)
+    out = spark.createDataFrame(
+        [(s, p is not None, None, err) for s, p, n, err in done if p is None or n == 0],
+        f"{sql_col} string, ok boolean, row_json string, error string")
+    for s, p, n, err in done:
+        if p is not None and n > 0:
+            out = out.unionByName(spark.read.parquet(p).select(
+                F.lit(s).alias(sql_col), F.lit(True).alias("ok"), "row_json",
+                F.lit(None).cast("string").alias("error")))
+    return out

@@ -126,8 +126,8 @@ def sql_tool_answer(spark: SparkSession, routed: DataFrame) -> tuple[DataFrame,
     """
     calls = routed.where(F.col("route") == "sql").select("conv_id", "turn", "call_id",
                                                         F.col("reply").alias("sql"))
-    stmts = calls.select(F.col("sql").alias("sql_id"), "sql").distinct()
-    res = relational.sql_batch(spark, stmts, id_col="sql_id", sql_col="sql")
+    res = relational.sql_batch(spark, calls, sql_col="sql")
+    # one small status row per distinct statement, joined back to every call
     per = res.groupBy("sql").agg(
         F.bool_and("ok").alias("ok"), F.count("row_json").alias("n_rows"),
         F.max("error").alias("error"))

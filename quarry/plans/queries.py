@@ -555,8 +555,7 @@ def q_rstrip_question(spark, sf):
 @query("sql_batch")
 def q_sql_batch(spark, sf):
     tables.register_alert_views(spark, sf)
-    stmts = _routed(spark, sf).where(F.col("route") == "sql").select(
-        F.col("reply").alias("sql")).distinct().select(F.col("sql").alias("sql_id"), "sql")
+    stmts = _routed(spark, sf).where(F.col("route") == "sql").select(F.col("reply").alias("sql"))
     res = relational.sql_batch(spark, stmts)
     return res.select("sql", "ok", "row_json")
 

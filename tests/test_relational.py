@@ -4,19 +4,19 @@ from quarry.sources import files, tables
 
 def test_sql_batch_errors_are_rows(spark, sf_small):
     tables.register_alert_views(spark, sf_small)
-    stmts = spark.createDataFrame(
-        [(1, "SELECT model_name, COUNT(alert_id) AS n FROM alerts_table GROUP BY model_name"),
-         (2, "select nope from alerts_table"),
-         (3, "SELECT 1 / 0 AS boom"),
-         (4, "DROP TABLE alerts_table")], "sql_id long, sql string")
-    res = relational.sql_batch(spark, stmts).collect()
+    texts = ["SELECT model_name, COUNT(alert_id) AS n FROM alerts_table GROUP BY model_name",
+             "select nope from alerts_table", "SELECT 1 / 0 AS boom", "DROP TABLE alerts_table",
+             "SELECT alert_id FROM alerts_table WHERE alert_id = 'none'"]
+    stmts = spark.createDataFrame([(t,) for t in texts + texts[:1]], "sql string")
     by = {}
-    for r in res:
-        by.setdefault(r.sql_id, []).append(r)
-    assert all(r.ok for r in by[1]) and len(by[1]) == 5
-    for k in (2, 3, 4):
-        assert len(by[k]) == 1 and not by[k][0].ok and by[k][0].error
-    assert "nope" in by[2][0].error
+    for r in relational.sql_batch(spark, stmts).collect():
+        by.setdefault(r.sql, []).append(r)
+    assert all(r.ok for r in by[texts[0]]) and len(by[texts[0]]) == 5
+    for t in texts[1:4]:
+        assert len(by[t]) == 1 and not by[t][0].ok and by[t][0].error
+    assert "nope" in by[texts[1]][0].error
+    empty = by[texts[4]]
+    assert len(empty) == 1 and empty[0].ok and empty[0].row_json is None
 
 
 def test_catalog(spark, sf_small):
