@@ -124,40 +124,56 @@ def section_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "ma
     return docs.select(id_col, F.array(F.col(title_col)).alias("titles"), summary.alias("text"))
 
 
+def _raw_sql(x: str) -> str:
+    """A raw Spark SQL string literal (backslashes kept as they are)."""
+    if "'" in x:
+        raise ValueError("pattern must not hold a single quote")
+    return "r'" + x + "'"
+
+
 def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "markup",
                  title_col: str = "title", max_level: int = 6) -> DataFrame:
     """Flatten nested sections to ``(doc_id, sec_no, level, titles, text)``.
 
-    Section 0 is the summary (level 1, titles ``[page title]``).  A heading's
-    own text runs to the next heading of any level.  Its title path holds, for
-    each level ``k`` up to its own, the last heading at level ``<= k`` when
-    that heading is at level exactly ``k``; a skipped level therefore keeps the
-    section under its nearest shallower heading.
+    Section 0 is the summary (level 1, titles ``[page title]``), present when
+    text precedes the first heading.  A heading's own text runs to the next
+    heading of any level.  Its title path holds, for each level ``k`` up to
+    its own, the last heading at level ``<= k`` when that heading is at level
+    exactly ``k``; a skipped level therefore keeps the section under its
+    nearest shallower heading.
+
+    Every document is one row, so all of it is computed inside the row with
+    array functions: no shuffle of the text, no window.
     """
-    lines = (docs.select(id_col, title_col,
-                         F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-             .withColumn("lvl", heading_level("line")))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("sec_no", F.sum((F.col("lvl") > 0).cast("int")).over(w))
-    secs = lines.groupBy(id_col, title_col, "sec_no").agg(
-        F.max("lvl").alias("lvl"),
-        F.max(F.when(F.col("lvl") > 0, T.strip_heading(F.col("line")))).alias("_title"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("lvl") == 0, F.struct("pos", "line")))),
-            lambda x: x["line"]), "\n").alias("text"))
-    ws = Window.partitionBy(id_col).orderBy("sec_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = _raw_sql(HEADING_LINE_PATTERN)
+    ls, lv, hp = "_ls", "_lv", "_hp"
     levels = list(range(2, max_level + 1))
-    # all ancestor columns in one select: one Window operator over one sort
-    secs = secs.select("*", *[
-        F.last(F.when((F.col("lvl") > 0) & (F.col("lvl") <= k),
-                      F.struct(F.col("lvl").alias("l"), F.col("_title").alias("t"))),
-               ignorenulls=True).over(ws).alias(f"_a{k}")
-        for k in levels])
-    anc = F.array(*[F.when((F.col(f"_a{k}.l") == k) & (F.col("lvl") >= k), F.col(f"_a{k}.t"))
-                    for k in levels])
-    titles = F.concat(F.array(F.col(title_col)), F.filter(anc, lambda x: x.isNotNull()))
-    return secs.select(id_col, "sec_no", F.when(F.col("lvl") == 0, 1).otherwise(F.col("lvl"))
-                       .alias("level"), titles.alias("titles"), "text")
+    anc = ", ".join(
+        f"CASE WHEN lvl >= {j} AND {lv}[{hp}[_a{j}]] = {j} THEN trim(BOTH '= ' FROM {ls}[{hp}[_a{j}]]) END"
+        for j in levels)
+    # ancestors of the heading at index k of _hp: last index m <= k with level <= j
+    anc_idx = ", ".join(
+        f"'_a{j}', array_max(filter(sequence(0, k), m -> {lv}[{hp}[m]] <= {j}))" for j in levels)
+    heads = f"""transform({hp}, (h, k) -> named_struct(
+        'sec_no', k + 1, 'lvl', {lv}[h],
+        'text', array_join(slice({ls}, h + 2,
+                 (CASE WHEN k + 1 < size({hp}) THEN {hp}[k + 1] ELSE size({ls}) END) - h - 1), chr(10)),
+        {anc_idx}))"""
+    summary = f"""CASE WHEN size({hp}) = 0 OR {hp}[0] > 0 THEN array(named_struct(
+        'sec_no', 0, 'lvl', 0,
+        'text', array_join(slice({ls}, 1, CASE WHEN size({hp}) = 0 THEN size({ls}) ELSE {hp}[0] END), chr(10)),
+        {", ".join(f"'_a{j}', CAST(NULL AS INT)" for j in levels)})) ELSE array() END"""
+    base = docs.select(F.col(id_col), F.col(title_col), F.split(F.col(text_col), "\n", -1).alias(ls))
+    base = base.withColumn(lv, F.expr(
+        f"transform({ls}, l -> CASE WHEN l RLIKE {head} THEN length(regexp_extract(l, '^(=+)', 1)) ELSE 0 END)"))
+    base = base.withColumn(hp, F.expr(f"filter(sequence(0, size({ls}) - 1), i -> {lv}[i] > 0)"))
+    secs = base.select(id_col, title_col, ls, lv, hp,
+                       F.explode(F.expr(f"concat({summary}, {heads})")).alias("s"))
+    titles = F.expr(f"""concat(array({title_col}), filter(array({anc.replace('_a', 's._a').replace('lvl', 's.lvl')}),
+                        x -> x IS NOT NULL))""")
+    return secs.select(id_col, F.col("s.sec_no").cast("long").alias("sec_no"),
+                       F.when(F.col("s.lvl") == 0, 1).otherwise(F.col("s.lvl")).alias("level"),
+                       titles.alias("titles"), F.col("s.text").alias("text"))
 
 
 def ignore_sections(sections: DataFrame, ignore=SECTIONS_TO_IGNORE,
