@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import spread
 
 DEFAULT_DIM = 64
 
@@ -42,17 +41,18 @@ def hashed_embedding(df: DataFrame, id_col: str = "id", text_col: str = "text",
     text contributes at most one row per task).  The norm and the scaled
     vector are plain column arithmetic: no per-element lambdas.
     """
-    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")))
+    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x"))
     toks = src.select("_id", F.explode_outer(tokens(F.lower(F.col("_x")))).alias("_t"))
     bucketed = toks.select("_id", token_bucket(F.col("_t"), dim).alias("_b"))
-    counts = bucketed.groupBy("_id").agg(
-        F.array(*[F.count_if(F.col("_b") == i) for i in range(dim)]).alias("_cnt"))
-    cnt = F.col("_cnt").cast("array<double>")
-    norm = F.sqrt(F.aggregate(cnt, F.lit(0.0), lambda s, x: s + x * x))
+    # built as SQL text once: one driver round trip instead of one per counter
+    counters = ", ".join(f"count_if(_b = {i})" for i in range(dim))
+    counts = bucketed.groupBy("_id").agg(F.expr(f"array({counters})").alias("_cnt"))
     # the norm is evaluated once per row (array_repeat), never per element
-    scaled = F.zip_with(cnt, F.array_repeat(norm, dim), lambda x, n: x / n)
-    vec = F.when(norm > 0, scaled).otherwise(cnt)
-    return counts.select(F.col("_id").alias(id_col), vec.alias(out_col))
+    vec = F.expr(f"""CASE WHEN _nrm > 0 THEN zip_with(_c, array_repeat(_nrm, {dim}), (x, n) -> x / n)
+                     ELSE _c END""")
+    return (counts.select("_id", F.col("_cnt").cast("array<double>").alias("_c"))
+            .select("_id", "_c", F.expr("sqrt(aggregate(_c, 0D, (s, x) -> s + x * x))").alias("_nrm"))
+            .select(F.col("_id").alias(id_col), vec.alias(out_col)))
 
 
 def embed_with_model(df: DataFrame, encode: Callable, dim: int, id_col: str = "id",

@@ -75,8 +75,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give per-row heavy work (text, vectors) at least one task per core.
 
-    A large table already arrives in many file splits and is left alone; a
-    single small file would otherwise run on one core.
+    Call it on a freshly loaded table (a plain scan): counting its splits
+    runs nothing.  A large table already arrives in many file splits and is
+    left alone; a single small file would otherwise run on one core.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism

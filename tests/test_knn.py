@@ -79,12 +79,11 @@ def test_pluggable_similarity(spark):
     assert rows[0].score == -1.0
 
 
-def test_two_level_reduction_on_wide_scan(spark, monkeypatch):
+def test_candidate_bounds_keep_results(spark):
     rng = np.random.default_rng(11)
     corpus = [(i, rng.normal(size=4).tolist()) for i in range(400)]
     q, c = frames(spark, corpus, [(0, corpus[3][1]), (1, corpus[7][1])])
     c = c.repartition(40)
     want = sorted(knn.nearest(q, c, 5).select("qid", "rank", "id").collect())
-    monkeypatch.setattr(knn, "TWO_LEVEL_FAN_IN", 4)
-    got = sorted(knn.nearest(q, c, 5).select("qid", "rank", "id").collect())
+    got = sorted(knn.nearest(q, c, 5, per_query_candidates=15).select("qid", "rank", "id").collect())
     assert got == want
