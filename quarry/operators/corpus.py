@@ -192,6 +192,25 @@ def clean_and_keep(sections: DataFrame, text_col: str = "text",
             .where(T.keep_section(F.col(text_col), min_chars)))
 
 
+def section_counts(tree: DataFrame, max_tokens: int = 1600, ignore=SECTIONS_TO_IGNORE,
+                   min_chars: int = T.MIN_SECTION_CHARS) -> DataFrame:
+    """One pass over a section tree: ``(n_sections, n_kept, n_strings)`` -
+    sections found, sections left after the ignore list, cleaning and the
+    length filter, and the strings recursive chunking makes of them."""
+    lst = F.array(*[F.lit(x) for x in dict.fromkeys(ignore)])
+    ignored = F.coalesce(F.exists(F.slice(F.col("titles"), 2, 1 << 20),
+                                  lambda t: F.array_contains(lst, t)), F.lit(False))
+    flagged = tree.select("doc_id", "sec_no", "titles", T.clean_refs(F.col("text")).alias("text"),
+                          ignored.alias("_ign"))
+    flagged = flagged.withColumn("_kept", ~F.col("_ign") & T.keep_section(F.col("text"), min_chars))
+    # chunk only kept sections; others carry an empty text and are not counted
+    parts = chunk_parts(flagged.withColumn("text", F.when(F.col("_kept"), F.col("text")).otherwise(F.lit(""))),
+                        max_tokens, keep=("_kept",))
+    return parts.agg(F.count(F.lit(1)).alias("n_sections"),
+                     F.count_if(F.col("_kept")).alias("n_kept"),
+                     F.sum(F.when(F.col("_kept"), F.size("_p")).otherwise(0)).cast("long").alias("n_strings"))
+
+
 def section_string(titles, text) -> Column:
     return F.array_join(F.concat(T._c(titles), F.array(T._c(text))), SECTION_JOIN)
 
@@ -246,14 +265,7 @@ def chunk_recursive(sections: DataFrame, max_tokens: int = 1600,
     a split counts only its two halves, and the output count follows from
     the carried counts (a truncated piece has exactly ``max_tokens``).
     """
-    titles_str = F.array_join(F.col(titles_col), SECTION_JOIN)
-    df = sections.select(*keys, titles_col, T.num_tokens(titles_str).alias("_tt"),
-                         T.num_tokens(F.col(text_col)).alias("_n0"), F.col(text_col).alias("_t0"))
-    df = df.select(*keys, titles_col, "_tt",
-                   F.expr(f"array({_sql_part('_t0', '_n0', False, False)})").alias("_p"))
-    one_round = F.expr(_split_round_sql("_p", "_tt", max_tokens))
-    for _ in range(max_recursion):
-        df = df.withColumn("_p", one_round)
+    df = chunk_parts(sections, max_tokens, max_recursion, titles_col, text_col, keys)
     out = df.select(*keys, titles_col, "_tt", F.posexplode("_p").alias("piece_no", "_x"))
     full = section_string(F.col(titles_col), F.col("_x.t"))
     total = F.col("_tt") + F.col("_x.n")
@@ -264,6 +276,23 @@ def chunk_recursive(sections: DataFrame, max_tokens: int = 1600,
                       .cast("int").alias("n_tokens"))
 
 
+def chunk_parts(sections: DataFrame, max_tokens: int = 1600, max_recursion: int = MAX_RECURSION,
+                titles_col: str = "titles", text_col: str = "text",
+                keys=("doc_id", "sec_no"), keep=()) -> DataFrame:
+    """The halving rounds of :func:`chunk_recursive` without the explode:
+    ``(keys..., titles, _tt, _p)`` where ``_p`` is the ordered array of
+    pieces ``struct<t, n, done, trunc>`` (``size(_p)`` pieces per section)."""
+    titles_str = F.array_join(F.col(titles_col), SECTION_JOIN)
+    df = sections.select(*keys, *keep, titles_col, T.num_tokens(titles_str).alias("_tt"),
+                         T.num_tokens(F.col(text_col)).alias("_n0"), F.col(text_col).alias("_t0"))
+    df = df.select(*keys, *keep, titles_col, "_tt",
+                   F.expr(f"array({_sql_part('_t0', '_n0', False, False)})").alias("_p"))
+    one_round = F.expr(_split_round_sql("_p", "_tt", max_tokens))
+    for _ in range(max_recursion):
+        df = df.withColumn("_p", one_round)
+    return df
+
+
 # --------------------------------------------------------------------------
 # Category tree
 

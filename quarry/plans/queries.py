@@ -397,20 +397,13 @@ def q_chunk_fixed(spark, sf):
 @query("pipeline_counts")
 def q_pipeline_counts(spark, sf):
     titles = corpus.category_pages(_edges(spark, sf), CATEGORY_ROOT, CATEGORY_DEPTH)
-    tree = _tree(spark, sf)
-    kept = _prepared_sections(spark, sf)
-    strings = corpus.chunk_recursive(kept, CHUNK_TOKENS)
-    return _metrics([("n_titles", titles), ("n_sections", tree), ("n_kept", kept),
-                     ("n_strings", strings)])
-
-
-def _metrics(named):
-    """One ``(metric, value)`` row per counted frame, stacked with unions."""
-    out = None
-    for name, df in named:
-        row = df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value")
-        out = row if out is None else out.unionByName(row)
-    return out
+    n_titles = titles.agg(F.count(F.lit(1)).alias("n_titles"))
+    # sections found, kept and chunked: one pass over the section tree
+    counts = corpus.section_counts(_tree(spark, sf), CHUNK_TOKENS)
+    stacked = counts.select(F.expr("stack(3, 'n_sections', n_sections, 'n_kept', n_kept, "
+                                   "'n_strings', n_strings) AS (metric, value)"))
+    return n_titles.select(F.lit("n_titles").alias("metric"), F.col("n_titles").alias("value")) \
+        .unionByName(stacked)
 
 
 @query("result_text")
@@ -444,11 +437,15 @@ def q_conversation_history(spark, sf):
 
 @query("order_check")
 def q_order_check(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id")
-    out = _doc_emb(spark, sf).select("doc_id")
-    return _metrics([("n_in", docs), ("n_out", out),
-                     ("n_missing", docs.join(out, "doc_id", "left_anti")),
-                     ("n_extra", out.join(docs, "doc_id", "left_anti"))])
+    """Every input id has exactly one output vector: one full outer join."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.lit(True).alias("_in"))
+    out = _doc_emb(spark, sf).select("doc_id", F.lit(True).alias("_out"))
+    j = docs.join(out, "doc_id", "full_outer")
+    counts = j.agg(F.count_if(F.col("_in")).alias("n_in"), F.count_if(F.col("_out")).alias("n_out"),
+                   F.count_if(F.col("_out").isNull()).alias("n_missing"),
+                   F.count_if(F.col("_in").isNull()).alias("n_extra"))
+    return counts.select(F.expr("stack(4, 'n_in', n_in, 'n_out', n_out, 'n_missing', n_missing, "
+                                "'n_extra', n_extra) AS (metric, value)"))
 
 
 # ------------------------------------------------------------------ F. sort / top-k / sets
