@@ -87,3 +87,20 @@ def test_candidate_bounds_keep_results(spark):
     want = sorted(knn.nearest(q, c, 5).select("qid", "rank", "id").collect())
     got = sorted(knn.nearest(q, c, 5, per_query_candidates=15).select("qid", "rank", "id").collect())
     assert got == want
+
+
+def test_score_stats_blocked_path_agrees(spark):
+    rng = np.random.default_rng(2)
+    corpus = [(i, rng.normal(size=5).tolist()) for i in range(120)] + [(999, [0.0] * 5)]
+    queries = [(i, rng.normal(size=5).tolist()) for i in range(9)]
+    q, c = frames(spark, corpus, queries)
+    a = sorted(knn.score_stats(q, c).collect())
+    b = sorted(knn.score_stats(q, c, broadcast_limit_bytes=0, query_block_rows=4).collect())
+    assert a == b and all(r.n_scored == 120 for r in a)
+
+
+def test_blocked_path_with_empty_slices(spark):
+    q, c = frames(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], [(i, [1.0, float(i)]) for i in range(5)])
+    a = sorted(knn.nearest(q, c, 1).select("qid", "id").collect())
+    b = sorted(knn.nearest(q, c, 1, broadcast_limit_bytes=0, query_block_rows=2).select("qid", "id").collect())
+    assert a == b and len(a) == 5
