@@ -297,15 +297,17 @@ def chunk_parts(sections: DataFrame, max_tokens: int = 1600, max_recursion: int
 # Category tree
 
 def category_pages(edges: DataFrame, root: str, max_depth: int,
-                   checkpoint_every: int = 3) -> DataFrame:
+                   checkpoint_every: int = 1) -> DataFrame:
     """Distinct page titles under ``root``: pages directly under a category
     are taken, subcategories are descended while depth remains.  The depth
     bound also ends cycles.  ``(title)``.
 
     One semi-join per level between the distinct frontier and the edge
     table; each frontier is de-duplicated so shared subcategories are walked
-    once.  Every ``checkpoint_every`` levels the frontier is checkpointed to
-    the shared folder, so the plan does not grow with the depth.
+    once.  Every ``checkpoint_every`` levels (each level by default) the
+    frontier is checkpointed to the shared folder: a level's plan is then one
+    semi-join against a stored frontier, and the plan does not grow with the
+    depth (0 disables it).
     """
     spark = edges.sparkSession
     e = edges.select("parent", "child", "kind")
