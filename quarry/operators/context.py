@@ -3,8 +3,8 @@ the prompt, and turn it into a chat request row.
 
 Token counts are additive over joins at white space (see
 ``functions.text.num_tokens``), so each candidate is counted once and a
-running sum per question replaces the reference's re-count of the whole
-message for every candidate.
+running sum per question replaces a re-count of the whole message for
+every candidate (linear instead of quadratic).
 """
 
 from __future__ import annotations
@@ -120,14 +120,19 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, qid: str = "qid",
                      question: str = "question", cid: str = "id", text: str = "text",
                      top_n: int = TOP_N, budget: int = TOKEN_BUDGET,
                      intro: str = DEFAULT_INTRO, dim: int = embed.DEFAULT_DIM,
-                     system: str = DEFAULT_SYSTEM, model: str = DEFAULT_MODEL) -> DataFrame:
+                     system: str = DEFAULT_SYSTEM, model: str = DEFAULT_MODEL,
+                     corpus_vectors: DataFrame | None = None) -> DataFrame:
     """A table of questions to a table of chat requests:
     embed -> exact cosine top-n -> text lookup -> budget prefix -> prompt ->
-    request.  ``(qid, n_articles, prompt, request)``."""
+    request.  ``(qid, n_articles, prompt, request)``.
+
+    ``corpus_vectors`` (``id, embedding``, e.g. a stored vector index) skips
+    embedding the corpus again; it must come from the same provider."""
     q = questions.select(F.col(qid).alias("qid"), F.col(question).alias("question"))
     c = corpus.select(F.col(cid).alias("id"), F.col(text).alias("text"))
     qe = embed.hashed_embedding(q, "qid", "question", dim)
-    ce = embed.hashed_embedding(c, "id", "text", dim)
+    ce = (corpus_vectors.select("id", "embedding") if corpus_vectors is not None
+          else embed.hashed_embedding(c, "id", "text", dim))
     top = knn.nearest(qe, ce, top_n, "cosine", qid="qid", qvec="embedding",
                       cid="id", cvec="embedding")
     ranked = top.join(c, "id").select("qid", "rank", "text")

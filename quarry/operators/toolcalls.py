@@ -21,6 +21,16 @@ DEFAULT_INSTRUCTIONS = [
 ]
 
 
+def explode_tool_calls(messages: DataFrame, calls_col: str = "tool_calls") -> DataFrame:
+    """One row per tool call of a message whose ``calls_col`` is
+    ``array<struct<id, name, arguments>>`` (a message may hold several);
+    ``call_no`` keeps their order.  Messages without calls yield no rows."""
+    keep = [c for c in messages.columns if c != calls_col]
+    return (messages.select(*keep, F.posexplode(calls_col).alias("call_no", "_c"))
+            .select(*keep, "call_no", F.col("_c.id").alias("call_id"),
+                    F.col("_c.name").alias("name"), F.col("_c.arguments").alias("arguments")))
+
+
 def parse_tool_call(calls: DataFrame, args_col: str = "arguments") -> DataFrame:
     """Decode JSON arguments (never ``eval``); ``args_ok`` is false for text
     that is not JSON, whose fields are then null."""

@@ -43,3 +43,14 @@ def test_chat_request_json(spark):
     js = p.select(context.chat_request(p, system="S", model="m").alias("r")).first().r
     assert js == ('{"model":"m","messages":[{"role":"system","content":"S"},'
                   '{"role":"user","content":"hello"}],"temperature":0.0}')
+
+
+def test_answer_questions_with_stored_vectors_equals_embedding(spark):
+    from quarry.operators import embed
+    docs = spark.createDataFrame([(1, "red apples and pears"), (2, "blue sky and sea"), (3, "red wine")],
+                                 "id long, text string")
+    qs = spark.createDataFrame([(10, "red apples")], "qid long, question string")
+    a = context.answer_questions(qs, docs, top_n=2).collect()
+    vecs = embed.hashed_embedding(docs, "id", "text")
+    b = context.answer_questions(qs, docs, top_n=2, corpus_vectors=vecs).collect()
+    assert a == b and a[0].n_articles == 2

@@ -45,3 +45,14 @@ def test_blocked_history_equals_window_history(spark, sf_small):
     for b in (1, 3, 64):
         got = toolcalls.conversation_history(conv, "S", block_turns=b).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, a))
+
+
+def test_explode_tool_calls_keeps_order(spark):
+    msgs = spark.createDataFrame(
+        [(1, 3, [("a", "ask_database", '{"query": "SELECT 1"}'), ("b", "foo", "{}")]), (1, 5, [])],
+        "conv_id long, turn long, tool_calls array<struct<id:string,name:string,arguments:string>>")
+    rows = toolcalls.explode_tool_calls(msgs).orderBy("call_no").collect()
+    assert [(r.turn, r.call_no, r.call_id, r.name) for r in rows] == [(3, 0, "a", "ask_database"), (3, 1, "b", "foo")]
+    routed = {r.call_id: r.route for r in
+              toolcalls.route_tool_call(toolcalls.parse_tool_call(toolcalls.explode_tool_calls(msgs))).collect()}
+    assert routed == {"a": "sql", "b": "error"}
