@@ -112,14 +112,20 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
             .select("u", "v").distinct())
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_distance: int,
-             segments: int) -> DataFrame:
-    """The fingerprint rows with ``root``, the least fingerprint of their component."""
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = rows.select("fp").distinct()
-    roots = components(links(fps, max_distance, segments))
-    by_fp = fps.join(roots, fps.fp == roots.u, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows.join(by_fp, "fp")
+def _components(rows: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """Fingerprint rows ``(doc_id, text_key, fp)`` -> ``(fp, best, component_id)``
+    per fingerprint: the first row of its component and the least doc_id.
+
+    Rows meet by fingerprint only in aggregates that combine in each task; the
+    table is written, so that joining rows to it is a join of two plain scans,
+    whose hot fingerprints adaptive execution can split."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = stored(rows.groupBy("fp").agg(F.min(rank).alias("first"), F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), max_distance, segments))
+    known = nodes.join(roots, nodes.fp == roots.u, "left").select(
+        "fp", "first", "least", F.coalesce("root", "fp").alias("root"))
+    best = known.groupBy("root").agg(F.min("first").alias("best"), F.min("least").alias("component_id"))
+    return stored(known.join(best, "root").select("fp", "best", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -134,9 +140,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as they come.  An empty table gives an empty table; other columns are not
     read.
     """
-    rows = _grouped(docs, id_col, text_col, shingle, max_distance, segments)
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(first, "root").select("doc_id", "fp", "component_id")
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    found = _components(rows, max_distance, segments)
+    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -151,17 +157,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (null ids come last), ties by the text's hash; a row that comes several
     times is kept once.  The rows that go are joined back as a list of ids, so
     texts cross the network once."""
-    rows = _grouped(docs, id_col, text_col, shingle, max_distance, segments)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    rows = stored(rows.select("doc_id", "text_key", "root"), "components")
-    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
-    of = rows.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(best, "root")
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    found = _components(rows, max_distance, segments)
+    of = rows.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(found, "fp")
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    of = stored(of.select("doc_id", "text_key", "n", same.alias("stays")), "decisions")
     gone_id, gone_key, own_key = fresh(docs, "gone_id", "gone_key", "own_key")
-    gone = of.where(~same).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    gone = of.where(~F.col("stays")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
     kept = docs.withColumn(own_key, text_key(text_col))
     kept = kept.join(gone, docs[id_col].cast("long").eqNullSafe(gone[gone_id])
                      & (kept[own_key] == gone[gone_key]), "left_anti")
-    if not of.where(same & (F.col("n") > 1)).isEmpty():
+    if not of.where("stays and n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, own_key])
     return kept.drop(own_key)
