@@ -1,16 +1,60 @@
-"""The registered queries of this package and their DuckDB SQL."""
+"""The registered queries of this package and their DuckDB SQL.
+
+Each query applies its operator with production parameters to the whole of its
+tables and derives the digest columns from the operator's output.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import simhash
+from . import chat, crf, decontam, linededup, packing, simhash, tokens
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(load(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(load(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_simhash": op5_simhash}
-ORACLE: dict[str, str] = {}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return crf.quality_rules(docs, crf.train(docs, load(spark, sf_dir, "labels")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat.event_log(messages.unionByName(chat.probe_conversation(spark)))
+    return chat.digest(chat.format_chats(log))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_token_counts": op2_token_counts,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_chat_format": op9_chat_format,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+
+ORACLE = {
+    "op1_decontamination": decontam.ORACLE_SQL,
+    "op4_line_dedup": linededup.ORACLE_SQL,
+    "op9_chat_format": chat.ORACLE_SQL,
+}
