@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import chat, crf, decontam, linededup, packing, simhash, tokens
+from . import chat, crf, decontam, linededup, packing, qda, simhash, suffix, tokens, toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(load(spark, sf_dir, "documents"))
 
@@ -28,11 +32,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(load(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return crf.quality_rules(docs, crf.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.substring_dedup(load(spark, sf_dir, "documents")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     log = chat.event_log(messages.unionByName(chat.probe_conversation(spark)))
@@ -46,9 +59,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
