@@ -27,9 +27,9 @@ CONTENT, BOILERPLATE = 0, 1
 FEATURES = ("bias", "log_chars", "symbol_share", "upper_share", "digit_share", "bang_share", "pipe_share",
             "mean_word", "repeat_share", "duplicate", "ends_sentence", "few_words", "window_share")
 # prior mean of the boilerplate score of each feature
-PRIOR = np.array([-1.5, -0.3, 6.0, 1.5, 2.0, 4.0, 6.0, 0.0, 2.5, 1.0, -0.5, 0.3, 3.0])
+PRIOR = np.array([-1.5, -0.3, 12.0, 1.5, 2.0, 6.0, 10.0, 0.0, 2.5, 1.0, -0.5, 0.3, 3.0])
 PRIOR_STAY = 0.8
-STRENGTH = 20.0  # weight of the prior against the sample
+STRENGTH = 10.0  # weight of the prior against the sample
 
 SPACES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 WORD_BYTES = np.arange(256, dtype=np.uint8)
