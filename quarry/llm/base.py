@@ -14,6 +14,25 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS = 512
+
+# Arrow batches of this session's Python operators
+_BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+               "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Make Arrow batches small: a batch of texts is held in the JVM's direct
+    memory, in the Python worker, and once more on the way back, so its size is
+    what bounds a task's memory.  Spark reads these settings when a job runs;
+    smaller ones that the session already has are left alone."""
+    for key, most in _BATCH_CONF.items():
+        try:
+            now = int(spark.conf.get(key, "0"))
+        except ValueError:
+            now = 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import byte_rows, mix, prefix_hash, row_blocks, shingle_hashes, span_hash, words_of
+from .base import bounded_batches, byte_rows, mix, prefix_hash, row_blocks, shingle_hashes, span_hash, words_of
 
 SAMPLE_DOCS = 2000      # labelled documents that the fit may use
 SAMPLE_SEGMENTS = 4000  # and segments of their lines
@@ -225,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``sample_segments`` segments of up to 64 lines of their whole texts; both
     bounds hold whatever the corpus, so the sample may be broadcast and
     collected."""
+    bounded_batches(docs.sparkSession)
     picked = (labels.where("quality is not null and doc_id is not null")
               .select(F.col("doc_id").cast("long").alias("id"), (1 - F.col("quality")).cast("int").alias("y"))
               .orderBy(F.xxhash64("id"), "id", "y").limit(sample_docs))
@@ -290,6 +291,7 @@ def quality_rules(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
     come, an empty table gives an empty table, other columns are not read.  One
     scan, no shuffle; memory follows the longest single text.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
@@ -310,6 +312,7 @@ def quality_rules(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
 
 def keep_quality(docs: DataFrame, field: Field, text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import byte_rows, mix, row_blocks, shingle_hashes, words_of
+from .base import bounded_batches, byte_rows, mix, row_blocks, shingle_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -149,6 +149,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     words contains nothing.  Null and repeated ids are returned as they come;
     empty tables give an empty table; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_shingles long, n_found long, containment double"
@@ -186,6 +187,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                   block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that contain an item, by the same search; all
     columns as they are, no shuffle."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     sc = docs.sparkSession.sparkContext
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import byte_rows, mix, row_blocks, shingle_hashes, stored, words_of
+from .base import bounded_batches, byte_rows, mix, row_blocks, shingle_hashes, stored, words_of
 from .crf import (IS_BANG, IS_CHAR, IS_DIGIT, IS_PIPE, IS_SYMBOL, IS_UPPER, WORD_BYTES, _counts, _distinct, _flag,
                   _repeated)
 
@@ -155,6 +155,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     table; other columns are not read.  Texts are read once; statistics are
     stored, and both the fit and the scores use them.
     """
+    bounded_batches(docs.sparkSession)
     stats = stored(statistics(docs, id_col, text_col), "quality-stats")
     model = fit(stats, labels, label_col, shrinkage)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh, stored, text_of
+from .base import bounded_batches, fresh, stored, text_of
 from .graph import components
 
 SHINGLE = 3
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, text_key, fp)`` per row: text_key is a 64-bit hash of the
     text, fp the fingerprint as a signed long.  Null text is empty."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
                       F.col(text_col).cast("binary").alias("text"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import byte_rows, fresh, prefix_hash, row_blocks, span_hash, stored
+from .base import bounded_batches, byte_rows, fresh, prefix_hash, row_blocks, span_hash, stored
 
 LENGTH = 400
 GRAM = 64
@@ -328,6 +328,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own, so its strings are repeats.  An empty table gives an empty table; other
     columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     if keep not in ("none", "first"):
         raise ValueError("keep must be 'none' or 'first'")
     if not 8 <= gram < length:

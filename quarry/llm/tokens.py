@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded_batches
+
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 CHUNK_CHARS = 1 << 14
@@ -233,6 +235,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``chunk_chars``, so a long one needs little memory beyond itself.  One scan,
     no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col).cast("binary")
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit(b"")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()

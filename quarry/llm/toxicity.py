@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import bounded_batches, stored
 from .decontam import fold
 
 SAMPLE_ROWS = 6000  # labelled documents that the fit may use, half of them toxic if there are as many
@@ -178,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           ridge: float = RIDGE) -> Chain:
     """Fit the chain on at most ``sample_rows`` labelled documents (whole texts);
     the driver collects their term vectors, not their texts."""
+    bounded_batches(docs.sparkSession)
     rows = stored(training_texts(docs, labels, id_col, text_col, label_col, sample_rows)
                   .orderBy(F.xxhash64("id"), "id", "y", "text").limit(sample_rows), "toxic-sample")
     seeds = {w for ws in SEEDS.values() for w in ws}
@@ -214,6 +215,7 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     table; other columns are not read.  Without labels of both classes the
     score is the (smoothed) share of toxic labels.  One scan, no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     names = [f"p_{c}" for c in SEEDS]
