@@ -27,11 +27,8 @@ def bounded_batches(spark: SparkSession) -> None:
     what bounds a task's memory.  Spark reads these settings when a job runs;
     smaller ones that the session already has are left alone."""
     for key, most in _BATCH_CONF.items():
-        try:
-            now = int(spark.conf.get(key, "0"))
-        except ValueError:
-            now = 0
-        if not 0 < now <= most:
+        now = spark.conf.get(key, None)  # None unless somebody set it
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
