@@ -230,11 +230,13 @@ def _resolve(contexts: DataFrame, length: int, keep: str) -> DataFrame:
 
 def _kinds(part: DataFrame, group_runs: int) -> DataFrame:
     """``(core, span)`` of groups with several runs: how many there are, the
-    first one, and how many kinds the group has.  ``seen`` counts runs."""
+    first one, and how many kinds the group has.  ``seen`` counts runs.  Both
+    sides of the join are written first: a join of two plain scans is one that
+    adaptive execution can split where a group has very many kinds."""
     place = F.struct("doc_id", "text_key", "at", "n", "off")
-    kinds = part.groupBy("core", "span").agg(F.sum("seen").alias("seen"), F.min(place).alias("first"))
+    kinds = stored(part.groupBy("core", "span").agg(F.sum("seen").alias("seen"), F.min(place).alias("first")), "kinds")
     groups = kinds.groupBy("core").agg(F.sum("seen").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    groups = groups.where("all > 1")
+    groups = stored(groups.where("all > 1"), "groups")
     return kinds.join(groups, "core").select(
         "core", "span", "seen", "first", "kinds", (F.col("kinds") > group_runs).alias("hot"))
 
