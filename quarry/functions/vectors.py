@@ -42,12 +42,5 @@ def cast_float32(v) -> Column:
     return _c(v).cast("array<float>")
 
 
-def l2_normalize(v) -> Column:
-    """Unit-length copy; a zero vector stays as it is."""
-    d = as_double(v)
-    n = norm(d)
-    return F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)
-
-
 def width(v) -> Column:
     return F.size(_c(v))

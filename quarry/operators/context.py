@@ -116,6 +116,24 @@ def tools_column(schema_text: str) -> Column:
     return F.from_json(F.lit(json.dumps(tool_definitions(schema_text))), TOOLS_SCHEMA)
 
 
+def first_lines(questions: DataFrame, corpus: DataFrame, qid: str = "qid", question: str = "question",
+                cid: str = "id", text: str = "text", budget: int = TOKEN_BUDGET, intro: str = DEFAULT_INTRO,
+                dim: int = embed.DEFAULT_DIM, corpus_vectors: DataFrame | None = None) -> DataFrame:
+    """An extractive answer per question: the first line of the nearest article,
+    if this article fits the prompt.  ``(qid, answer)``, no row otherwise.  It
+    takes a model's place where none is at hand."""
+    q = questions.select(F.col(qid).alias("qid"), F.col(question).alias("question"))
+    c = corpus.select(F.col(cid).alias("id"), F.col(text).alias("text"))
+    ce = corpus_vectors if corpus_vectors is not None else embed.hashed_embedding(c, "id", "text", dim)
+    top = knn.nearest(embed.hashed_embedding(q, "qid", "question", dim), ce, 1, "cosine", qid="qid", qvec="embedding",
+                      cid="id", cvec="embedding")
+    ranked = top.join(c, "id").select("qid", "rank", "text")
+    kept = budget_prefix(ranked, q, budget, intro)
+    body = F.substring(F.col("article"), F.lit(len(ARTICLE_PREFIX) + 1),
+                       F.char_length("article") - len(ARTICLE_PREFIX) - len(ARTICLE_SUFFIX))
+    return kept.select("qid", F.substring_index(body, "\n", 1).alias("answer"))
+
+
 def answer_questions(questions: DataFrame, corpus: DataFrame, qid: str = "qid",
                      question: str = "question", cid: str = "id", text: str = "text",
                      top_n: int = TOP_N, budget: int = TOKEN_BUDGET,

@@ -1,10 +1,9 @@
 """Corpus preparation: blocks, headings, sections, cleaning, chunking, and
 category descent.
 
-Per-document work (splitting, chunking) is done inside the row with array
-expressions, so it needs no shuffle.  Only the section tree numbers sections
-with one window pass per document, and category descent joins a frontier to
-the edge table once per level.
+Per-document work (splitting, sections, chunking) is done inside the row with
+array expressions, so it needs no shuffle.  Category descent joins each level's
+new categories to the category edges.
 """
 
 from __future__ import annotations
@@ -60,13 +59,22 @@ def block_scan(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                     T.strip_ws(F.regexp_replace("_b", TAG_PATTERN, "")).alias("text")))
 
 
-def is_heading_tag(tag) -> Column:
-    return F.coalesce(T._c(tag).rlike("^h[1-6]$"), F.lit(False))
+def page_chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                size: int = FIXED_CHUNK_PARAGRAPHS) -> DataFrame:
+    """``(page_id, chunk_no, text)``: every ``size`` consecutive paragraph and
+    list blocks of a page, headings left out, joined with one space.  Blocks
+    without text are passed over.  Done inside each row: no shuffle."""
+    blocks = F.regexp_extract_all(F.col(html_col), F.lit(BLOCK_PATTERN), 0)
+    body = F.filter(blocks, lambda b: ~F.lower(F.regexp_extract(b, r"^<([A-Za-z0-9]+)", 1)).rlike("^h[1-6]$"))
+    texts = F.filter(F.transform(body, lambda b: T.strip_ws(F.regexp_replace(b, TAG_PATTERN, ""))), lambda t: t != "")
+    rows = pages.select(id_col, texts.alias("_ps")).where(F.size("_ps") > 0)
+    starts = F.sequence(F.lit(1), F.size("_ps"), F.lit(size))
+    return (rows.select(id_col, "_ps", F.posexplode(starts).alias("chunk_no", "_at"))
+            .select(id_col, "chunk_no", F.array_join(F.slice("_ps", F.col("_at"), F.lit(size)), " ").alias("text")))
 
 
-def is_heading_style(style) -> Column:
-    """Word-processor style name: non-null and contains ``Heading``."""
-    return F.coalesce(T._c(style).contains("Heading"), F.lit(False))
+def is_heading_tag(tag) -> Column:
+    return F.coalesce(T._c(tag).rlike("^h[1-6]$"), F.lit(False))
 
 
 # --------------------------------------------------------------------------
@@ -82,25 +90,24 @@ def chunk_fixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 size: int = FIXED_CHUNK_PARAGRAPHS) -> DataFrame:
     """Every ``size`` consecutive paragraphs of a document joined with one
     space; the last chunk may be short.  Done inside each row: no shuffle."""
-    lines = F.split(F.col(text_col), "\n")
-    n = F.ceil(F.size(lines) / F.lit(size)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n - 1),
-                         lambda i: F.array_join(F.slice(lines, i * size + 1, F.lit(size)), " "))
-    return (docs.where(F.col(text_col).isNotNull())
-            .select(id_col, F.posexplode(chunks).alias("chunk_no", "text")))
+    # the lines are a column of their own: split once, not once per chunk
+    lines = docs.where(F.col(text_col).isNotNull()).select(id_col, F.split(F.col(text_col), "\n").alias("_ls"))
+    starts = F.sequence(F.lit(1), F.size("_ls"), F.lit(size))
+    return (lines.select(id_col, "_ls", F.posexplode(starts).alias("chunk_no", "_at"))
+            .select(id_col, "chunk_no", F.array_join(F.slice("_ls", F.col("_at"), F.lit(size)), " ").alias("text")))
 
 
 def dedup_by_text(df: DataFrame, pos_col: str, text_col: str = "text",
-                  value_col: str | None = None) -> DataFrame:
-    """One row per distinct text: first position kept, last value wins.
+                  value_col: str | None = None, value_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row per distinct text: first position kept, the last row's values
+    (a vector, say) win.
 
-    A plain hash aggregate: partial aggregation before the shuffle collapses
-    a hot text to one row per task.
+    A plain aggregate: partial aggregation before the shuffle collapses a hot
+    text to one row per task.
     """
     aggs = [F.min(pos_col).alias("pos"), F.max(pos_col).alias("last_pos"),
             F.count(F.lit(1)).alias("n_copies")]
-    if value_col:
-        aggs.append(F.max_by(value_col, pos_col).alias(value_col))
+    aggs += [F.max_by(c, pos_col).alias(c) for c in (*value_cols, *([value_col] if value_col else []))]
     return df.groupBy(text_col).agg(*aggs)
 
 
@@ -137,52 +144,61 @@ def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "marku
 
     Section 0 is the summary (level 1, titles ``[page title]``), present when
     text precedes the first heading.  A heading's own text runs to the next
-    heading of any level.  Its title path holds, for each level ``k`` up to
-    its own, the last heading at level ``<= k`` when that heading is at level
-    exactly ``k``; a skipped level therefore keeps the section under its
-    nearest shallower heading.
+    heading of any level.  Its title path holds the heading lines as they
+    stand: for each level ``k`` up to its own, the last heading at level
+    ``<= k`` when that heading is at level exactly ``k``; a skipped level
+    therefore keeps the section under its nearest shallower heading.
 
     Every document is one row, so all of it is computed inside the row with
-    array functions: no shuffle of the text, no window.
+    array functions: no shuffle of the text, no window.  The last heading up to
+    each level is a running maximum over the headings, found by doubling
+    distances, so the work is n log n in the number of headings.
     """
     head = _raw_sql(HEADING_LINE_PATTERN)
-    ls, lv, hp = "_ls", "_lv", "_hp"
     levels = list(range(2, max_level + 1))
-    anc = ", ".join(
-        f"CASE WHEN lvl >= {j} AND {lv}[{hp}[_a{j}]] = {j} THEN trim(BOTH '= ' FROM {ls}[{hp}[_a{j}]]) END"
-        for j in levels)
-    # ancestors of the heading at index k of _hp: last index m <= k with level <= j
-    anc_idx = ", ".join(
-        f"'_a{j}', array_max(filter(sequence(0, k), m -> {lv}[{hp}[m]] <= {j}))" for j in levels)
-    heads = f"""transform({hp}, (h, k) -> named_struct(
-        'sec_no', k + 1, 'lvl', {lv}[h],
-        'text', array_join(slice({ls}, h + 2,
-                 (CASE WHEN k + 1 < size({hp}) THEN {hp}[k + 1] ELSE size({ls}) END) - h - 1), chr(10)),
-        {anc_idx}))"""
-    summary = f"""CASE WHEN size({hp}) = 0 OR {hp}[0] > 0 THEN array(named_struct(
-        'sec_no', 0, 'lvl', 0,
-        'text', array_join(slice({ls}, 1, CASE WHEN size({hp}) = 0 THEN size({ls}) ELSE {hp}[0] END), chr(10)),
-        {", ".join(f"'_a{j}', CAST(NULL AS INT)" for j in levels)})) ELSE array() END"""
-    base = docs.select(F.col(id_col), F.col(title_col), F.split(F.col(text_col), "\n", -1).alias(ls))
-    base = base.withColumn(lv, F.expr(
-        f"transform({ls}, l -> CASE WHEN l RLIKE {head} THEN length(regexp_extract(l, '^(=+)', 1)) ELSE 0 END)"))
-    base = base.withColumn(hp, F.expr(f"filter(sequence(0, size({ls}) - 1), i -> {lv}[i] > 0)"))
-    secs = base.select(id_col, title_col, ls, lv, hp,
-                       F.explode(F.expr(f"concat({summary}, {heads})")).alias("s"))
-    titles = F.expr(f"""concat(array({title_col}), filter(array({anc.replace('_a', 's._a').replace('lvl', 's.lvl')}),
-                        x -> x IS NOT NULL))""")
-    return secs.select(id_col, F.col("s.sec_no").cast("long").alias("sec_no"),
-                       F.when(F.col("s.lvl") == 0, 1).otherwise(F.col("s.lvl")).alias("level"),
-                       titles.alias("titles"), F.col("s.text").alias("text"))
+    base = docs.select(F.col(id_col), F.col(title_col), F.split(F.col(text_col), "\n", -1).alias("_ls"))
+    # line number and level of each heading
+    base = base.withColumn("_hs", F.expr(
+        f"""filter(transform(_ls, (l, i) -> named_struct('i', i, 'v',
+            CASE WHEN l RLIKE {head} THEN length(regexp_extract(l, '^(=+)', 1)) ELSE 0 END)), x -> x.v > 0)"""))
+    # _up[j][k]: the last heading m <= k with level <= j, or -1
+    ups = ", ".join(
+        f"""aggregate(sequence(0, CAST(ceil(log2(size(_hs) + 1)) AS INT)),
+            transform(_hs, (x, k) -> CASE WHEN x.v <= {j} THEN k ELSE -1 END),
+            (r, t) -> transform(r, (x, k) -> CASE WHEN k >= shiftleft(1, t)
+                THEN greatest(x, r[k - shiftleft(1, t)]) ELSE x END))""" for j in levels)
+    base = base.withColumn("_up", F.expr(f"array({ups})"))
+    path = ", ".join(f"CASE WHEN x.v >= {j} AND _up[{n}][k] >= 0 AND _hs[greatest(_up[{n}][k], 0)].v = {j} "
+                     f"THEN _ls[_hs[greatest(_up[{n}][k], 0)].i] END" for n, j in enumerate(levels))
+    heads = f"""transform(_hs, (x, k) -> named_struct(
+        'sec_no', k + 1, 'lvl', x.v,
+        'text', array_join(slice(_ls, x.i + 2,
+                 (CASE WHEN k + 1 < size(_hs) THEN _hs[k + 1].i ELSE size(_ls) END) - x.i - 1), chr(10)),
+        'path', filter(array({path}), y -> y IS NOT NULL)))"""
+    summary = """CASE WHEN size(_hs) = 0 OR _hs[0].i > 0 THEN array(named_struct(
+        'sec_no', 0, 'lvl', 1,
+        'text', array_join(slice(_ls, 1, CASE WHEN size(_hs) = 0 THEN size(_ls) ELSE _hs[0].i END), chr(10)),
+        'path', CAST(array() AS array<string>))) ELSE array() END"""
+    # exploded where they are built: only finished sections leave, and no projection
+    # on top can be merged with the ones below, which would repeat their work
+    secs = base.select(id_col, title_col, F.explode(F.expr(f"concat({summary}, {heads})")).alias("s"))
+    return secs.select(id_col, F.col("s.sec_no").cast("long").alias("sec_no"), F.col("s.lvl").alias("level"),
+                       F.concat(F.array(F.col(title_col)), F.col("s.path")).alias("titles"),
+                       F.col("s.text").alias("text"))
 
 
 def ignore_sections(sections: DataFrame, ignore=SECTIONS_TO_IGNORE,
                     titles_col: str = "titles") -> DataFrame:
-    """Drop a section whose title, or any ancestor title, is in ``ignore``.
-    The page title (first element) is not checked."""
+    """Drop a section whose title, or any ancestor title, is in ``ignore`` once
+    its ``=`` signs and spaces are stripped.  The page title (first element) is
+    not checked."""
+    return sections.where(~_ignored(titles_col, ignore))
+
+
+def _ignored(titles_col: str, ignore) -> Column:
     lst = F.array(*[F.lit(x) for x in dict.fromkeys(ignore)])
-    hit = F.exists(F.slice(F.col(titles_col), 2, 1 << 20), lambda t: F.array_contains(lst, t))
-    return sections.where(~F.coalesce(hit, F.lit(False)))
+    hit = F.exists(F.slice(F.col(titles_col), 2, 1 << 20), lambda t: F.array_contains(lst, T.strip_heading(t)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def clean_and_keep(sections: DataFrame, text_col: str = "text",
@@ -197,9 +213,7 @@ def section_counts(tree: DataFrame, max_tokens: int = 1600, ignore=SECTIONS_TO_I
     """One pass over a section tree: ``(n_sections, n_kept, n_strings)`` -
     sections found, sections left after the ignore list, cleaning and the
     length filter, and the strings recursive chunking makes of them."""
-    lst = F.array(*[F.lit(x) for x in dict.fromkeys(ignore)])
-    ignored = F.coalesce(F.exists(F.slice(F.col("titles"), 2, 1 << 20),
-                                  lambda t: F.array_contains(lst, t)), F.lit(False))
+    ignored = _ignored("titles", ignore)
     flagged = tree.select("doc_id", "sec_no", "titles", T.clean_refs(F.col("text")).alias("text"),
                           ignored.alias("_ign"))
     flagged = flagged.withColumn("_kept", ~F.col("_ign") & T.keep_section(F.col("text"), min_chars))
@@ -219,16 +233,14 @@ def _sql_count(x: str) -> str:
     return f"coalesce(regexp_count({x}, r'{T.TOKEN_PATTERN}'), 0)"
 
 
-def _sql_halves(t: str, delim: str):
-    """SQL text of ``functions.text.halve`` (same rule) for one delimiter."""
+def _sql_split_at(t: str, delim: str) -> str:
+    """SQL text: where ``functions.text.halve`` cuts ``t``, or 0 if a half is empty."""
     d = " || ".join(f"char({ord(ch)})" for ch in delim)
     d = f"({d})" if len(delim) > 1 else d
     mid = f"CAST(floor(char_length({t}) / 2) AS INT)"
-    after = f"locate({d}, {t}, {mid} + 1)"
-    pos = f"(CASE WHEN {after} > 0 THEN {after} ELSE locate({d}, {t}, 1) END)"
-    left = f"(CASE WHEN {pos} > 0 THEN substr({t}, 1, {pos} - 1) ELSE {t} END)"
-    right = f"(CASE WHEN {pos} > 0 THEN substr({t}, {pos} + {len(delim)}) ELSE '' END)"
-    return left, right
+    at = f"transform(array(locate({d}, {t}, {mid} + 1)), x -> CASE WHEN x > 0 THEN x ELSE locate({d}, {t}, 1) END)"
+    return (f"element_at(transform({at}, x -> CASE WHEN x > 1 AND x + {len(delim)} <= char_length({t}) "
+            f"THEN x ELSE 0 END), 1)")
 
 
 def _sql_part(t: str, n: str, done: bool, trunc: bool) -> str:
@@ -237,18 +249,19 @@ def _sql_part(t: str, n: str, done: bool, trunc: bool) -> str:
 
 
 def _split_round_sql(parts: str, title_tokens: str, max_tokens: int) -> str:
-    """One halving round as a SQL lambda (built once, parsed by Spark: the
-    same rule as before without thousands of driver round trips).  Each
-    piece carries its token count ``n``; counts add up at white-space joins,
-    so only new halves are counted."""
+    """One halving round as a SQL lambda (built once, parsed by Spark).  A
+    delimiter's split position is looked for once, and only if the ones before
+    it cannot be used; the text is cut once and each half counted once.  Each
+    piece carries its token count ``n``; counts add up at white-space joins."""
+    tail = f"array({_sql_part('p.t', 'p.n', True, True)})"
+    for d in reversed(RECURSIVE_DELIMITERS):
+        halves = f"array(substr(p.t, 1, x - 1), substr(p.t, x + {len(d)}))"
+        cut = f"transform({halves}, h -> {_sql_part('h', _sql_count('h'), False, False)})"
+        tail = (f"element_at(transform(array({_sql_split_at('p.t', d)}), "
+                f"x -> CASE WHEN x > 0 THEN {cut} ELSE {tail} END), 1)")
     case = [f"WHEN p.done THEN array(p)",
-            f"WHEN {title_tokens} + p.n <= {int(max_tokens)} THEN array({_sql_part('p.t', 'p.n', True, False)})"]
-    for d in RECURSIVE_DELIMITERS:
-        left, right = _sql_halves("p.t", d)
-        case.append(f"WHEN {left} != '' AND {right} != '' THEN array("
-                    f"{_sql_part(left, _sql_count(left), False, False)}, "
-                    f"{_sql_part(right, _sql_count(right), False, False)})")
-    case.append(f"ELSE array({_sql_part('p.t', 'p.n', True, True)})")
+            f"WHEN {title_tokens} + p.n <= {int(max_tokens)} THEN array({_sql_part('p.t', 'p.n', True, False)})",
+            f"ELSE {tail}"]
     return f"flatten(transform({parts}, p -> CASE {' '.join(case)} END))"
 
 
@@ -297,34 +310,35 @@ def chunk_parts(sections: DataFrame, max_tokens: int = 1600, max_recursion: int
 # Category tree
 
 def category_pages(edges: DataFrame, root: str, max_depth: int,
-                   checkpoint_every: int = 1) -> DataFrame:
+                   broadcast_categories: int = 100_000) -> DataFrame:
     """Distinct page titles under ``root``: pages directly under a category
     are taken, subcategories are descended while depth remains.  The depth
     bound also ends cycles.  ``(title)``.
 
-    One semi-join per level between the distinct frontier and the edge
-    table; each frontier is de-duplicated so shared subcategories are walked
-    once.  Every ``checkpoint_every`` levels (each level by default) the
-    frontier is checkpointed to the shared folder: a level's plan is then one
-    semi-join against a stored frontier, and the plan does not grow with the
-    depth (0 disables it).
+    The descent runs on the category edges alone, stored once; each level is
+    one join of its new categories with them, written to the shared folder, so
+    no plan grows with the depth.  Page edges are read once, in the end, against
+    all categories found: broadcast if there are at most
+    ``broadcast_categories`` of them (counted), else by a plain join, which
+    adaptive execution splits where one category holds many pages.
     """
     spark = edges.sparkSession
     e = edges.select("parent", "child", "kind")
-    frontier = spark.createDataFrame([(root,)], "cat string")
-    pages = []
-    for depth in range(max_depth + 1):
-        members = e.join(frontier, e["parent"] == frontier["cat"], "left_semi")
-        pages.append(members.where(F.col("kind") == "page").select(F.col("child").alias("title")))
-        if depth < max_depth:
-            frontier = (members.where(F.col("kind") == "category")
-                        .select(F.col("child").alias("cat")).distinct())
-            if checkpoint_every and (depth + 1) % checkpoint_every == 0:
-                frontier = cut_lineage(frontier)
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    down = cut_lineage(e.where(F.col("kind") == "category").select("parent", F.col("child").alias("cat")).distinct())
+    level = spark.createDataFrame([(root,)], "cat string")
+    seen = level
+    for _ in range(max_depth):
+        level = (down.join(level.select(F.col("cat").alias("parent")), "parent", "left_semi")
+                 .select("cat").distinct().join(seen, "cat", "left_anti"))
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    cats = cut_lineage(seen.select(F.col("cat").alias("parent")))
+    if cats.count() <= broadcast_categories:
+        cats = F.broadcast(cats)
+    pages = e.where(F.col("kind") == "page").join(cats, "parent", "left_semi")
+    return pages.select(F.col("child").alias("title")).distinct()
 
 
 def category_children(edges: DataFrame) -> DataFrame:

@@ -3,10 +3,8 @@
 The default provider is a hashed bag of tokens: lower-cased tokens (the
 token rule of ``functions.text``) are hashed into ``dim`` buckets with md5,
 counted, and the count vector is scaled to unit length.  It needs no model
-and no network, is exact in SQL, and runs as ordinary Spark aggregation:
-tokens are exploded, counted per ``(id, bucket)`` with map-side partial
-aggregation (at most ``dim`` rows per text leave a task), then gathered into
-one dense array per text.
+and no network and is exact in SQL.  A text is one row, so counting needs no
+shuffle.
 
 A model provider plugs in through :func:`embed_with_model`, which runs the
 model once per Arrow batch with ``mapInPandas`` (model loaded once per
@@ -15,8 +13,12 @@ Python worker).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,28 +33,42 @@ def token_bucket(tok, dim: int = DEFAULT_DIM):
     return (h % F.lit(dim)).cast("int")
 
 
+def _bucket(token: str, dim: int) -> int:
+    return int(hashlib.md5(token.encode("utf-8", "replace")).hexdigest()[:8], 16) % dim
+
+
 def hashed_embedding(df: DataFrame, id_col: str = "id", text_col: str = "text",
-                     dim: int = DEFAULT_DIM, out_col: str = "embedding") -> DataFrame:
-    """``(id, embedding array<double>)``, one row per input id (zero vector
-    for a text without tokens).
-
-    Tokens are exploded and bucketed, then one hash aggregate per id keeps
-    ``dim`` counters (codegen, partial aggregation before the shuffle, so a
-    text contributes at most one row per task).  The norm and the scaled
-    vector are plain column arithmetic: no per-element lambdas.
+                     dim: int = DEFAULT_DIM, out_col: str = "embedding",
+                     carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, carry..., embedding array<double>)``, one row per input row (zero
+    vector for a text without tokens); rows that share an id stay apart.
+
+    Tokens are cut by Spark; each Arrow batch hashes its distinct tokens once
+    and counts buckets with one NumPy histogram.  No shuffle.  ``carry`` names
+    columns that travel beside the vector.
     """
-    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x"))
-    toks = src.select("_id", F.explode_outer(tokens(F.lower(F.col("_x")))).alias("_t"))
-    bucketed = toks.select("_id", token_bucket(F.col("_t"), dim).alias("_b"))
-    # built as SQL text once: one driver round trip instead of one per counter
-    counters = ", ".join(f"count_if(_b = {i})" for i in range(dim))
-    counts = bucketed.groupBy("_id").agg(F.expr(f"array({counters})").alias("_cnt"))
-    # the norm is evaluated once per row (array_repeat), never per element
-    vec = F.expr(f"""CASE WHEN _nrm > 0 THEN zip_with(_c, array_repeat(_nrm, {dim}), (x, n) -> x / n)
-                     ELSE _c END""")
-    return (counts.select("_id", F.col("_cnt").cast("array<double>").alias("_c"))
-            .select("_id", "_c", F.expr("sqrt(aggregate(_c, 0D, (s, x) -> s + x * x))").alias("_nrm"))
-            .select(F.col("_id").alias(id_col), vec.alias(out_col)))
+    src = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)],
+                    tokens(F.lower(F.col(text_col))).alias("_t"))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            words = pc.dictionary_encode(lists.flatten())
+            buckets = np.array([_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
+            rows = np.repeat(np.arange(b.num_rows), sizes)
+            at = rows * dim + buckets[words.indices.to_numpy(zero_copy_only=False)] if len(rows) else rows
+            counts = np.bincount(at, minlength=b.num_rows * dim).reshape(b.num_rows, dim).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vecs = counts / np.where(norm > 0, norm, 1.0)
+            out = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * dim + 1, dim), pa.int32()),
+                                           pa.array(vecs.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], [*b.schema.names[:-1], "_v"])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    vecs = src.mapInArrow(run, ", ".join([*fields, "_v array<double>"]))
+    return vecs.select(F.col("_id").alias(id_col), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)],
+                       F.col("_v").alias(out_col))
 
 
 def embed_with_model(df: DataFrame, encode: Callable, dim: int, id_col: str = "id",
@@ -63,7 +79,6 @@ def embed_with_model(df: DataFrame, encode: Callable, dim: int, id_col: str = "i
     models lazily inside it (e.g. a module-level cache) so each Python worker
     loads them once.
     """
-    import numpy as np
     import pandas as pd
 
     def run(it):

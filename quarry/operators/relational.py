@@ -6,6 +6,7 @@ from __future__ import annotations
 import logging
 import re
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,13 +35,18 @@ def top_by(df: DataFrame, metric: str, key: str, n: int = 1) -> DataFrame:
     return df.orderBy(F.col(metric).desc(), F.col(key).asc()).limit(n)
 
 
-def result_text(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Whole (bounded) result as one ordered JSON-lines-like string:
-    ``[{...}, {...}]``.  Only for results known to be small."""
+def result_text(df: DataFrame, order_cols: list[str], max_rows: int = 10_000) -> DataFrame:
+    """A small result as one ordered string ``[{...}, {...}]``, nulls kept.
+
+    One cell holds all of it, so the caller's result must be bounded: more than
+    ``max_rows`` rows raise an error when the text is made (nothing is cut)."""
+    some = df.limit(max_rows + 1)  # enough to tell
     rows = F.collect_list(F.struct(*[F.col(c) for c in order_cols],
-                                   F.to_json(F.struct(*df.columns)).alias("_j")))
-    return df.agg(F.concat(F.lit("["), F.array_join(
-        F.transform(F.array_sort(rows), lambda x: x["_j"]), ", "), F.lit("]")).alias("result"))
+                                   F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_j")))
+    text = F.concat(F.lit("["), F.array_join(
+        F.transform(F.array_sort(rows), lambda x: x["_j"]), ", "), F.lit("]"))
+    too_many = F.raise_error(F.lit(f"result_text: more than {max_rows} rows"))
+    return some.agg(F.when(F.count(F.lit(1)) > max_rows, too_many).otherwise(text).alias("result"))
 
 
 def unread_count(messages: DataFrame, box: str = "mailbox", flag: str = "unread") -> DataFrame:
@@ -76,38 +82,53 @@ def catalog_tables(spark: SparkSession, names: list[str] | None = None) -> DataF
 def catalog_columns(spark: SparkSession, names: list[str] | None = None,
                     exact: bool = False) -> DataFrame:
     """Column profile: ``(table_name, ordinal, column_name, data_type,
-    non_null, n_distinct)``.  All counts of a table come from one aggregate
-    pass; ``exact=False`` uses HyperLogLog for the distinct count."""
+    non_null, n_distinct)``.  With ``exact=False`` all counts of a table come
+    from one aggregate pass, distinct ones by HyperLogLog."""
     names = names if names is not None else sorted(t.name for t in spark.catalog.listTables())
     frames = []
     for n in names:
         t = spark.table(n)
         fields = t.schema.fields
+        about = [F.struct(F.lit(n).alias("table_name"), F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
+                          F.lit(f.dataType.simpleString()).alias("data_type")) for i, f in enumerate(fields)]
+        if exact:
+            # a scan of each column alone: several exact distincts in one
+            # aggregate would copy every row once per column
+            for f, a in zip(fields, about):
+                c = F.col(f"`{f.name}`")
+                frames.append(t.agg(F.count(c).alias("non_null"), F.count_distinct(c).alias("n_distinct"))
+                              .select(a.alias("a"), "non_null", "n_distinct").select("a.*", "non_null", "n_distinct"))
+            continue
         aggs = []
         for i, f in enumerate(fields):
             c = F.col(f"`{f.name}`")
-            aggs.append(F.count(c).alias(f"nn{i}"))
-            aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"nd{i}"))
-        wide = t.agg(*aggs)
+            aggs += [F.count(c).alias(f"nn{i}"), F.approx_count_distinct(c).alias(f"nd{i}")]
         stack = F.explode(F.array(*[
-            F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
-                     F.lit(f.dataType.simpleString()).alias("data_type"),
-                     F.col(f"nn{i}").alias("non_null"), F.col(f"nd{i}").alias("n_distinct"))
-            for i, f in enumerate(fields)]))
-        frames.append(wide.select(F.lit(n).alias("table_name"), stack.alias("s"))
-                      .select("table_name", "s.*"))
+            F.struct(a.alias("a"), F.col(f"nn{i}").alias("non_null"), F.col(f"nd{i}").alias("n_distinct"))
+            for i, a in enumerate(about)]))
+        frames.append(t.agg(*aggs).select(stack.alias("s")).select("s.a.*", "s.non_null", "s.n_distinct"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def catalog_info(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    """``(table_name, column_names array<string>)`` in column order (schema
-    only, no data scan)."""
+def catalog_info(spark: SparkSession, names: list[str] | None = None, in_use: bool = False) -> DataFrame:
+    """``(table_name, column_names array<string>)`` in column order.  By default
+    from the schema alone; with ``in_use`` the tables are read and columns
+    without any value are left out."""
     names = names if names is not None else sorted(t.name for t in spark.catalog.listTables())
-    rows = [(n, [f.name for f in spark.table(n).schema.fields]) for n in names]
-    return spark.createDataFrame(rows, "table_name string, column_names array<string>")
+    if not in_use:
+        rows = [(n, [f.name for f in spark.table(n).schema.fields]) for n in names]
+        return spark.createDataFrame(rows, "table_name string, column_names array<string>")
+    out = None
+    for n in names:
+        t = spark.table(n)
+        held = t.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(t.columns)])
+        cols = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(c)) for i, c in enumerate(t.columns)]))
+        one = held.select(F.lit(n).alias("table_name"), cols.alias("column_names"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def schema_text(info: DataFrame) -> DataFrame:
@@ -123,63 +144,108 @@ def schema_text(info: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL with errors as data
 
-_READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+# names of plan nodes that change something; anything else is a query
+_CHANGES = re.compile(r"^'?(Insert|Create|Drop|Alter|Replace|Truncate|Delete|Update|Merge|Overwrite|Append|Load|Cache|"
+                      r"Uncache|Refresh|Repair|Recover|Analyze|Set|Reset|Add|List|Comment|Rename|Call|Execute|Declare|"
+                      r"CompoundBody|SingleStatement)|Command$|Statement$")
+_NODE = re.compile(r"^[\s:|+-]*('?[A-Za-z][A-Za-z0-9]*)")
+
+
+def plan_nodes(spark: SparkSession, sql: str) -> list[str]:
+    """Node names of a statement's parsed plan, root first.  ``EXPLAIN`` parses
+    the statement and runs nothing."""
+    text = spark.sql("EXPLAIN EXTENDED\n" + sql).first()[0]
+    parsed = text.split("== Parsed Logical Plan ==", 1)[-1].split("== Analyzed Logical Plan ==", 1)[0]
+    return [m[1] for line in parsed.splitlines() if (m := _NODE.match(line))]
+
+
+def read_only(nodes: list[str]) -> bool:
+    """Whether no node of the plan, at any depth, is a command or a change."""
+    return bool(nodes) and not any(_CHANGES.search(n) for n in nodes)
+
+
+def _unique(names: list[str]) -> list[str]:
+    """Column names for JSON: a repeated name gets ``_2``, ``_3``, ..."""
+    out: list[str] = []
+    for n in names:
+        k, name = 1, n
+        while name in out:
+            k += 1
+            name = f"{n}_{k}"
+        out.append(name)
+    return out
+
+
+def _write_result(spark: SparkSession, sql: str, path: str) -> None:
+    """Rows of one statement as JSON (nulls kept, columns by position), with the
+    place that Spark's own order gives each row."""
+    res = spark.sql(sql)
+    names = _unique(res.columns)
+    flat = res.toDF(*[f"c{k}" for k in range(len(names))])
+    row = F.to_json(F.struct(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)]), {"ignoreNullFields": "false"})
+    flat.select(F.monotonically_increasing_id().alias("place"), row.alias("row_json")).write.parquet(path)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``place`` -> ``row_no`` from 0 per statement: rows are numbered inside
+    their partition, and one count per partition gives its offset."""
+    part = F.shiftright("place", 33)
+    rows = rows.withColumn("part", part)
+    sizes = rows.groupBy("stmt_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("stmt_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("stmt_id", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, ["stmt_id", "part"]).select(
+        "stmt_id", (F.col("start") + F.col("place") - F.col("first")).alias("row_no"), "row_json")
 
 
 def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
-              max_statements: int = 10_000, parallel: int = 4) -> DataFrame:
-    """Run a table of SQL statements; ``(sql, ok, row_json, error)`` per
+              page: int = 1000, parallel: int = 4) -> DataFrame:
+    """Run a table of SQL statements; ``(sql, ok, row_no, row_json, error)`` per
     distinct statement.
 
     Each distinct statement runs once as its own distributed job; its whole
-    result is written to the shared checkpoint folder, so a run-time error
-    surfaces inside the ``try`` and the result survives executor loss.  A
-    successful statement contributes one row per result row (``ok = true``),
-    or one row with a null ``row_json`` when its result is empty; a failing
-    one contributes one row with ``ok = false`` and the error text.  Only
-    ``SELECT``/``WITH`` statements are run.
-
-    Only the statement texts come to the driver (at most ``max_statements``),
-    never their results; results are read back from storage and are not
-    joined on the statement text, so a statement with a huge result is not a
-    hot join key.  Callers that need per-request rows join their own ids to
-    the (small) statement status.
+    result is written under one shared folder, so a run-time error surfaces
+    inside the ``try`` and the result survives executor loss.  A successful
+    statement contributes one row per result row (``row_no`` is its place, which
+    an ``ORDER BY`` makes meaningful), or one row with nulls when its result is
+    empty; a failing one contributes one row with ``ok = false`` and the whole
+    error text.  A statement is refused if its parsed plan holds a command or a
+    change at any depth.
+
+    Statement texts pass the driver in pages of ``page``, never their results;
+    results are read back from storage in one scan and joined on a statement
+    number, so neither the number of statements nor the size of a result has a
+    limit.
     """
-    # one bounded pass: never more than max_statements + 1 texts on the driver
-    texts = [r[0] for r in statements.select(sql_col).distinct().limit(max_statements + 1).collect()]
-    if len(texts) > max_statements:
-        raise ValueError(f"more than {max_statements} distinct statements")
-
-    def run_one(i_s):
-        i, s = i_s
-        if s is None or not _READ_ONLY.match(s):
-            return s, None, 0, "only SELECT or WITH statements are run"
-        path = scratch_path(spark, f"sql-{i}")
+    root = scratch_path(spark, "sql")
+
+    def run_one(k_s):
+        k, s = k_s
         try:
-            res = spark.sql(s)
-            (res.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns])).alias("row_json"))
-             .write.mode("overwrite").parquet(path))
-        except Exception as e:  # analysis, parse and run-time errors alike
-            msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-            return s, None, 0, msg
-        return s, path, spark.read.parquet(path).count(), None  # count from file metadata
-
-    # statements are independent jobs: submit them from a few driver threads;
-    # their failures are data here, so the client-side error log is quieted
+            if s is None or not read_only(plan_nodes(spark, s)):
+                return k, s, False, "refused: only queries are run"
+            _write_result(spark, s, f"{root}/rows/stmt_id={k}")
+        except Exception as e:  # parse, analysis and run-time errors alike
+            return k, s, False, str(e).strip() or type(e).__name__
+        return k, s, True, None
+
+    texts = (r[0] for r in statements.select(sql_col).distinct().toLocalIterator())
+    numbered, schema = enumerate(texts), f"stmt_id int, {sql_col} string, ok boolean, error string"
+    # failures are data here, so the client-side error log is quieted
     ctx_log = logging.getLogger("SQLQueryContextLogger")
     level = ctx_log.level
     ctx_log.setLevel(logging.CRITICAL)
+    ran = False
     try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(texts)))) as pool:
-            done = list(pool.map(run_one, enumerate(texts)))
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            while some := list(islice(numbered, page)):
+                done = list(pool.map(run_one, some))
+                ran = ran or any(d[2] for d in done)
+                spark.createDataFrame(done, schema).write.mode("append").parquet(f"{root}/status")
     finally:
         ctx_log.setLevel(level)
-    out = spark.createDataFrame(
-        [(s, p is not None, None, err) for s, p, n, err in done if p is None or n == 0],
-        f"{sql_col} string, ok boolean, row_json string, error string")
-    for s, p, n, err in done:
-        if p is not None and n > 0:
-            out = out.unionByName(spark.read.parquet(p).select(
-                F.lit(s).alias(sql_col), F.lit(True).alias("ok"), "row_json",
-                F.lit(None).cast("string").alias("error")))
-    return out
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{root}/status")
+    status = spark.read.schema(schema).parquet(f"{root}/status")
+    rows = _numbered(spark.read.schema("place long, row_json string, stmt_id int").parquet(f"{root}/rows")) if ran \
+        else spark.createDataFrame([], "stmt_id int, row_no long, row_json string")
+    return status.join(rows, "stmt_id", "left").select(sql_col, "ok", "row_no", "row_json", "error")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from . import relational
 
-# Message formats.
-UNKNOWN_FUNCTION = "Error: function {name} does not exist"
-SQL_ERROR = "query failed with error: {error}"
-ARGUMENTS_SCHEMA = "information string, query string, message string"
+# The argument that each tool needs.
+TOOL_ARGUMENT = {"get_information": "information", "ask_database": "query",
+                 "Answer_generic_questions": "message"}
 # Parameters with defaults of our own.
 DEFAULT_SYSTEM_PROMPT = "You are a service assistant. Call one tool per message."
+NO_ANSWER = "No article answers this."
 DEFAULT_INSTRUCTIONS = [
     ("get_query", "Ask for the scenario, then offer the SQL query."),
     ("get_information", "Answer from the documents and offer further help."),
@@ -31,46 +31,60 @@ def explode_tool_calls(messages: DataFrame, calls_col: str = "tool_calls") -> Da
                     F.col("_c.name").alias("name"), F.col("_c.arguments").alias("arguments")))
 
 
-def parse_tool_call(calls: DataFrame, args_col: str = "arguments") -> DataFrame:
-    """Decode JSON arguments (never ``eval``); ``args_ok`` is false for text
-    that is not JSON, whose fields are then null."""
-    parsed = F.from_json(F.col(args_col), ARGUMENTS_SCHEMA)
-    ok = F.get_json_object(F.col(args_col), "$").isNotNull()
-    return calls.select("*", ok.alias("args_ok"),
-                        F.when(ok, parsed["information"]).alias("information"),
-                        F.when(ok, parsed["query"]).alias("query"),
-                        F.when(ok, parsed["message"]).alias("message"))
+def parse_tool_call(calls: DataFrame, args_col: str = "arguments", name_col: str = "name") -> DataFrame:
+    """Decode JSON arguments (never ``eval``).
+
+    ``args_ok`` asks for one JSON object, parsed to its end, that holds the
+    argument of the named tool as a string (an unknown tool needs none).  A
+    field is null if the text is no such object or the field is no string.
+    """
+    # Parsers stop at the end of the first value.  Inside an array that a mark of
+    # the text itself ends, anything after the object shows.
+    mark = F.md5(F.col(args_col))
+    whole = F.from_json(F.concat(F.lit("["), F.col(args_col), F.lit(',"'), mark, F.lit('"]')), "array<string>")
+    alone = (F.size(whole) == 2) & (F.get(whole, F.lit(1)) == mark)
+    value = F.try_parse_json(F.when(alone, F.col(args_col)))
+    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    out = calls.withColumns({"_v": value, "_ok": is_object})
+
+    def field(key):
+        one = F.try_variant_get(F.col("_v"), f"$.{key}", "variant")
+        return F.when(F.col("_ok") & (F.schema_of_variant(one) == "STRING"), F.try_variant_get(F.col("_v"), f"$.{key}", "string"))
+
+    keys = list(dict.fromkeys(TOOL_ARGUMENT.values()))
+    out = out.select("*", *[field(k).alias(k) for k in keys])
+    need = F.lit(True)
+    for tool, key in TOOL_ARGUMENT.items():
+        need = F.when(F.col(name_col) == tool, F.col(key).isNotNull()).otherwise(need)
+    return out.withColumn("args_ok", F.col("_ok") & need).select(*calls.columns, "args_ok", *keys)
 
 
 def route_tool_call(parsed: DataFrame, name_col: str = "name") -> DataFrame:
     """``route`` and ``reply`` per call: retrieval question, SQL text, or a
-    direct message; unknown tools and malformed arguments go to ``error``."""
+    direct message; unknown tools and malformed arguments go to ``error`` with
+    a text.  ``reply`` is never null."""
     n = F.col(name_col)
-    route = (F.when(~F.col("args_ok"), F.lit("error"))
-             .when(n == "get_information", F.lit("retrieval"))
-             .when(n == "ask_database", F.lit("sql"))
-             .when(n == "Answer_generic_questions", F.lit("message"))
-             .otherwise(F.lit("error")))
-    unknown = F.concat(F.lit("Error: function "), n, F.lit(" does not exist"))
-    reply = (F.when(~F.col("args_ok") & n.isin("get_information", "ask_database",
-                                               "Answer_generic_questions"),
-                    F.concat(F.lit("Error: malformed arguments for "), n))
-             .when(n == "get_information", F.col("information"))
-             .when(n == "ask_database", F.col("query"))
-             .when(n == "Answer_generic_questions", F.col("message"))
-             .otherwise(unknown))
-    return parsed.select("*", route.alias("route"), reply.alias("reply"))
+    known = F.coalesce(n.isin(*TOOL_ARGUMENT), F.lit(False))
+    route = F.lit("error")
+    reply = F.concat(F.lit("Error: function "), F.coalesce(n, F.lit("without a name")), F.lit(" does not exist"))
+    for tool, to in (("get_information", "retrieval"), ("ask_database", "sql"), ("Answer_generic_questions", "message")):
+        route = F.when(n == tool, F.lit(to)).otherwise(route)
+        reply = F.when(n == tool, F.col(TOOL_ARGUMENT[tool])).otherwise(reply)
+    bad = known & ~F.col("args_ok")
+    return parsed.select(
+        "*", F.when(bad, F.lit("error")).otherwise(route).alias("route"),
+        F.when(bad, F.concat(F.lit("Error: malformed arguments for "), n)).otherwise(reply).alias("reply"))
 
 
 def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SYSTEM_PROMPT,
                          key: str = "conv_id", order: str = "turn", role: str = "role",
-                         text: str = "text", block_turns: int | None = None) -> DataFrame:
+                         text: str = "text", block_turns: int | None = 64) -> DataFrame:
     """Messages visible at each turn: the system prompt, then every turn up to
     and including this one, in order.  ``(conv_id, turn, n_messages,
     history)``.
 
-    Without ``block_turns``: one window per conversation with a growing frame.
-    With ``block_turns = B``: turns are cut into blocks of ``B``; a turn's
+    With ``block_turns = None``: one window per conversation with a growing
+    frame.  With ``block_turns = B``: turns are cut into blocks of ``B``; a turn's
     history is the messages of all earlier blocks (one window over block
     rows, ``n / B`` per conversation) followed by a running list inside its
     own ``(conversation, block)`` partition.  A conversation holding a large
@@ -102,16 +116,34 @@ def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SY
         .select(key, order, F.size("history").alias("n_messages"), "history")
 
 
-def append_reply(conv: DataFrame, routed: DataFrame, key: str = "conv_id",
-                 order: str = "turn") -> DataFrame:
-    """Conversation rows plus one assistant reply after each routed call:
-    ``(conv_id, turn, seq, role, content)``; ``seq`` 1 marks a reply."""
-    base = conv.select(key, order, F.lit(0).alias("seq"), "role", F.col("text").alias("content"))
-    replies = routed.where(F.col("reply").isNotNull()).select(
-        key, order, F.lit(1).alias("seq"),
-        F.when(F.col("route") == "sql", F.lit("tool")).otherwise(F.lit("assistant")).alias("role"),
-        F.col("reply").alias("content"))
-    return base.unionByName(replies)
+def append_reply(conv: DataFrame, routed: DataFrame, answers: DataFrame | None = None,
+                 results: DataFrame | None = None, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Conversation rows plus what each routed call adds after its turn:
+    ``(conv_id, turn, seq, role, call_id, content)``, ``seq`` from 1 in the
+    order of the calls.
+
+    A message or an error is an assistant's message; so is the SQL text of an
+    ``sql`` route, followed by a ``tool`` message with the call's id and its
+    result if ``results`` (``call_id, content``) has one.  A retrieval question
+    is answered: ``answers`` (``call_id, answer``) holds what the documents say.
+    No call is dropped.
+    """
+    none = F.lit(None).cast("string")
+    base = conv.select(key, order, F.lit(0).alias("seq"), "role", none.alias("call_id"), F.col("text").alias("content"))
+    calls = routed
+    content = F.col("reply")
+    if answers is not None:
+        calls = calls.join(answers.select("call_id", "answer"), "call_id", "left")
+        content = F.when(F.col("route") == "retrieval", F.coalesce("answer", F.lit(NO_ANSWER))).otherwise(content)
+    no = F.col("call_no") if "call_no" in routed.columns else F.lit(0)
+    said = calls.select(key, order, (2 * no + 1).alias("seq"), F.lit("assistant").alias("role"), "call_id",
+                        content.alias("content"))
+    out = base.unionByName(said)
+    if results is not None:
+        ran = routed.where(F.col("route") == "sql").join(results.select("call_id", F.col("content").alias("result")), "call_id")
+        out = out.unionByName(ran.select(key, order, (2 * no + 2).alias("seq"), F.lit("tool").alias("role"), "call_id",
+                                         F.col("result").alias("content")))
+    return out
 
 
 def instructions_table(spark: SparkSession, rows=DEFAULT_INSTRUCTIONS) -> DataFrame:
@@ -126,30 +158,38 @@ def instructions_lookup(calls: DataFrame, instructions: DataFrame,
                       calls[name_col] == instructions["type"], "left").drop("type")
 
 
-def sql_tool_answer(spark: SparkSession, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sql_tool_answer(spark: SparkSession, routed: DataFrame,
+                    max_result_chars: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Run the SQL of every ``sql`` route once per distinct statement.
 
     Returns ``(answers, rows)``: per call ``(conv_id, turn, call_id, ok,
-    n_rows, content)`` where content is the tool message (row count or
-    ``query failed with error: ...``), and the whole result rows
-    ``(sql, row_json)`` kept as a table rather than gathered into a message.
+    n_rows, content)``, where content is the tool message, and the whole result
+    rows ``(sql, row_no, row_json)``.  The message holds the rows in order as
+    one JSON array.  A result of more than ``max_result_chars`` characters does
+    not fit a message: it says how many rows there are, and they stay in
+    ``rows``.  A failure reads ``query failed with error: ...``.
     """
-    calls = routed.where(F.col("route") == "sql").select("conv_id", "turn", "call_id",
-                                                        F.col("reply").alias("sql"))
+    calls = routed.where(F.col("route") == "sql").select("conv_id", "turn", "call_id", F.col("reply").alias("sql"))
     res = relational.sql_batch(spark, calls, sql_col="sql")
-    # one small status row per distinct statement, joined back to every call
+    # sizes first: only results that fit a message are gathered into one
     per = res.groupBy("sql").agg(
-        F.bool_and("ok").alias("ok"), F.count("row_json").alias("n_rows"),
-        F.max("error").alias("error"))
-    content = F.when(F.col("ok"), F.concat(F.lit("query returned "), F.col("n_rows").cast("string"),
-                                           F.lit(" rows"))) \
-        .otherwise(F.concat(F.lit("query failed with error: "), F.col("error")))
-    answers = calls.join(per, "sql").select("conv_id", "turn", "call_id", "ok", "n_rows",
-                                            content.alias("content"))
-    rows = res.where(F.col("ok")).select("sql", "row_json")
+        F.bool_and("ok").alias("ok"), F.count("row_json").alias("n_rows"), F.max("error").alias("error"),
+        F.coalesce(F.sum(F.char_length("row_json") + 2), F.lit(0)).alias("chars"))
+    fits = per.where(F.col("ok") & (F.col("chars") <= max_result_chars)).select(F.col("sql").alias("of"))
+    texts = (res.join(fits, res["sql"] == fits["of"], "left_semi").where(F.col("row_json").isNotNull()).groupBy("sql")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_json"))),
+                                           lambda x: x["row_json"]), ", ").alias("rows_text")))
+    per = per.join(texts, "sql", "left")
+    content = (F.when(~F.col("ok"), F.concat(F.lit("query failed with error: "), F.col("error")))
+               .when(F.col("chars") > max_result_chars,
+                     F.concat(F.lit("query returned "), F.col("n_rows").cast("string"), F.lit(" rows")))
+               .otherwise(F.concat(F.lit("["), F.coalesce("rows_text", F.lit("")), F.lit("]"))))
+    answers = calls.join(per, "sql").select("conv_id", "turn", "call_id", "ok", "n_rows", content.alias("content"))
+    rows = res.where(F.col("ok") & F.col("row_json").isNotNull()).select("sql", "row_no", "row_json")
     return answers, rows
 
 
-def tool_message(call_id: Column, content: Column) -> Column:
-    return F.struct(F.lit("tool").alias("role"), call_id.alias("tool_call_id"),
-                    content.alias("content"))
+def tool_message(call_id: Column, name: Column, content: Column) -> Column:
+    """A message of role ``tool`` with the call that it answers."""
+    return F.struct(F.lit("tool").alias("role"), content.alias("content"), call_id.alias("tool_call_id"),
+                    name.alias("name"))

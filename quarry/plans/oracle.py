@@ -92,7 +92,7 @@ TOPN = rank_cte("topn", f"SELECT q.id AS qid, d.id AS id, {score_expr('cosine',
                         "FROM q_emb q CROSS JOIN d_emb d", "cosine", Q.TOP_N)
 VEC = """vq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 vc AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, d.text FROM embeddings e
-  JOIN documents d ON e.vec_id = d.doc_id)"""
+  LEFT JOIN documents d ON e.vec_id = d.doc_id)"""
 
 
 def vec_rank(metric: str, k: int, name: str = "r") -> str:
@@ -133,7 +133,7 @@ tlv AS (SELECT *, CASE WHEN regexp_matches(line, {HEAD}) THEN length(regexp_extr
 tsn AS (SELECT *, CAST(sum(CASE WHEN lvl > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS sec_no FROM tlv),
 tsec AS (SELECT doc_id, title, sec_no, max(lvl) AS lvl,
-  max(CASE WHEN lvl > 0 THEN trim(line, '= ') END) AS stitle,
+  max(CASE WHEN lvl > 0 THEN line END) AS stitle,
   coalesce(array_to_string(list(line ORDER BY pos) FILTER (WHERE lvl = 0), chr(10)), '') AS text
   FROM tsn GROUP BY 1, 2, 3),
 tanc AS (SELECT *, {", ".join(anc)} FROM tsec
@@ -147,7 +147,7 @@ IGNORE_LIST = "[" + ", ".join("'" + x + "'" for x in dict.fromkeys(corpus.SECTIO
 
 def prepared() -> str:
     return f"""kept_tree AS (SELECT * FROM tree WHERE NOT coalesce(
-  list_has_any(list_slice(titles, 2, len(titles)), {IGNORE_LIST}), false)),
+  list_has_any(list_transform(list_slice(titles, 2, len(titles)), lambda x: trim(x, '= ')), {IGNORE_LIST}), false)),
 prep AS (SELECT doc_id, sec_no, level, titles, text FROM (
   SELECT doc_id, sec_no, level, titles, {clean('text')} AS text FROM kept_tree)
   WHERE length(text) >= {TX.MIN_SECTION_CHARS})"""
@@ -223,34 +223,43 @@ mail AS (SELECT c.conv_id AS mailbox, c.turn AS msg_no, c.role AS sender,
 
 TOOL_LIST = "[" + ", ".join(f"'{x}'" for x in derived.TOOL_NAMES + [derived.UNKNOWN_TOOL]) + "]"
 SQL_LIST = "[" + ", ".join(s(x) for x in derived.TOOL_SQL) + "]"
+BAD_LIST = "[" + ", ".join(s(x) for x in derived.BAD_ARGUMENTS) + "]"
 
 
 def calls() -> str:
-    return f"""calls AS (SELECT conv_id, turn, 'call_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS call_id,
-  {TOOL_LIST}[CAST((conv_id + turn) % 4 AS INTEGER) + 1] AS name, text, conv_id % 4 AS sq,
-  (conv_id + turn) % 13 = 0 AS bad FROM conversations WHERE role = 'user'),
-calls2 AS (SELECT conv_id, turn, call_id, name, CASE WHEN bad THEN '{{bad' ELSE
-  CASE WHEN name = 'get_information' THEN CAST(to_json(struct_pack(information := text)) AS VARCHAR)
-       WHEN name = 'ask_database' THEN CAST(to_json(struct_pack(query := {SQL_LIST}[CAST(sq AS INTEGER) + 1])) AS VARCHAR)
-       ELSE CAST(to_json(struct_pack(message := text)) AS VARCHAR) END END AS arguments FROM calls),
-parsed AS (SELECT *, coalesce(json_valid(arguments), false) AS args_ok FROM calls2),
-parsed2 AS (SELECT *, CASE WHEN args_ok THEN json_extract_string(arguments, '$.information') END AS information,
-  CASE WHEN args_ok THEN json_extract_string(arguments, '$.query') END AS query,
-  CASE WHEN args_ok THEN json_extract_string(arguments, '$.message') END AS message FROM parsed),
+    sql = f"CAST(to_json(struct_pack(query := {SQL_LIST}[CAST(conv_id % {len(derived.TOOL_SQL)} AS INTEGER) + 1])) AS VARCHAR)"
+    cid = "'call_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR)"
+    known = ", ".join(f"'{t}'" for t in derived.TOOL_NAMES)
+    fields = ", ".join(
+        f"CASE WHEN is_object AND json_type(arguments, '$.{k}') = 'VARCHAR' "
+        f"THEN json_extract_string(arguments, '$.{k}') END AS {k}" for k in ("information", "query", "message"))
+    return f"""asked AS (SELECT conv_id, turn, text, conv_id + turn AS place,
+  {TOOL_LIST}[CAST((conv_id + turn) % 4 AS INTEGER) + 1] AS name FROM conversations WHERE role = 'user'),
+calls2 AS (SELECT conv_id, turn, 0 AS call_no, {cid} AS call_id, name,
+  CASE WHEN place % 13 = 0 THEN {BAD_LIST}[CAST(conv_id % {len(derived.BAD_ARGUMENTS)} AS INTEGER) + 1]
+    WHEN name = 'get_information' THEN CAST(to_json(struct_pack(information := text)) AS VARCHAR)
+    WHEN name = 'ask_database' THEN {sql}
+    ELSE CAST(to_json(struct_pack(message := text)) AS VARCHAR) END AS arguments FROM asked
+  UNION ALL SELECT conv_id, turn, 1, {cid} || '_1', 'ask_database', {sql} FROM asked WHERE place % 5 = 0),
+checked AS (SELECT *, CASE WHEN json_valid(arguments) THEN json_type(arguments) = 'OBJECT' ELSE false END AS is_object
+  FROM calls2),
+parsed AS (SELECT *, {fields} FROM checked),
+parsed2 AS (SELECT *, is_object AND CASE name WHEN 'get_information' THEN information IS NOT NULL
+  WHEN 'ask_database' THEN query IS NOT NULL WHEN 'Answer_generic_questions' THEN message IS NOT NULL
+  ELSE true END AS args_ok FROM parsed),
 routed AS (SELECT *, CASE WHEN NOT args_ok THEN 'error' WHEN name = 'get_information' THEN 'retrieval'
     WHEN name = 'ask_database' THEN 'sql' WHEN name = 'Answer_generic_questions' THEN 'message'
     ELSE 'error' END AS route,
-  CASE WHEN NOT args_ok AND name IN ('get_information', 'ask_database', 'Answer_generic_questions')
-      THEN 'Error: malformed arguments for ' || name
+  CASE WHEN NOT args_ok AND name IN ({known}) THEN 'Error: malformed arguments for ' || name
     WHEN name = 'get_information' THEN information WHEN name = 'ask_database' THEN query
     WHEN name = 'Answer_generic_questions' THEN message
     ELSE 'Error: function ' || name || ' does not exist' END AS reply FROM parsed2)"""
 
 
-def prompts() -> str:
+def prompts(articles: str = "documents d ON d.doc_id = t.id") -> str:
     intro = context.DEFAULT_INTRO
     art = f"{s(context.ARTICLE_PREFIX)} || r.text || {s(context.ARTICLE_SUFFIX)}"
-    return f"""ranked AS (SELECT t.qid, t.rank, d.text FROM topn t JOIN documents d ON d.doc_id = t.id),
+    return f"""ranked AS (SELECT t.qid, t.rank, d.text FROM topn t JOIN {articles}),
 art AS (SELECT qid, rank, article, {ntok('article')} AS article_tokens FROM (
   SELECT r.qid, r.rank, {art} AS article FROM ranked r)),
 cum AS (SELECT *, CAST(sum(article_tokens) OVER (PARTITION BY qid ORDER BY rank
@@ -304,7 +313,7 @@ ORACLE["category_pages"] = f"{with_(edges(), cat_pages('cp', 'root', Q.CATEGORY_
 ORACLE["page_text_scan"] = (f"{with_(edges(), cat_pages('cp', 'root', Q.CATEGORY_DEPTH))} "
                             "SELECT cp.title, d.text FROM cp JOIN documents d ON CAST(d.doc_id AS VARCHAR) = cp.title")
 IDX = """idx AS (SELECT row_number() OVER (ORDER BY e.vec_id) - 1 AS ix, e.vec_id, d.text, e.embedding
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
+  FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"""
 ORACLE["vector_index_build"] = f"{with_(IDX)} SELECT ix, vec_id, text, len(embedding) AS width FROM idx"
 ORACLE["vector_index_save"] = (f"{with_(IDX)} SELECT ix, vec_id, len(embedding) AS width, "
                                "round(CAST(embedding[1] AS DOUBLE), 6) AS \"first\" FROM idx")
@@ -339,8 +348,10 @@ ORACLE["rename_cols"] = (f"{with_(DOC_EMB)} SELECT d.text, len(e.e) AS width, ro
                          "FROM d_emb e JOIN documents d ON d.doc_id = e.id")
 ORACLE["keep_section"] = (f"{with_(wiki(), summary())} SELECT doc_id, text FROM (SELECT doc_id, "
                           f"{clean('text')} AS text FROM summ) WHERE length(text) >= {TX.MIN_SECTION_CHARS}")
-ORACLE["dedup_by_text"] = ("SELECT text, min(doc_id) AS pos, max(doc_id) AS last_pos, count(*) AS n_copies "
-                           "FROM documents GROUP BY text")
+ORACLE["dedup_by_text"] = f"""{with_(DOC_EMB)} SELECT d.text, min(doc_id) AS pos, max(doc_id) AS last_pos,
+  count(*) AS n_copies, arg_max(source, doc_id) AS source,
+  CAST(to_json(list_transform(arg_max(e.e, doc_id), lambda x: CAST(round(x * 1000000) AS BIGINT))) AS VARCHAR) AS vec
+  FROM documents d JOIN d_emb e ON e.id = d.doc_id GROUP BY d.text"""
 ORACLE["distinct_titles"] = f"{with_(edges())} SELECT DISTINCT child AS title FROM edges WHERE kind = 'page'"
 ORACLE["member_kind"] = (f"{with_(edges())} SELECT parent, count_if(kind = 'page') AS n_pages, "
                          "count_if(kind = 'category') AS n_categories FROM edges GROUP BY parent")
@@ -391,8 +402,10 @@ ORACLE["budget_prefix"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN, prompts())} "
 ORACLE["conversation_history"] = (f"{with_(history())} SELECT conv_id, turn, CAST(len(h) AS INTEGER) AS n_messages, "
                                   "to_json(h) AS history FROM hist")
 ORACLE["order_check"] = """SELECT 'n_in' AS metric, count(*) AS value FROM documents
-  UNION ALL SELECT 'n_out', count(DISTINCT doc_id) FROM documents
-  UNION ALL SELECT 'n_missing', 0 UNION ALL SELECT 'n_extra', 0"""
+  UNION ALL SELECT 'n_out', count(*) FROM documents
+  UNION ALL SELECT 'n_missing', 0 UNION ALL SELECT 'n_extra', 0
+  UNION ALL SELECT 'n_repeated_ids', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)
+  UNION ALL SELECT 'n_wrong', 0"""
 
 # ------------------------------------------------------------------ F.
 
@@ -431,22 +444,31 @@ ORACLE["rstrip_question"] = (f"SELECT conv_id, turn, regexp_replace(text || ' '
                              "WHERE role = 'user'")
 
 
+# as DuckDB must be asked where the statement repeats a column name
+ASKED = {4: derived.TOOL_SQL[4].replace("d.alert_id, NULL", "d.alert_id AS alert_id_2, NULL").split("\n", 1)[1]}
+
+
 def _sql_results() -> str:
     rows = []
-    for stmt in derived.TOOL_SQL:
-        if "nope" in stmt:
-            rows.append(f"SELECT {s(stmt)} AS sql, false AS ok, CAST(NULL AS VARCHAR) AS row_json, 0 AS n")
+    for k, stmt in enumerate(derived.TOOL_SQL):
+        if k in derived.FAILING_SQL:
+            rows.append(f"SELECT {s(stmt)} AS sql, false AS ok, CAST(NULL AS BIGINT) AS row_no, "
+                        "CAST(NULL AS VARCHAR) AS row_json")
         else:
-            rows.append(f"SELECT {s(stmt)} AS sql, true AS ok, to_json(t) AS row_json, 1 AS n FROM ({stmt}) t")
+            rows.append(f"SELECT {s(stmt)} AS sql, true AS ok, row_no, row_json FROM (SELECT 1) one LEFT JOIN "
+                        f"(SELECT row_number() OVER () - 1 AS row_no, CAST(to_json(t) AS VARCHAR) AS row_json "
+                        f"FROM ({ASKED.get(k, stmt)}) t) r ON true")
     return "res AS (" + " UNION ALL ".join(rows) + ")"
 
 
-ORACLE["sql_batch"] = (f"{with_(ALERTS, DEALS, calls(), _sql_results())} SELECT sql, ok, row_json FROM res "
+PER_SQL = """per AS (SELECT sql, bool_and(ok) AS ok, count(row_json) AS n_rows,
+  CASE WHEN bool_and(ok) THEN '[' || coalesce(string_agg(row_json, ', ' ORDER BY row_no), '') || ']'
+  ELSE 'query failed with error: ' END AS content FROM res GROUP BY sql)"""
+ORACLE["sql_batch"] = (f"{with_(ALERTS, DEALS, calls(), _sql_results())} SELECT sql, ok, row_no, row_json FROM res "
                        "WHERE sql IN (SELECT reply FROM routed WHERE route = 'sql')")
-ORACLE["sql_tool_answer"] = f"""{with_(ALERTS, DEALS, calls(), _sql_results())},
-per AS (SELECT sql, bool_and(ok) AS ok, CAST(sum(n) AS BIGINT) AS n_rows FROM res GROUP BY sql)
-  SELECT r.call_id, p.ok, p.n_rows, CASE WHEN p.ok THEN 'query returned ' || CAST(p.n_rows AS VARCHAR) || ' rows'
-  END AS content FROM routed r JOIN per p ON p.sql = r.reply WHERE r.route = 'sql'"""
+ORACLE["sql_tool_answer"] = f"""{with_(ALERTS, DEALS, calls(), _sql_results(), PER_SQL)}
+  SELECT r.call_id, p.ok, p.n_rows, CASE WHEN p.ok THEN p.content END AS content
+  FROM routed r JOIN per p ON p.sql = r.reply WHERE r.route = 'sql'"""
 
 CATALOG = [
     ("alerts_table", [("alert_id", "string"), ("alert_date", "date"), ("trader_id", "string"),
@@ -460,11 +482,15 @@ ORACLE["catalog_columns"] = f"{with_(ALERTS, DEALS)} " + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, '{ty}' AS data_type, "
     f"count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct FROM {t}"
     for t, cols in CATALOG for i, (c, ty) in enumerate(cols))
-ORACLE["catalog_info"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, to_json([{', '.join(repr(c) for c, _ in cols)}]) AS column_names"
-    for t, cols in CATALOG)
+IN_USE = "in_use AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS c FROM {t} HAVING count({c}) > 0"
+    for t, cols in CATALOG for i, (c, _) in enumerate(cols)) + ")"
+ORACLE["catalog_info"] = (f"{with_(ALERTS, DEALS, IN_USE)} SELECT table_name, CAST(to_json(list(c ORDER BY ordinal)) AS VARCHAR) "
+                          "AS column_names FROM in_use GROUP BY table_name")
 SCHEMA_TEXT = "\n".join(f"Table: {t}\nColumns: {', '.join(c for c, _ in cols)}" for t, cols in CATALOG)
-ORACLE["schema_text"] = f"SELECT {s(SCHEMA_TEXT)} AS schema_text"
+ORACLE["schema_text"] = (f"{with_(ALERTS, DEALS, IN_USE)} SELECT string_agg('Table: ' || table_name || chr(10) || 'Columns: ' "
+                         "|| cols, chr(10) ORDER BY table_name) AS schema_text FROM (SELECT table_name, "
+                         "string_agg(c, ', ' ORDER BY ordinal) AS cols FROM in_use GROUP BY table_name)")
 ORACLE["section_summary"] = f"{with_(wiki(), summary())} SELECT doc_id, title AS path, text FROM summ"
 ORACLE["section_tree"] = (f"{with_(wiki(), tree())} SELECT doc_id, sec_no, level, "
                           "array_to_string(titles, ' > ') AS path, text FROM tree")
@@ -476,24 +502,48 @@ ORACLE["truncate_tokens"] = (f"SELECT doc_id, array_to_string(list_slice(regexp_
                              f"1, {Q.CHUNK_TOKENS}), '') AS text FROM documents")
 ORACLE["chunk_recursive"] = (f"{with_(wiki(), tree(), prepared(), chunks())} SELECT doc_id, sec_no, piece_no, "
                              f"text, {ntok('text')} AS n_tokens FROM strings")
-ORACLE["prompt_article"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN, prompts())} SELECT qid, "
+ORACLE["prompt_article"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN, prompts())} SELECT qid, rank, "
                             f"{s(context.ARTICLE_PREFIX)} || text || {s(context.ARTICLE_SUFFIX)} AS article "
-                            "FROM ranked WHERE rank = 1")
+                            "FROM ranked")
 ORACLE["build_prompt"] = f"{with_(DOC_EMB, BENCH_EMB, TOPN, prompts())} SELECT * FROM prompts"
 ORACLE["chat_request"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN, prompts())} SELECT qid, {request('prompt')} AS request "
                           "FROM prompts")
-ORACLE["answer_questions"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN, prompts())} SELECT qid, n_articles, "
-                              f"{request('prompt')} AS request FROM prompts")
+CHUNKS = """chunk_rows AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1) // 5
+  AS chunk_no, block_no, text FROM blocks WHERE NOT regexp_matches(tag, '^h[1-6]$') AND text <> ''),
+page_chunks AS (SELECT page_id * 1000000 + chunk_no AS at_no, string_agg(text, ' ' ORDER BY block_no) AS text
+  FROM chunk_rows GROUP BY page_id, chunk_no),
+chunks AS (SELECT min(at_no) AS id, text FROM page_chunks GROUP BY text)"""
+CHUNK_TOPN = rank_cte("topn", f"SELECT q.id AS qid, c.id AS id, {score_expr('cosine', 'q.e', 'c.e')} AS score "
+                              "FROM q_emb q CROSS JOIN c_emb c", "cosine", Q.TOP_N)
+ORACLE["answer_questions"] = (
+    f"{with_(BLOCKS, CHUNKS, emb('c', 'SELECT id, text FROM chunks'), BENCH_EMB, CHUNK_TOPN, prompts('chunks d ON d.id = t.id'))} "
+    f"SELECT qid, n_articles, {request('prompt')} AS request FROM prompts")
+ORACLE["pluggable_similarity"] = with_(VEC, rank_cte(
+    "r", "SELECT q.qid, c.id, round(-list_sum(list_transform(range(1, len(q.v) + 1), lambda i: abs(q.v[i] - c.v[i]))), 6) "
+         "AS score FROM vq q CROSS JOIN vc c", "cosine", Q.K_NN)) + " SELECT * FROM r"
 TOOLS_JSON = json.dumps(context.tool_definitions(SCHEMA_TEXT), ensure_ascii=False, separators=(",", ":"))
-ORACLE["attach_tools"] = (f"{with_(history())} SELECT conv_id, to_json(struct_pack(model := '{context.DEFAULT_MODEL}', "
+ORACLE["attach_tools"] = (f"{with_(history())} SELECT hist.conv_id, hist.turn, to_json(struct_pack(model := '{context.DEFAULT_MODEL}', "
                           f"messages := h, temperature := CAST(0.0 AS DOUBLE), tools := CAST({s(TOOLS_JSON)} AS JSON), "
-                          "tool_choice := 'required')) AS request FROM hist WHERE turn = 0")
-ORACLE["parse_tool_call"] = (f"{with_(calls())} SELECT call_id, name, args_ok, information, query, message "
+                          "tool_choice := 'required')) AS request FROM hist SEMI JOIN "
+                          "(SELECT * FROM conversations WHERE role = 'user') c USING (conv_id, turn)")
+ORACLE["parse_tool_call"] = (f"{with_(calls())} SELECT call_id, call_no, name, args_ok, information, query, message "
                              "FROM parsed2")
 ORACLE["route_tool_call"] = f"{with_(calls())} SELECT call_id, route, reply FROM routed"
-ORACLE["append_reply"] = f"""{with_(calls())} SELECT conv_id, turn, 0 AS seq, role, text AS content FROM conversations
-  UNION ALL SELECT conv_id, turn, 1, CASE WHEN route = 'sql' THEN 'tool' ELSE 'assistant' END, reply
-  FROM routed WHERE reply IS NOT NULL"""
+ASKED_EMB = emb("r", "SELECT call_id AS id, reply AS text FROM routed WHERE route = 'retrieval'")
+NEAREST = rank_cte("rtop", f"SELECT r.id AS qid, d.id AS id, {score_expr('cosine', 'r.e', 'd.e')} AS score "
+                           "FROM r_emb r CROSS JOIN d_emb d", "cosine", 1)
+_ARTICLE = f"{s(context.ARTICLE_PREFIX)} || d.text || {s(context.ARTICLE_SUFFIX)}"
+_QUESTION = f"{s(context.QUESTION_PREFIX)} || c.reply"
+ORACLE["append_reply"] = f"""{with_(ALERTS, DEALS, calls(), _sql_results(), PER_SQL, DOC_EMB, ASKED_EMB, NEAREST)},
+answers AS (SELECT c.call_id, string_split(d.text, chr(10))[1] AS answer FROM rtop t JOIN documents d ON d.doc_id = t.id
+  JOIN routed c ON c.call_id = t.qid
+  WHERE {ntok(s(context.DEFAULT_INTRO))} + {ntok(_ARTICLE)} + {ntok(_QUESTION)} <= {context.TOKEN_BUDGET})
+SELECT conv_id, turn, 0 AS seq, role, CAST(NULL AS VARCHAR) AS call_id, text AS content FROM conversations
+UNION ALL SELECT c.conv_id, c.turn, 2 * c.call_no + 1, 'assistant', c.call_id,
+  CASE WHEN c.route = 'retrieval' THEN coalesce(a.answer, {s(toolcalls.NO_ANSWER)}) ELSE c.reply END
+  FROM routed c LEFT JOIN answers a USING (call_id)
+UNION ALL SELECT c.conv_id, c.turn, 2 * c.call_no + 2, 'tool', c.call_id, p.content
+  FROM routed c JOIN per p ON p.sql = c.reply WHERE c.route = 'sql'"""
 ORACLE["score_text"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN)} SELECT qid, rank, 'relatedness=' || "
                         "CAST(CAST(CAST(score AS DECIMAL(18, 6)) AS DECIMAL(18, 2)) AS VARCHAR) AS score_text FROM topn")
 

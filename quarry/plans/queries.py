@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,7 @@ CHUNK_TOKENS = 1600
 CATEGORY_ROOT = "root"
 CATEGORY_DEPTH = 2
 FILTER_DEAL = "deal_7"
+QUERY_FAILED = "query failed with error: "
 HISTORY_BLOCK = 4  # turns per history block (small here so the tables exercise several)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,11 +70,15 @@ def _bench_emb(spark, sf):
 
 
 def _vec_corpus(spark, sf):
-    """Stored vectors that have a document: ``(id, vec, text)``."""
-    e = _t(spark, sf, "embeddings")
+    """All stored vectors: ``(id, vec)``."""
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _vec_texts(spark, sf):
+    """Stored vectors with the text of their document, null without one."""
     d = _t(spark, sf, "documents").select("doc_id", "text")
-    return e.join(d, e["vec_id"] == d["doc_id"]).select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "text")
+    c = _vec_corpus(spark, sf)
+    return c.join(d, c["id"] == d["doc_id"], "left").select("id", "vec", "text")
 
 
 def _vec_queries(spark, sf):
@@ -242,7 +248,7 @@ def q_page_text_scan(spark, sf):
 
 
 def _index(spark, sf):
-    c = _vec_corpus(spark, sf)
+    c = _vec_texts(spark, sf)
     return files.vector_index_build(c, "id", "text", "vec", id_col="ix").withColumnRenamed("id", "vec_id")
 
 
@@ -271,8 +277,7 @@ def q_vector_index_load(spark, sf):
 
 
 def _synth(spark, sf):
-    a, d = derived.synth_alerts_deals(_t(spark, sf, "orders"))
-    return a.join(d.select("alert_id", "price", "volume"), "alert_id")
+    return derived.synth_rows(_t(spark, sf, "orders"))
 
 
 @query("synth_alerts_deals")
@@ -318,7 +323,10 @@ def q_is_heading(spark, sf):
 
 @query("dedup_by_text")
 def q_dedup_by_text(spark, sf):
-    return corpus.dedup_by_text(_t(spark, sf, "documents"), "doc_id")
+    d = embed.hashed_embedding(_t(spark, sf, "documents"), "doc_id", "text", out_col="vec", carry=("text", "source"))
+    out = corpus.dedup_by_text(d, "doc_id", value_cols=("source", "vec"))
+    return out.select("text", "pos", "last_pos", "n_copies", "source",
+                      F.to_json(F.transform("vec", lambda x: F.round(x * 1_000_000).cast("long"))).alias("vec"))
 
 
 @query("distinct_titles")
@@ -360,9 +368,9 @@ def q_join_alert_deal(spark, sf):
 
 @query("lookup_text")
 def q_lookup_text(spark, sf):
-    c = _vec_corpus(spark, sf)
-    res = knn.nearest(_vec_queries(spark, sf), c, K_NN, "l2")
-    return res.join(c.select("id", "text"), "id").select("qid", "rank", "id", "text")
+    res = knn.nearest(_vec_queries(spark, sf), _vec_corpus(spark, sf), K_NN, "l2")
+    texts = _t(spark, sf, "documents").select("doc_id", "text")
+    return res.join(texts, res["id"] == texts["doc_id"], "left").select("qid", "rank", "id", "text")
 
 
 @query("query_x_corpus")
@@ -437,15 +445,25 @@ def q_conversation_history(spark, sf):
 
 @query("order_check")
 def q_order_check(spark, sf):
-    """Every input id has exactly one output vector: one full outer join."""
-    docs = _t(spark, sf, "documents").select("doc_id", F.lit(True).alias("_in"))
-    out = _doc_emb(spark, sf).select("doc_id", F.lit(True).alias("_out"))
-    j = docs.join(out, "doc_id", "full_outer")
-    counts = j.agg(F.count_if(F.col("_in")).alias("n_in"), F.count_if(F.col("_out")).alias("n_out"),
-                   F.count_if(F.col("_out").isNull()).alias("n_missing"),
-                   F.count_if(F.col("_in").isNull()).alias("n_extra"))
-    return counts.select(F.expr("stack(4, 'n_in', n_in, 'n_out', n_out, 'n_missing', n_missing, "
-                                "'n_extra', n_extra) AS (metric, value)"))
+    """Every input row has one output vector, and it is that row's vector: the
+    buckets of the row's own tokens travel beside the vector and must be the
+    places where it is not zero."""
+    d = _t(spark, sf, "documents")
+    want = F.array_sort(F.array_distinct(F.transform(
+        F.coalesce(TX.tokens(F.lower("text")), F.array().cast("array<string>")), lambda t: embed.token_bucket(t))))
+    out = embed.hashed_embedding(d.select("doc_id", "text", want.alias("want")), "doc_id", "text", carry=("want",))
+    found = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.get("embedding", i) != 0)
+    good = (F.size("embedding") == embed.DEFAULT_DIM) & (found == F.col("want"))
+    rows = d.select("doc_id", F.lit(1).alias("i"), F.lit(0).alias("o"), F.lit(0).alias("bad")) \
+        .unionByName(out.select("doc_id", F.lit(0).alias("i"), F.lit(1).alias("o"),
+                                F.when(good, 0).otherwise(1).alias("bad")))
+    per = rows.groupBy("doc_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.sum("bad").alias("bad"))
+    c = per.agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"),
+                F.sum(F.greatest(F.col("i") - F.col("o"), F.lit(0))).alias("n_missing"),
+                F.sum(F.greatest(F.col("o") - F.col("i"), F.lit(0))).alias("n_extra"),
+                F.count_if(F.col("i") > 1).alias("n_repeated_ids"), F.sum("bad").alias("n_wrong"))
+    names = ("n_in", "n_out", "n_missing", "n_extra", "n_repeated_ids", "n_wrong")
+    return c.select(F.expr(f"stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) AS (metric, value)"))
 
 
 # ------------------------------------------------------------------ F. sort / top-k / sets
@@ -554,7 +572,8 @@ def q_sql_batch(spark, sf):
     tables.register_alert_views(spark, sf)
     stmts = _routed(spark, sf).where(F.col("route") == "sql").select(F.col("reply").alias("sql"))
     res = relational.sql_batch(spark, stmts)
-    return res.select("sql", "ok", "row_json")
+    ordered = F.col("sql").contains("ORDER BY")  # elsewhere the place of a row is Spark's choice
+    return res.select("sql", "ok", F.when(ordered, F.col("row_no")).alias("row_no"), "row_json")
 
 
 ALERT_VIEWS = ["alerts_table", "deals_table"]
@@ -575,7 +594,7 @@ def q_catalog_columns(spark, sf):
 @query("catalog_info")
 def q_catalog_info(spark, sf):
     tables.register_alert_views(spark, sf)
-    info = relational.catalog_info(spark, ALERT_VIEWS)
+    info = relational.catalog_info(spark, ALERT_VIEWS, in_use=True)
     return info.select("table_name", F.to_json("column_names").alias("column_names"))
 
 
@@ -587,7 +606,7 @@ def _schema_text(spark, sf) -> str:
 @query("schema_text")
 def q_schema_text(spark, sf):
     tables.register_alert_views(spark, sf)
-    return relational.schema_text(relational.catalog_info(spark, ALERT_VIEWS))
+    return relational.schema_text(relational.catalog_info(spark, ALERT_VIEWS, in_use=True))
 
 
 @query("section_summary")
@@ -627,8 +646,8 @@ def q_chunk_recursive(spark, sf):
 
 @query("prompt_article")
 def q_prompt_article(spark, sf):
-    r = _ranked_articles(spark, sf).where(F.col("rank") == 1)
-    return r.select("qid", context.prompt_article("text").alias("article"))
+    r = _ranked_articles(spark, sf)
+    return r.select("qid", "rank", context.prompt_article("text").alias("article"))
 
 
 @query("build_prompt")
@@ -645,19 +664,21 @@ def q_chat_request(spark, sf):
 @query("attach_tools")
 def q_attach_tools(spark, sf):
     tools = context.tools_column(_schema_text(spark, sf))
-    h = toolcalls.conversation_history(_t(spark, sf, "conversations"))
-    last = h.where(F.col("turn") == 0)
+    conv = _t(spark, sf, "conversations")
+    h = toolcalls.conversation_history(conv, block_turns=HISTORY_BLOCK)
+    asked = conv.where(F.col("role") == "user").select("conv_id", "turn")  # a request per user turn
+    h = h.join(asked, ["conv_id", "turn"], "left_semi")
     req = F.to_json(F.struct(F.lit(context.DEFAULT_MODEL).alias("model"),
                              F.col("history").alias("messages"),
                              F.lit(0.0).alias("temperature"), tools.alias("tools"),
                              F.lit("required").alias("tool_choice")))
-    return last.select("conv_id", req.alias("request"))
+    return h.select("conv_id", "turn", req.alias("request"))
 
 
 @query("parse_tool_call")
 def q_parse_tool_call(spark, sf):
     p = toolcalls.parse_tool_call(_calls(spark, sf))
-    return p.select("call_id", "name", "args_ok", "information", "query", "message")
+    return p.select("call_id", "call_no", "name", "args_ok", "information", "query", "message")
 
 
 @query("route_tool_call")
@@ -667,7 +688,18 @@ def q_route_tool_call(spark, sf):
 
 @query("append_reply")
 def q_append_reply(spark, sf):
-    return toolcalls.append_reply(_t(spark, sf, "conversations"), _routed(spark, sf))
+    # retrieval questions are answered from the documents, SQL is run, and both
+    # come back as messages
+    routed = _routed(spark, sf)
+    qid = F.col("conv_id") * 1_000_000 + F.col("turn") * 10 + F.col("call_no")
+    asked = routed.where(F.col("route") == "retrieval").select(qid.alias("qid"), "call_id", F.col("reply").alias("question"))
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    answers = context.first_lines(asked, docs).join(asked, "qid").select("call_id", "answer")
+    tables.register_alert_views(spark, sf)
+    results, _rows = toolcalls.sql_tool_answer(spark, routed)
+    out = toolcalls.append_reply(_t(spark, sf, "conversations"), routed, answers, results)
+    failed = (F.col("role") == "tool") & F.col("content").startswith(F.lit(QUERY_FAILED))  # the engine's own words follow
+    return out.withColumn("content", F.when(failed, F.lit(QUERY_FAILED)).otherwise(F.col("content")))
 
 
 @query("sql_tool_answer")
@@ -706,20 +738,42 @@ def q_embed_query(spark, sf):
     return _explode_vec(_bench_emb(spark, sf), "item_id", "embedding")
 
 
+def _chunk_index(spark, sf):
+    """Paragraph chunks of all pages, one row per distinct text, with their
+    vectors, written once: ``(id, text, embedding)``."""
+    chunks = corpus.page_chunks(_t(spark, sf, "pages"))
+    pos = F.col("page_id") * 1_000_000 + F.col("chunk_no")
+    once = corpus.dedup_by_text(chunks.withColumn("at", pos), "at").select(F.col("pos").alias("id"), "text")
+    index = embed.hashed_embedding(once, "id", "text", carry=("text",))
+    return files.vector_index_load(spark, files.vector_index_save(index, scratch_path(spark, "chunk-index")))
+
+
 @query("answer_questions")
 def q_answer_questions(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    res = context.answer_questions(_questions(spark, sf), docs)
+    """Questions against paragraph chunks: the corpus is embedded once, stored,
+    and both the search and the text lookup read the stored table."""
+    index = _chunk_index(spark, sf)
+    res = context.answer_questions(_questions(spark, sf), index.select("id", "text"),
+                                   corpus_vectors=index.select("id", "embedding"))
     return res.select("qid", "n_articles", "request")
 
 
+@query("pluggable_similarity")
+def q_pluggable_similarity(spark, sf):
+    """A relatedness function of the caller's: the negative Manhattan distance."""
+    def relatedness(q, v):
+        return -np.stack([np.abs(v - x).sum(axis=1) for x in q])
+    return knn.nearest(_vec_queries(spark, sf), _vec_corpus(spark, sf), K_NN, relatedness)
+
+
 # ------------------------------------------------------------------ I. streaming
 
 @query("stream_route")
 def q_stream_route(spark, sf):
-    return streams.stream_route(spark, sf).select("call_id", "route", "reply")
+    return streams.stream_route(spark, streams.landed_in_files(spark, sf)).select("call_id", "route", "reply")
 
 
 @query("stream_history")
 def q_stream_history(spark, sf):
-    return streams.stream_history(spark, sf)
+    landed = streams.landed_in_files(spark, sf)
+    return streams.stream_history(spark, landed, max_files_per_trigger=1)

@@ -3,7 +3,8 @@
 Everything that must survive an executor loss (lineage cuts, round-trip sinks,
 created tables) is written under the folder the cluster names in
 ``spark.checkpoint.dir``.  A local folder is only chosen when that setting is
-unset, which happens in tests and local runs.
+unset and the master is local, which happens in tests; a cluster without the
+setting is an error, since executors would write to disks of their own.
 """
 
 from __future__ import annotations
@@ -47,6 +48,12 @@ def build_session(master: str | None = None, app: str = "quarry",
     return spark
 
 
+def _one_process(spark: SparkSession) -> bool:
+    """``local`` or ``local[...]``: driver and executor are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a local one only if unset."""
     sc = spark.sparkContext
@@ -55,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not _one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -73,13 +82,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give per-row heavy work (text, vectors) at least one task per core.
+    """Give per-row heavy work (text, vectors) at least one task per core when
+    a whole table is one local file.
 
-    Call it on a freshly loaded table (a plain scan): counting its splits
-    runs nothing.  A large table already arrives in many file splits and is
-    left alone; a single small file would otherwise run on one core.
+    Only in a single-process session (tests, the bench): on a cluster tables
+    come in many splits and nothing is shuffled.  With ``min_partitions`` the
+    caller asks for it explicitly.
     """
     spark = df.sparkSession
+    if min_partitions is None and not _one_process(spark):
+        return df
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df

@@ -18,16 +18,21 @@ TOOL_ARGUMENT = {"get_information": "information", "ask_database": "query",
 UNKNOWN_TOOL = "lookup_weather"
 
 # The statements the SQL tool is asked to run (one per
-# ``conv_id % 4``); the last one names a column that does not exist.
+# ``conv_id % len``).
 TOOL_SQL = [
     "SELECT model_name, COUNT(alert_id) AS alert_count FROM alerts_table "
     "GROUP BY model_name ORDER BY alert_count DESC, model_name LIMIT 1",
     "SELECT model_name, COUNT(DISTINCT trader_id) AS traders FROM alerts_table "
-    "GROUP BY model_name",
+    "GROUP BY model_name ORDER BY model_name",
     "SELECT a.model_name, COUNT(d.deal_number) AS deals FROM alerts_table a "
-    "JOIN deals_table d ON a.alert_id = d.alert_id GROUP BY a.model_name",
+    "JOIN deals_table d ON a.alert_id = d.alert_id GROUP BY a.model_name ORDER BY a.model_name",
     "SELECT nope FROM alerts_table",
+    "-- both tables\nSELECT a.alert_id, d.alert_id, NULL AS nothing, d.price FROM alerts_table a JOIN deals_table d "
+    "ON a.alert_id = d.alert_id WHERE a.alert_id = '7' ORDER BY d.price, d.volume",
+    "WITH z AS (SELECT 1 AS k) INSERT INTO alerts_table SELECT * FROM z",
 ]
+# Of these, statements that fail or are refused.
+FAILING_SQL = [3, 5]
 
 
 def _num(x) -> F.Column:
@@ -103,43 +108,54 @@ def mail(conversations: DataFrame) -> DataFrame:
                      & (F.col("_last").isNull() | (F.col("_last") < F.col("turn")))).alias("unread")))
 
 
-def tool_calls(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turn, call_id, name, arguments)`` for every user turn.
+# Arguments that are no proper call, in turn.
+BAD_ARGUMENTS = ["{bad", "{}", "[1]", '{"query": null, "information": 3}', '{"wrong": "key"}',
+                 '{"query": "SELECT 1", "information": "x", "message": "y"} junk']
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, tool_calls)`` for every user turn: an array of one or
+    two ``struct<id, name, arguments>``.
 
     The tool is chosen by ``(conv_id + turn) % 4`` (three tools and one
     unknown); arguments are JSON made with ``to_json``: the turn text for
     ``information``/``message``, a statement of ``TOOL_SQL`` (by
-    ``conv_id % 4``) for ``query``.  When ``(conv_id + turn) % 13 = 0`` the
-    arguments are the malformed text ``{bad``.
+    ``conv_id % len``) for ``query``.  When ``(conv_id + turn) % 13 = 0`` the
+    arguments are one of ``BAD_ARGUMENTS``, by ``conv_id``.  When
+    ``(conv_id + turn) % 5 = 0`` a second call asks the database.
     """
     c = conversations.where(F.col("role") == "user")
-    sel = ((F.col("conv_id") + F.col("turn")) % 4).cast("int")
-    names = F.array(*[F.lit(x) for x in TOOL_NAMES + [UNKNOWN_TOOL]])
-    name = F.element_at(names, sel + 1)
-    sql = F.element_at(F.array(*[F.lit(s) for s in TOOL_SQL]), (F.col("conv_id") % 4).cast("int") + 1)
+    at = F.col("conv_id") + F.col("turn")
+    sel = (at % 4).cast("int")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int") + 1)
+    name = pick(TOOL_NAMES + [UNKNOWN_TOOL], sel)
+    sql = F.to_json(F.struct(pick(TOOL_SQL, F.col("conv_id") % len(TOOL_SQL)).alias("query")))
     args = (F.when(name == "get_information", F.to_json(F.struct(F.col("text").alias("information"))))
-            .when(name == "ask_database", F.to_json(F.struct(sql.alias("query"))))
+            .when(name == "ask_database", sql)
             .otherwise(F.to_json(F.struct(F.col("text").alias("message")))))
-    bad = ((F.col("conv_id") + F.col("turn")) % 13) == 0
-    return c.select(
-        "conv_id", "turn",
-        F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"),
-                 F.col("turn").cast("string")).alias("call_id"),
-        name.alias("name"),
-        F.when(bad, F.lit("{bad")).otherwise(args).alias("arguments"))
+    args = F.when(at % 13 == 0, pick(BAD_ARGUMENTS, F.col("conv_id") % len(BAD_ARGUMENTS))).otherwise(args)
+    call_id = F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    call = lambda i, n, a: F.struct(i.alias("id"), n.alias("name"), a.alias("arguments"))
+    first = call(call_id, name, args)
+    second = call(F.concat(call_id, F.lit("_1")), F.lit("ask_database"), sql)
+    return c.select("conv_id", "turn", F.when(at % 5 == 0, F.array(first, second)).otherwise(F.array(first)).alias("tool_calls"))
 
 
-def synth_alerts_deals(orders: DataFrame):
-    """Alerts and deals sharing ``alert_id``, one pair per order key, with
-    values drawn from md5 of the key (repeatable, unlike ``uuid()``/``rand``).
+def tool_calls(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, call_no, call_id, name, arguments)``, one row per call."""
+    from ..operators.toolcalls import explode_tool_calls
 
-    Returns ``(alerts, deals)`` with the column types of the original tables.
-    """
+    return explode_tool_calls(tool_messages(conversations))
+
+
+def synth_rows(orders: DataFrame) -> DataFrame:
+    """An alert and its deal side by side, one row per order key, with values
+    drawn from md5 of the key (repeatable, unlike ``uuid()``/``rand``)."""
     k = F.col("o_orderkey").cast("string")
     h = F.md5(k)
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                        F.substring(h, 17, 4), F.substring(h, 21, 12))
-    base = orders.select(
+    return orders.select(
         uuid.alias("alert_id"),
         F.date_add(F.lit("2023-01-01").cast("date"),
                    (_num(F.concat(F.lit("d"), k)) % 362).cast("int")).alias("alert_date"),
@@ -148,6 +164,12 @@ def synth_alerts_deals(orders: DataFrame):
         F.concat(F.lit("model_"), (_num(F.concat(F.lit("m"), k)) % 5 + 1).cast("string")).alias("model_name"),
         (F.lit(100) + _num(F.concat(F.lit("p"), k)) % 901).cast("int").alias("price"),
         (F.lit(1) + _num(F.concat(F.lit("v"), k)) % 99).cast("int").alias("volume"))
+
+
+def synth_alerts_deals(orders: DataFrame):
+    """Alerts and deals sharing ``alert_id``: ``(alerts, deals)`` with the column
+    types of the original tables."""
+    base = synth_rows(orders)
     alerts = base.select("alert_id", "alert_date", "trader_id", "deal_number", "model_name")
     deals = base.select("alert_id", F.col("alert_date").alias("deal_date"), "deal_number",
                         "price", "volume")

@@ -34,14 +34,16 @@ def sink_csv(df: DataFrame, path: str, index_col: str | None = None) -> str:
     if index_col:
         out = out.select(F.col(index_col).alias("_c0"), *out.columns)
     (out.write.mode("overwrite").option("header", True).option("escape", '"')
-     .option("multiLine", True).csv(path))
+     .csv(path))
     return path
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Read a headed CSV with an explicit schema (no inference pass); text
-    cells may hold newlines and quotes."""
-    r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """Read a headed CSV with an explicit schema (no inference pass); cells may
+    hold quotes.  Large files are split between tasks; ``multi_line`` is for
+    cells with line feeds and reads each file in one task."""
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     else:
@@ -99,9 +101,8 @@ def dense_ids(df: DataFrame, order_col: str, id_col: str = "id") -> DataFrame:
     (one row per partition) give each partition its offset.  ``order_col``
     must be unique so the ids do not depend on partitioning.
     """
-    spark = df.sparkSession
-    n = max(1, spark.sparkContext.defaultParallelism)
-    ordered = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    # as many ranges as the session shuffles with, merged by size if they are small
+    ordered = (df.repartitionByRange(order_col).sortWithinPartitions(order_col)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = ordered.checkpoint(eager=True)  # pin partition ids before counting
@@ -138,7 +139,3 @@ def vector_index_save(index: DataFrame, path: str) -> str:
 
 def vector_index_load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def new_location(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)

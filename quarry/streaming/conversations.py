@@ -3,7 +3,7 @@
 * :func:`stream_route` - stateless: the batch functions (tool-call
   derivation, JSON parsing, routing) applied to a file stream.
 * :func:`stream_history` - stateful: per-conversation history kept between
-  micro-batches with ``applyInPandasWithState``.
+  micro-batches with ``applyInPandasWithState``; late turns are put in order.
 
 Both write to a file sink with a checkpoint in the shared checkpoint folder
 (exactly-once, restartable after executor or driver loss) and run with
@@ -22,22 +22,25 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import toolcalls
 from ..session import scratch_path
-from ..sources import derived
+from ..sources import derived, tables
 
 CONVERSATION_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 
-def conversation_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(CONVERSATION_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", "conversations*.parquet")
-            .parquet(sf_dir))
+def conversation_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Turns as files land in a table's folder; without a limit a micro-batch
+    takes all files that have arrived."""
+    r = spark.readStream.schema(CONVERSATION_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    path = tables.table_path(sf_dir, "conversations")
+    return r.parquet(path)
 
 
 def route_frame(conv: DataFrame) -> DataFrame:
     """The same DataFrame function serves batch and stream."""
     routed = toolcalls.route_tool_call(toolcalls.parse_tool_call(derived.tool_calls(conv)))
-    return routed.select("conv_id", "turn", "call_id", "name", "args_ok", "route", "reply")
+    return routed.select("conv_id", "turn", "call_no", "call_id", "name", "args_ok", "route", "reply")
 
 
 def _run_to_files(df: DataFrame, name: str, output_mode: str = "append") -> str:
@@ -59,38 +62,59 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HISTORY_OUT = "conv_id bigint, turn bigint, n_messages int, history string"
-HISTORY_STATE = "history string, last_turn bigint"
+HISTORY_STATE = "history string, next_turn bigint, waiting string"
 
 
-def _history_fn(system_prompt: str | None):
+def _history_fn(system_prompt: str | None, first_turn: int):
     def fn(key, pdfs, state):
         if state.exists:
-            hist_json, _last = state.get
-            hist = json.loads(hist_json)
+            shown, expected, held = state.get
+            hist, waiting = json.loads(shown), {int(t): m for t, m in json.loads(held).items()}
         else:
             hist = [{"role": "system", "content": system_prompt}] if system_prompt is not None else []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="stable")
+            expected, waiting = first_turn, {}
+        for pdf in pdfs:
+            for t, r, x in zip(pdf["turn"], pdf["role"], pdf["text"]):
+                if int(t) >= expected:  # a turn already shown is not shown again
+                    waiting.setdefault(int(t), {"role": r, "content": x})
         turns, sizes, snaps = [], [], []
-        for t, r, x in zip(pdf["turn"], pdf["role"], pdf["text"]):
-            hist.append({"role": r, "content": x})
-            turns.append(int(t))
+        while expected in waiting:
+            hist.append(waiting.pop(expected))
+            turns.append(expected)
             sizes.append(len(hist))
             snaps.append(json.dumps(hist, ensure_ascii=False, separators=(",", ":")))
-        state.update((json.dumps(hist, ensure_ascii=False), int(turns[-1]) if turns else -1))
+            expected += 1
+        state.update((json.dumps(hist, ensure_ascii=False), expected,
+                      json.dumps({str(t): m for t, m in waiting.items()}, ensure_ascii=False)))
         yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns,
                             "n_messages": sizes, "history": snaps})
     return fn
 
 
-def history_frame(conv: DataFrame, system_prompt: str | None) -> DataFrame:
+def history_frame(conv: DataFrame, system_prompt: str | None, first_turn: int = 0) -> DataFrame:
+    """History at each turn, in turn order whatever order turns arrive in: a turn
+    is held in state until all turns before it have come, then its history is
+    emitted once.  Turns count from ``first_turn`` without gaps; what comes
+    after a missing turn waits for it."""
     return conv.groupBy("conv_id").applyInPandasWithState(
-        _history_fn(system_prompt), HISTORY_OUT, HISTORY_STATE, "append",
+        _history_fn(system_prompt, first_turn), HISTORY_OUT, HISTORY_STATE, "append",
         GroupStateTimeout.NoTimeout)
 
 
 def stream_history(spark: SparkSession, sf_dir: str,
-                   system_prompt: str | None = toolcalls.DEFAULT_SYSTEM_PROMPT) -> DataFrame:
+                   system_prompt: str | None = toolcalls.DEFAULT_SYSTEM_PROMPT,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Per-conversation history at each arriving turn, kept in state keyed by
     ``conv_id`` (one list per conversation, never one global list)."""
-    out = _run_to_files(history_frame(conversation_stream(spark, sf_dir), system_prompt), "history")
+    stream = conversation_stream(spark, sf_dir, max_files_per_trigger)
+    out = _run_to_files(history_frame(stream, system_prompt), "history")
     return spark.read.parquet(out)
+
+
+def landed_in_files(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+    """A copy of the conversations in which a conversation's turns lie in
+    different files, so that several micro-batches must carry state over."""
+    to = scratch_path(spark, "landed")
+    conv = tables.load(spark, sf_dir, "conversations")
+    (conv.repartition(files, F.col("turn") % files).write.parquet(tables.table_path(to, "conversations")))
+    return to

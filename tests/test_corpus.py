@@ -19,16 +19,16 @@ def test_section_tree_paths_and_skipped_level(spark):
                       "== D ==", "d", "==== E ====", "e"])
     rows = corpus.section_tree(docs(spark, [(1, "P", text)])).orderBy("sec_no").collect()
     got = [(r.sec_no, r.level, r.titles, r.text) for r in rows]
-    assert got == [(0, 1, ["P"], "intro"), (1, 2, ["P", "A"], "a"), (2, 3, ["P", "A", "B"], "b"),
-                   (3, 4, ["P", "A", "B", "C"], "c"), (4, 2, ["P", "D"], "d"),
-                   (5, 4, ["P", "D", "E"], "e")]
+    assert got == [(0, 1, ["P"], "intro"), (1, 2, ["P", "== A =="], "a"), (2, 3, ["P", "== A ==", "=== B ==="], "b"),
+                   (3, 4, ["P", "== A ==", "=== B ===", "==== C ===="], "c"), (4, 2, ["P", "== D =="], "d"),
+                   (5, 4, ["P", "== D ==", "==== E ===="], "e")]
 
 
 def test_ignored_section_drops_its_subtree(spark):
     text = "\n".join(["intro", "== See also ==", "x", "=== Child ===", "y", "== Keep ==", "z"])
     tree = corpus.section_tree(docs(spark, [(1, "P", text)]))
     kept = corpus.ignore_sections(tree).orderBy("sec_no").collect()
-    assert [r.titles for r in kept] == [["P"], ["P", "Keep"]]
+    assert [r.titles for r in kept] == [["P"], ["P", "== Keep =="]]
 
 
 def test_summary_without_and_with_heading(spark):
@@ -78,5 +78,5 @@ def test_category_descent_with_frontier_checkpoints(spark):
     edges = spark.createDataFrame(
         [(f"c{i}", f"c{i + 1}", "category") for i in range(6)] + [(f"c{i}", f"p{i}", "page") for i in range(7)],
         "parent string, child string, kind string")
-    got = sorted(r.title for r in corpus.category_pages(edges, "c0", 6, checkpoint_every=2).collect())
+    got = sorted(r.title for r in corpus.category_pages(edges, "c0", 6, broadcast_categories=0).collect())
     assert got == [f"p{i}" for i in range(7)]

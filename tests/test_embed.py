@@ -21,3 +21,13 @@ def test_model_provider_runs_per_batch(spark):
     q = out.where("id = 7").selectExpr("id AS qid", "embedding AS qvec")
     top = knn.nearest(q, out.withColumnRenamed("embedding", "vec"), 1, "l2").first()
     assert top.id == 7 and top.score == 0.0
+
+
+def test_rows_with_one_id_keep_their_own_vectors(spark):
+    from quarry.operators import embed
+    df = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, None), (3, "")], "id long, text string")
+    out = embed.hashed_embedding(df, carry=("text",))
+    rows = out.collect()
+    assert len(rows) == 4 and len({tuple(r.embedding) for r in rows if r.id == 1}) == 2
+    assert all(sum(r.embedding) == 0 for r in rows if r.id in (2, 3))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

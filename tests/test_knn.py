@@ -79,14 +79,50 @@ def test_pluggable_similarity(spark):
     assert rows[0].score == -1.0
 
 
-def test_candidate_bounds_keep_results(spark):
+def test_a_task_emits_k_rows_per_query_whatever_its_batches(spark):
+    import pyarrow as pa
     rng = np.random.default_rng(11)
-    corpus = [(i, rng.normal(size=4).tolist()) for i in range(400)]
-    q, c = frames(spark, corpus, [(0, corpus[3][1]), (1, corpus[7][1])])
-    c = c.repartition(40)
-    want = sorted(knn.nearest(q, c, 5).select("qid", "rank", "id").collect())
-    got = sorted(knn.nearest(q, c, 5, per_query_candidates=15).select("qid", "rank", "id").collect())
-    assert got == want
+    vecs = rng.integers(0, 3, size=(400, 4)).astype(float)  # many ties
+    qids, q = np.arange(10), rng.normal(size=(10, 4))
+    whole = None
+    for size in (400, 40, 7, 1):
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array(range(a, min(400, a + size))), pa.array(vecs[a:a + size].tolist())], ["id", "vec"])
+            for a in range(0, 400, size)]
+        for metric in ("cosine", "l2"):
+            qn = np.sqrt((q * q).sum(axis=1))
+            out = knn._partition_topk(iter(batches), qids, q, qn, 5, metric, 6, "id", "vec", 4)
+            assert out.num_rows == 50
+            got = sorted(zip(out["qid"].to_pylist(), out["id"].to_pylist()))
+            whole = whole or {}
+            assert whole.setdefault(metric, got) == got
+
+
+def test_l2_of_close_vectors_far_from_the_origin(spark):
+    near = [1e5 + 1e-3, 1e5, 1e5]
+    q, c = frames(spark, [(1, [1e5] * 3), (2, near), (3, [1e5 + 2e-3, 1e5, 1e5])], [(0, [1e5] * 3)])
+    rows = knn.nearest(q, c, 3, "l2", digits=9).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in rows] == [(1, 0.0), (2, pytest.approx(1e-6, rel=1e-3)), (3, pytest.approx(4e-6, rel=1e-3))]
+    s = knn.score_stats(q, c, "l2", digits=9).first()
+    assert s.min_score == 0.0 and s.max_score == pytest.approx(4e-6, rel=1e-3)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_both_paths_treat_nulls_and_nothing_alike(spark, limit):
+    q, c = frames(spark, [(1, [1.0, 0.0]), (2, None), (3, [1.0])], [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
+    rows = knn.nearest(q, c, 5, broadcast_limit_bytes=limit).collect()
+    assert sorted((r.qid, r.id, r.score) for r in rows if r.score is not None) == [(0, 1, 1.0), (1, 1, 0.0)]
+    assert len(rows) == 6
+    for bad in ([(0, [1.0, 0.0]), (1, None)], [(0, [1.0, 0.0]), (1, [1.0])]):
+        q2, _ = frames(spark, [], bad)
+        with pytest.raises(ValueError):
+            knn.nearest(q2, c, 5, broadcast_limit_bytes=limit)
+        with pytest.raises(ValueError):
+            knn.score_stats(q2, c, broadcast_limit_bytes=limit)
+    nothing = c.limit(0)
+    assert knn.nearest(q, nothing, 5, broadcast_limit_bytes=limit).count() == 0
+    assert sorted(tuple(r) for r in knn.score_stats(q, nothing, broadcast_limit_bytes=limit).collect()) == [
+        (0, 0, None, None), (1, 0, None, None)]
 
 
 def test_score_stats_blocked_path_agrees(spark):

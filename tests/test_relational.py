@@ -47,3 +47,32 @@ def test_dense_ids(spark):
     df = spark.createDataFrame([(k,) for k in (50, 10, 40, 20, 30)], "k long").repartition(3)
     got = sorted((r.k, r.id) for r in files.dense_ids(df, "k").collect())
     assert got == [(10, 0), (20, 1), (30, 2), (40, 3), (50, 4)]
+
+
+def test_sql_batch_reads_only_and_keeps_names_nulls_and_order(spark):
+    spark.range(5).createOrReplaceTempView("five")
+    spark.sql("CREATE TABLE IF NOT EXISTS dst (k BIGINT) USING parquet LOCATION '" + files.scratch_path(spark, "dst") + "'")
+    refused = ["WITH z AS (SELECT 1 AS k) INSERT INTO dst SELECT * FROM z", "INSERT INTO dst VALUES (1)",
+               "DROP VIEW five", "SET x = 1", "CREATE TABLE t2 AS SELECT 1", "CACHE TABLE five", "", "SELECT 1; DROP VIEW five"]
+    fine = ["-- a comment\nSELECT id FROM five ORDER BY id DESC", "(SELECT 1 AS a)", "VALUES (1, 2)",
+            "SELECT a.id, b.id, NULL AS x FROM five a JOIN five b ON a.id = b.id WHERE a.id = 3",
+            "SELECT 'INSERT INTO dst' AS s", "WITH w AS (SELECT id FROM five) SELECT count(*) AS n FROM w"]
+    rows = relational.sql_batch(spark, spark.createDataFrame([(x,) for x in refused + fine], "sql string"), page=4).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sql, []).append(r)
+    assert set(by) == set(refused + fine)
+    assert all(len(by[x]) == 1 and not by[x][0].ok and by[x][0].error for x in refused)
+    assert all(r.ok for x in fine for r in by[x])
+    assert [r.row_json for r in sorted(by[fine[0]], key=lambda r: r.row_no)] == [f'{{"id":{k}}}' for k in (4, 3, 2, 1, 0)]
+    assert by[fine[3]][0].row_json == '{"id":3,"id_2":3,"x":null}'
+    assert spark.table("dst").count() == 0 and spark.table("five").count() == 5
+    spark.sql("DROP TABLE dst")
+
+
+def test_result_text_is_bounded_and_never_cut(spark):
+    import pytest
+    df = spark.createDataFrame([(2, None), (1, "x")], "k int, v string")
+    assert relational.result_text(df, ["k"]).first().result == '[{"k":1,"v":"x"}, {"k":2,"v":null}]'
+    with pytest.raises(Exception, match="more than 1 rows"):
+        relational.result_text(df, ["k"], max_rows=1).collect()

@@ -7,13 +7,24 @@ from quarry.streaming import conversations as S
 
 
 def test_stream_route_equals_batch(spark, sf_small):
-    stream = S.stream_route(spark, sf_small).select("call_id", "route", "reply")
+    stream = S.stream_route(spark, S.landed_in_files(spark, sf_small)).select("call_id", "route", "reply")
     batch = Q.q_route_tool_call(spark, sf_small)
     assert sorted(stream.collect()) == sorted(batch.collect())
 
 
-def test_stream_history_equals_batch(spark, sf_small):
-    stream = S.stream_history(spark, sf_small).select("conv_id", "turn", "n_messages")
+def test_stream_history_equals_batch_over_several_micro_batches(spark, sf_small):
+    landed = S.landed_in_files(spark, sf_small, files=4)
+    stream = S.stream_history(spark, landed, max_files_per_trigger=1)
     conv = tables.load(spark, sf_small, "conversations")
-    batch = toolcalls.conversation_history(conv).select("conv_id", "turn", "n_messages")
-    assert sorted(stream.collect()) == sorted(batch.collect())
+    batch = toolcalls.conversation_history(conv).select("conv_id", "turn", "n_messages", F.to_json("history").alias("history"))
+    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_turns_wait_and_are_shown_in_order(spark, tmp_path):
+    path = tmp_path / "conversations.parquet"
+    for turns in ([0, 2], [3], [1, 1], [5]):
+        spark.createDataFrame([(1, t, "user", "abcdef"[t]) for t in turns],
+                              S.CONVERSATION_SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
+    rows = S.stream_history(spark, str(tmp_path), None, max_files_per_trigger=1).orderBy("turn").collect()
+    assert [(r.turn, r.n_messages) for r in rows] == [(0, 1), (1, 2), (2, 3), (3, 4)]  # 5 waits for 4
+    assert [m["content"] for m in __import__("json").loads(rows[-1].history)] == ["a", "b", "c", "d"]

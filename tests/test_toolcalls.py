@@ -56,3 +56,40 @@ def test_explode_tool_calls_keeps_order(spark):
     routed = {r.call_id: r.route for r in
               toolcalls.route_tool_call(toolcalls.parse_tool_call(toolcalls.explode_tool_calls(msgs))).collect()}
     assert routed == {"a": "sql", "b": "error"}
+
+
+def test_arguments_must_be_one_object_with_the_tools_own_key(spark):
+    bad = ["{}", "[1]", '{"query": null}', '{"wrong": "k"}', '{"query": 1}', '{"query": "SELECT 1"} junk',
+           '{"query": "SELECT 1"}, {"query": "x"}', '{"query": "x"}], [{}', "{bad", "", "null", None, '"query"']
+    rows = [(1, k, str(k), "ask_database", a) for k, a in enumerate(bad)] + [(1, 99, "n", None, '{"query": "x"}'),
+                                                                          (1, 98, "ok", "ask_database", ' {"query": "x", "n": 2} ')]
+    got = {r.call_id: r for r in toolcalls.route_tool_call(toolcalls.parse_tool_call(calls(spark, rows))).collect()}
+    assert len(got) == len(rows) and all(r.reply is not None for r in got.values())
+    for k in range(len(bad)):
+        assert not got[str(k)].args_ok and got[str(k)].route == "error", bad[k]
+    assert got["n"].route == "error" and got["n"].reply == "Error: function without a name does not exist"
+    assert (got["ok"].route, got["ok"].reply) == ("sql", "x")
+
+
+def test_replies_results_and_answers_follow_their_turn(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    c = spark.createDataFrame([(1, 0, 0, "a", "get_information", '{"information": "who?"}'),
+                               (1, 0, 1, "b", "ask_database", '{"query": "SELECT 1 AS x"}'),
+                               (1, 0, 2, "c", "get_information", '{"information": "why?"}')],
+                              "conv_id long, turn long, call_no int, call_id string, name string, arguments string")
+    routed = toolcalls.route_tool_call(toolcalls.parse_tool_call(c))
+    answers = spark.createDataFrame([("a", "me")], "call_id string, answer string")
+    results, _ = toolcalls.sql_tool_answer(spark, routed)
+    rows = toolcalls.append_reply(conv, routed, answers, results).orderBy("seq").collect()
+    assert [(r.seq, r.role, r.call_id, r.content) for r in rows] == [
+        (0, "user", None, "q"), (1, "assistant", "a", "me"), (3, "assistant", "b", "SELECT 1 AS x"),
+        (4, "tool", "b", '[{"x":1}]'), (5, "assistant", "c", toolcalls.NO_ANSWER)]
+
+
+def test_a_large_result_stays_a_table(spark):
+    c = spark.createDataFrame([(1, 0, 0, "b", "ask_database", '{"query": "SELECT id FROM range(100)"}')],
+                              "conv_id long, turn long, call_no int, call_id string, name string, arguments string")
+    routed = toolcalls.route_tool_call(toolcalls.parse_tool_call(c))
+    answers, rows = toolcalls.sql_tool_answer(spark, routed, max_result_chars=200)
+    assert answers.first().content == "query returned 100 rows"
+    assert sorted(r.row_no for r in rows.collect()) == list(range(100))
