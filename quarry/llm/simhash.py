@@ -92,6 +92,9 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
     if max_distance == 0:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("u != v")
     masks = segment_masks(segments)
+    # a row becomes 65: few rows in few files are dealt to all tasks first
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(width, "fp")
     # position 64 is the fingerprint itself
     probes = fps.select(F.col("fp"), F.posexplode(F.array(*[F.lit(m) for m in [*masks, 0]])).alias("bit", "mask"))
     table = (probes.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "bit")
