@@ -189,7 +189,29 @@ def sql_tool_answer(spark: SparkSession, routed: DataFrame,
     return answers, rows
 
 
-def tool_message(call_id: Column, name: Column, content: Column) -> Column:
+def tool_message(call_id: Column, name: Column, content: Column, role: str = "tool") -> Column:
     """A message of role ``tool`` with the call that it answers."""
-    return F.struct(F.lit("tool").alias("role"), content.alias("content"), call_id.alias("tool_call_id"),
+    return F.struct(F.lit(role).alias("role"), content.alias("content"), call_id.alias("tool_call_id"),
                     name.alias("name"))
+
+
+def second_request(history: DataFrame, routed: DataFrame, answers: DataFrame, model: str,
+                   temperature: float = 0.0, tool_choice: str = "auto") -> DataFrame:
+    """What is asked next once a SQL call has its result: ``(conv_id, turn,
+    call_id, request)``.
+
+    The messages are the history up to the call's turn, the assistant's SQL,
+    and the tool message with the call's id, name and result; the model may
+    call a tool again or answer (``tool_choice``).
+    """
+    none = F.lit(None).cast("string")
+    calls = routed.where(F.col("route") == "sql").select("conv_id", "turn", "call_id", "name", "reply")
+    calls = calls.join(answers.select("call_id", "content"), "call_id").join(history, ["conv_id", "turn"])
+    past = F.transform("history", lambda m: F.struct(
+        m["role"].alias("role"), m["content"].alias("content"), none.alias("tool_call_id"), none.alias("name")))
+    asked = tool_message(none, none, F.col("reply"), role="assistant")
+    messages = F.concat(past, F.array(asked, tool_message(F.col("call_id"), F.col("name"), F.col("content"))))
+    request = F.to_json(F.struct(F.lit(model).alias("model"), messages.alias("messages"),
+                                 F.lit(temperature).cast("double").alias("temperature"),
+                                 F.lit(tool_choice).alias("tool_choice")))
+    return calls.select("conv_id", "turn", "call_id", request.alias("request"))

@@ -544,6 +544,14 @@ UNION ALL SELECT c.conv_id, c.turn, 2 * c.call_no + 1, 'assistant', c.call_id,
   FROM routed c LEFT JOIN answers a USING (call_id)
 UNION ALL SELECT c.conv_id, c.turn, 2 * c.call_no + 2, 'tool', c.call_id, p.content
   FROM routed c JOIN per p ON p.sql = c.reply WHERE c.route = 'sql'"""
+ORACLE["second_request"] = f"""{with_(ALERTS, DEALS, calls(), _sql_results(), PER_SQL, history())}
+SELECT c.conv_id, c.turn, c.call_id, to_json(struct_pack(model := '{context.DEFAULT_MODEL}',
+  messages := list_concat(list_transform(h.h, lambda m: to_json(m)), [
+    to_json(struct_pack("role" := 'assistant', content := c.reply)),
+    to_json(struct_pack("role" := 'tool', content := p.content, tool_call_id := c.call_id, name := c.name))]),
+  temperature := CAST(0.0 AS DOUBLE), tool_choice := 'auto')) AS request
+FROM routed c JOIN per p ON p.sql = c.reply JOIN hist h ON h.conv_id = c.conv_id AND h.turn = c.turn
+WHERE c.route = 'sql'"""
 ORACLE["score_text"] = (f"{with_(DOC_EMB, BENCH_EMB, TOPN)} SELECT qid, rank, 'relatedness=' || "
                         "CAST(CAST(CAST(score AS DECIMAL(18, 6)) AS DECIMAL(18, 2)) AS VARCHAR) AS score_text FROM topn")
 

@@ -710,6 +710,16 @@ def q_sql_tool_answer(spark, sf):
                           F.when(F.col("ok"), F.col("content")).alias("content"))
 
 
+@query("second_request")
+def q_second_request(spark, sf):
+    tables.register_alert_views(spark, sf)
+    routed = _routed(spark, sf)
+    answers, _rows = toolcalls.sql_tool_answer(spark, routed)
+    said = F.when(F.col("ok"), F.col("content")).otherwise(F.lit(QUERY_FAILED))  # without the engine's own words
+    history = toolcalls.conversation_history(_t(spark, sf, "conversations"), block_turns=HISTORY_BLOCK)
+    return toolcalls.second_request(history, routed, answers.withColumn("content", said), context.DEFAULT_MODEL)
+
+
 @query("score_text")
 def q_score_text(spark, sf):
     return _topn(spark, sf).select("qid", "rank", TX.score_text("score").alias("score_text"))

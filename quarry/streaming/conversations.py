@@ -13,7 +13,6 @@ Both write to a file sink with a checkpoint in the shared checkpoint folder
 from __future__ import annotations
 
 import json
-import os
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession

@@ -1,4 +1,5 @@
 from quarry.operators import relational
+from quarry.session import scratch_path
 from quarry.sources import files, tables
 
 
@@ -51,7 +52,7 @@ def test_dense_ids(spark):
 
 def test_sql_batch_reads_only_and_keeps_names_nulls_and_order(spark):
     spark.range(5).createOrReplaceTempView("five")
-    spark.sql("CREATE TABLE IF NOT EXISTS dst (k BIGINT) USING parquet LOCATION '" + files.scratch_path(spark, "dst") + "'")
+    spark.sql("CREATE TABLE IF NOT EXISTS dst (k BIGINT) USING parquet LOCATION '" + scratch_path(spark, "dst") + "'")
     refused = ["WITH z AS (SELECT 1 AS k) INSERT INTO dst SELECT * FROM z", "INSERT INTO dst VALUES (1)",
                "DROP VIEW five", "SET x = 1", "CREATE TABLE t2 AS SELECT 1", "CACHE TABLE five", "", "SELECT 1; DROP VIEW five"]
     fine = ["-- a comment\nSELECT id FROM five ORDER BY id DESC", "(SELECT 1 AS a)", "VALUES (1, 2)",
