@@ -41,10 +41,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names derived from ``names`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
