@@ -230,13 +230,11 @@ def _resolve(contexts: DataFrame, length: int, keep: str) -> DataFrame:
 
 def _kinds(part: DataFrame, group_runs: int) -> DataFrame:
     """``(core, span)`` of groups with several runs: how many there are, the
-    first one, and how many kinds the group has.  ``seen`` counts runs.  Both
-    sides of the join are written first: a join of two plain scans is one that
-    adaptive execution can split where a group has very many kinds."""
+    first one, and how many kinds the group has.  ``seen`` counts runs."""
     place = F.struct("doc_id", "text_key", "at", "n", "off")
-    kinds = stored(part.groupBy("core", "span").agg(F.sum("seen").alias("seen"), F.min(place).alias("first")), "kinds")
+    kinds = part.groupBy("core", "span").agg(F.sum("seen").alias("seen"), F.min(place).alias("first"))
     groups = kinds.groupBy("core").agg(F.sum("seen").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    groups = stored(groups.where("all > 1"), "groups")
+    groups = groups.where("all > 1")
     return kinds.join(groups, "core").select(
         "core", "span", "seen", "first", "kinds", (F.col("kinds") > group_runs).alias("hot"))
 
@@ -291,7 +289,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     """``docs(doc_id, text_key, text binary)`` -> ``(doc_id, text_key, start,
     end)``, byte spans to remove (they may overlap)."""
     part = stored(runs(docs, length, gram), "runs").withColumn("seen", F.lit(1).cast("long"))
-    shared = part.groupBy("core").agg(F.sum("seen").alias("all")).where("all > 1").select("core")
+    # written, so that the join is one of two plain scans: a text that repeats one
+    # word has its anchor at very many places, and such a join can be split
+    shared = stored(part.groupBy("core").agg(F.sum("seen").alias("all")).where("all > 1").select("core"), "shared-anchors")
     part = stored(part.join(shared, "core", "left_semi"), "shared-runs")
     kinds = stored(_kinds(part, group_runs), "run-kinds")
     spans = _whole(part, kinds, length, keep)
