@@ -13,12 +13,16 @@ transitions are compiled when first met and kept in bounded tables.
 Where two adjacent characters stand in no piece, the transducer is back in its
 start state whatever came before.  A chunk's state map is therefore a head (the
 characters before its first such place, to be run from any entry state), a
-count, and an exit state; maps compose associatively, and a parallel prefix
-scan over a text's chunks gives the count at the end of every chunk.
+count, and an exit state; maps compose associatively.  A prefix scan over a
+text's chunks gives the count at the end of every chunk.  It goes from left to
+right from the start state, so every prefix is a count and a state: a chunk
+without a reset is run from the state before it, and no text is joined.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,31 +148,38 @@ class Transducer:
     def chunk_map(self, chunk: str):
         """``(head, count, exit)``; count and exit are None if the chunk holds
         no reset, and its map is then its head run from the entry state."""
-        if self.spaces_reset:
+        at = self._first_space(chunk) if self.spaces_reset else -1
+        if at < 0:
             at = self._first_reset(chunk)
-            if at < 0:
-                return chunk, None, None
-            words = chunk[at + 1:].split(SPACE)
-            tail = words.pop()
-            if "" in words:  # runs of space marks are one unit with the next word
-                return chunk[:at], *self._slow(chunk[at:])
-            count = sum(map(self.words.__getitem__, words))
-            state, more = self.run(self.start, SPACE + tail)
-            return chunk[:at], count + more, state
-        return chunk, None, None
+            return (chunk, None, None) if at < 0 else (chunk[:at], *self._slow(chunk[at:]))
+        words = chunk[at + 1:].split(SPACE)
+        tail = words.pop()
+        if "" in words:  # runs of space marks are one unit with the next word
+            return chunk[:at], *self._slow(chunk[at:])
+        count = sum(map(self.words.__getitem__, words))
+        state, more = self.run(self.start, SPACE + tail)
+        return chunk[:at], count + more, state
 
     def _slow(self, text: str):
         state, total = self.run(self.start, text)
         return total, state
 
     @staticmethod
-    def _first_reset(chunk: str) -> int:
+    def _first_space(chunk: str) -> int:
         """The first space mark after another character."""
         at = chunk.find(SPACE)
         while at == 0 or at > 0 and chunk[at - 1] == SPACE:
             at = chunk.find(SPACE, at + 1)
         return at
 
+    def _first_reset(self, chunk: str) -> int:
+        """The first character that stands in no piece with the one before it;
+        a character that is no piece stands in none."""
+        for k in range(1, len(chunk)):
+            if chunk[k - 1:k + 1] not in self.bigrams:
+                return k
+        return -1
+
     def compose(self, a, b):
         """The map of a followed by b."""
         if a[1] is None:
@@ -178,29 +189,29 @@ class Transducer:
             return a[0], a[1] + more, state
         return a[0], a[1] + more + b[1], b[2]
 
-    def prefix_scan(self, maps: list) -> list:
-        """Inclusive scan: pair up neighbours, scan the pairs, fill the gaps."""
-        if len(maps) < 2:
-            return list(maps)
-        pairs = self.prefix_scan([self.compose(maps[k], maps[k + 1]) for k in range(0, len(maps) - 1, 2)])
-        out = [maps[0]]
-        for k in range(1, len(maps)):
-            out.append(pairs[k // 2] if k % 2 else self.compose(pairs[k // 2 - 1], maps[k]))
-        return out
+    def prefix_scan(self, maps):
+        """Inclusive scan from the start state.  Each prefix has an empty head,
+        a count and a state, so its size is bounded and each head is run once."""
+        prefixes = accumulate(maps, self.compose, initial=("", 0, self.start))
+        next(prefixes)
+        return prefixes
+
+    def _prefixes(self, text: str, chunk_chars: int):
+        marked = SPACE + text.replace(" ", SPACE)
+        return self.prefix_scan(self.chunk_map(marked[k:k + chunk_chars])
+                                for k in range(0, len(marked), chunk_chars))
 
     def counts(self, text: str, chunk_chars: int = CHUNK_CHARS) -> list[int]:
         """The token count at the end of each chunk of a text."""
-        if not text:
-            return [0]
-        marked = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(marked[k:k + chunk_chars]) for k in range(0, len(marked), chunk_chars)]
-        out = []
-        for head, count, _ in self.prefix_scan(maps):
-            out.append(self.run(self.start, head)[1] + (count or 0))
-        return out
+        return [count for _, count, _ in self._prefixes(text, chunk_chars)] if text else [0]
 
     def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
-        return self.counts(text, chunk_chars)[-1]
+        """The token count of a text; only the last prefix is held."""
+        n = 0
+        if text:
+            for _, n, _ in self._prefixes(text, chunk_chars):
+                pass
+        return n
 
 
 _compiled: dict[str, Transducer] = {}

@@ -69,3 +69,49 @@ def test_nulls_empty_long_and_repeated_rows(spark, library):
     n = len(library.encode(long))
     assert got == sorted([(1, 0, 0, False), (None, 0, 0, False), (2, len(long), n, True), (2, len(long), n, True)], key=str)
     assert tokens.token_counts(docs.limit(0)).count() == 0
+
+
+def _spaceless(n):
+    rnd = random.Random(11)
+    parts = ["漢字仮名交じり文", "QWxhZGRpbjpvcGVu", "a" * 40, "word\tword\n", "=" * 30, "中文", "zz9Plural"]
+    out, size = [], 0
+    while size < n:
+        out.append(rnd.choice(parts))
+        size += len(out[-1])
+    return "".join(out)[:n]
+
+
+def test_spaceless_texts_in_chunks_of_any_size(library):
+    machine = tokens.load_transducer()
+    for text in (_spaceless(6_000), "a" * 5_000, "=" * 3_001, "漢字" * 2_000, "\x00\x01" * 500):
+        want = len(library.encode(text))
+        for chunk_chars in (1, 5, 64, 1 << 14):
+            assert machine.count(text, chunk_chars) == want
+            assert machine.counts(text, chunk_chars)[-1] == want
+
+
+def test_a_chunk_without_spaces_resets_where_no_piece_goes_on():
+    m = tokens.load_transducer()
+    head, count, state = m.chunk_map("word\nword\x00漢")
+    assert len(head) <= 5 and count and state is not None
+
+
+@pytest.mark.parametrize("unit", ["QWxhZGRpbjpvcGVu", "a", "漢字仮名", "word\n"])
+def test_spaceless_text_of_ten_million_characters(unit, monkeypatch):
+    """Prefixes hold no text, and each character is run once."""
+    m = tokens.load_transducer()
+    text = unit * (10_000_000 // len(unit))
+    ran, heads = [], []
+    run, compose = m.run, m.compose
+
+    def composed(a, b):
+        out = compose(a, b)
+        heads.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(m, "run", lambda state, part: (ran.append(len(part)), run(state, part))[1])
+    monkeypatch.setattr(m, "compose", composed)
+    n = m.count(text)
+    assert sum(ran) == len(text) + 1
+    assert len(heads) == -(-(len(text) + 1) // tokens.CHUNK_CHARS) and max(heads) == 0
+    assert 0 < n <= 4 * len(text)
