@@ -81,7 +81,7 @@ def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SY
                          text: str = "text", block_turns: int | None = 64) -> DataFrame:
     """Messages visible at each turn: the system prompt, then every turn up to
     and including this one, in order.  ``(conv_id, turn, n_messages,
-    history)``.
+    history)``.  Rows of one turn follow each other by role and text.
 
     With ``block_turns = None``: one window per conversation with a growing
     frame.  With ``block_turns = B``: turns are cut into blocks of ``B``; a turn's
@@ -93,13 +93,13 @@ def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SY
     """
     msg = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
     if block_turns is None:
-        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(key).orderBy(order, msg).rowsBetween(Window.unboundedPreceding, 0)
         hist = F.collect_list(msg).over(w)
         base = conv.select(key, order, hist.alias("_h"))
     else:
         m = conv.select(key, order, msg.alias("_m"),
                         F.floor(F.col(order) / F.lit(block_turns)).alias("_blk"))
-        w_in = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        w_in = Window.partitionBy(key, "_blk").orderBy(order, "_m").rowsBetween(Window.unboundedPreceding, 0)
         inner = m.select(key, order, "_blk", F.collect_list("_m").over(w_in).alias("_in"))
         blocks = m.groupBy(key, "_blk").agg(F.transform(
             F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_m").alias("m")))),

@@ -13,6 +13,7 @@ Both write to a file sink with a checkpoint in the shared checkpoint folder
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,27 +65,41 @@ HISTORY_OUT = "conv_id bigint, turn bigint, n_messages int, history string"
 HISTORY_STATE = "history string, next_turn bigint, waiting string"
 
 
+def _place(entry):
+    """Order of ``[turn, role, content]``: by turn, then null first as in Spark."""
+    turn, role, content = entry
+    return turn, role is not None, role or "", content is not None, content or ""
+
+
 def _history_fn(system_prompt: str | None, first_turn: int):
+    system = [{"role": "system", "content": system_prompt}] if system_prompt is not None else []
+
     def fn(key, pdfs, state):
+        hist, expected, waiting = [], first_turn, []
         if state.exists:
             shown, expected, held = state.get
-            hist, waiting = json.loads(shown), {int(t): m for t, m in json.loads(held).items()}
-        else:
-            hist = [{"role": "system", "content": system_prompt}] if system_prompt is not None else []
-            expected, waiting = first_turn, {}
+            hist, waiting = json.loads(shown), json.loads(held)
+        seen = {tuple(e) for e in hist + waiting}
         for pdf in pdfs:
             for t, r, x in zip(pdf["turn"], pdf["role"], pdf["text"]):
-                if int(t) >= expected:  # a turn already shown is not shown again
-                    waiting.setdefault(int(t), {"role": r, "content": x})
-        turns, sizes, snaps = [], [], []
-        while expected in waiting:
-            hist.append(waiting.pop(expected))
-            turns.append(expected)
-            sizes.append(len(hist))
-            snaps.append(json.dumps(hist, ensure_ascii=False, separators=(",", ":")))
+                e = (int(t), r, x)
+                if e not in seen:  # a message delivered again is not shown again
+                    seen.add(e)
+                    waiting.append(e)
+        come = {e[0] for e in waiting}
+        while expected in come:
             expected += 1
-        state.update((json.dumps(hist, ensure_ascii=False), expected,
-                      json.dumps({str(t): m for t, m in waiting.items()}, ensure_ascii=False)))
+        due = sorted((e for e in waiting if e[0] < expected), key=_place)
+        waiting = [e for e in waiting if e[0] >= expected]
+        turns, sizes, snaps = [], [], []
+        for e in due:
+            at = bisect_right(hist, _place(e), key=_place)
+            hist.insert(at, e)
+            shown = system + [{"role": r, "content": x} for _, r, x in hist[:at + 1]]
+            turns.append(e[0])
+            sizes.append(len(shown))
+            snaps.append(json.dumps(shown, ensure_ascii=False, separators=(",", ":")))
+        state.update((json.dumps(hist, ensure_ascii=False), expected, json.dumps(waiting, ensure_ascii=False)))
         yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns,
                             "n_messages": sizes, "history": snaps})
     return fn
@@ -94,7 +109,14 @@ def history_frame(conv: DataFrame, system_prompt: str | None, first_turn: int =
     """History at each turn, in turn order whatever order turns arrive in: a turn
     is held in state until all turns before it have come, then its history is
     emitted once.  Turns count from ``first_turn`` without gaps; what comes
-    after a missing turn waits for it."""
+    after a missing turn waits for it.
+
+    Different messages of one turn have a row each, in the order of role and
+    text as in the batch query.  One that comes after its turn was emitted gets
+    its row then and stands at its place in all histories emitted later; rows
+    already emitted do not change.  A message equal in turn, role and text to an
+    earlier one is a repeated delivery and is shown once, where the batch query
+    shows each row."""
     return conv.groupBy("conv_id").applyInPandasWithState(
         _history_fn(system_prompt, first_turn), HISTORY_OUT, HISTORY_STATE, "append",
         GroupStateTimeout.NoTimeout)

@@ -28,3 +28,29 @@ def test_late_turns_wait_and_are_shown_in_order(spark, tmp_path):
     rows = S.stream_history(spark, str(tmp_path), None, max_files_per_trigger=1).orderBy("turn").collect()
     assert [(r.turn, r.n_messages) for r in rows] == [(0, 1), (1, 2), (2, 3), (3, 4)]  # 5 waits for 4
     assert [m["content"] for m in __import__("json").loads(rows[-1].history)] == ["a", "b", "c", "d"]
+
+
+def _landed(spark, tmp_path, parts):
+    path = str(tmp_path / "conversations.parquet")
+    for rows in parts:
+        spark.createDataFrame([(1, *r) for r in rows], S.CONVERSATION_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = S.stream_history(spark, str(tmp_path), None, max_files_per_trigger=1)
+    return sorted(map(tuple, stream.collect()))
+
+
+def test_messages_of_one_turn_have_a_row_each_as_in_the_batch_query(spark, tmp_path):
+    parts = [[(0, "user", "a"), (2, "user", "d")], [(2, "tool", "c"), (2, None, "x")], [(1, "user", "b2"), (1, "user", "b1")]]
+    conv = spark.createDataFrame([(1, *r) for rows in parts for r in rows], S.CONVERSATION_SCHEMA)
+    for block in (None, 2):
+        batch = toolcalls.conversation_history(conv, None, block_turns=block).select(
+            "conv_id", "turn", "n_messages", F.to_json("history", {"ignoreNullFields": "false"}).alias("history"))
+        want = sorted(map(tuple, batch.collect()))
+        assert len(want) == 6
+        got = _landed(spark, tmp_path / str(block), parts)
+        assert got == want
+
+
+def test_a_second_message_after_its_turn_stands_in_later_histories(spark, tmp_path):
+    got = _landed(spark, tmp_path, [[(0, "user", "a")], [(1, "user", "c"), (0, "user", "b"), (0, "user", "a")], [(0, "user", "a")]])
+    assert [(t, [m["content"] for m in __import__("json").loads(h)]) for _, t, _, h in got] == [
+        (0, ["a"]), (0, ["a", "b"]), (1, ["a", "b", "c"])]
