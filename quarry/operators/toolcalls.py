@@ -85,11 +85,13 @@ def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SY
 
     With ``block_turns = None``: one window per conversation with a growing
     frame.  With ``block_turns = B``: turns are cut into blocks of ``B``; a turn's
-    history is the messages of all earlier blocks (one window over block
-    rows, ``n / B`` per conversation) followed by a running list inside its
-    own ``(conversation, block)`` partition.  A conversation holding a large
-    share of all turns is then spread over many tasks instead of one.  The
-    output itself is quadratic in a conversation's length by definition.
+    history is the messages of all earlier blocks followed by a running list
+    inside its own ``(conversation, block)`` partition.  Each block lists the
+    numbers of its earlier blocks, fetches their messages by (conversation,
+    number) and gathers them by (conversation, block), so a conversation holding
+    a large share of all turns is spread over many tasks.  One task sees a
+    conversation whole only to number its blocks.  The output itself is
+    quadratic in a conversation's length by definition.
     """
     msg = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
     if block_turns is None:
@@ -104,10 +106,20 @@ def conversation_history(conv: DataFrame, system_prompt: str | None = DEFAULT_SY
         blocks = m.groupBy(key, "_blk").agg(F.transform(
             F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_m").alias("m")))),
             lambda x: x["m"]).alias("_bm"))
-        w_b = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        prefix = blocks.select(key, "_blk", F.flatten(F.collect_list("_bm").over(w_b)).alias("_pre"))
-        base = inner.join(prefix, [key, "_blk"]).select(
-            key, order, F.concat(F.col("_pre"), F.col("_in")).alias("_h"))
+        # only numbers go through the conversation's window; messages meet by
+        # (conversation, block)
+        ids = blocks.select(F.col(key).alias("_k"), F.col("_blk").alias("_b")).withColumn(
+            "_no", F.row_number().over(Window.partitionBy("_k").orderBy("_b")))
+        ids = ids.repartition("_k", "_no")
+        held = blocks.join(ids, F.col(key).eqNullSafe(F.col("_k")) & F.col("_blk").eqNullSafe(F.col("_b"))).select(
+            F.col("_k").alias("_hk"), F.col("_no").alias("_hno"), "_bm")
+        pairs = ids.where("_no > 1").select("_k", "_b", F.explode(F.sequence(F.lit(1), F.col("_no") - 1)).alias("_e"))
+        prefix = (pairs.join(held, F.col("_k").eqNullSafe(F.col("_hk")) & (F.col("_e") == F.col("_hno")))
+                  .groupBy("_k", "_b").agg(F.flatten(F.transform(
+                      F.array_sort(F.collect_list(F.struct("_e", "_bm"))), lambda x: x["_bm"])).alias("_pre")))
+        base = inner.join(prefix, F.col(key).eqNullSafe(F.col("_k")) & F.col("_blk").eqNullSafe(F.col("_b")), "left").select(
+            key, order, F.when(F.col("_pre").isNull(), F.col("_in"))
+            .otherwise(F.concat(F.col("_pre"), F.col("_in"))).alias("_h"))
     hist = F.col("_h")
     if system_prompt is not None:
         sys_msg = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")))

@@ -93,3 +93,17 @@ def test_a_large_result_stays_a_table(spark):
     answers, rows = toolcalls.sql_tool_answer(spark, routed, max_result_chars=200)
     assert answers.first().content == "query returned 100 rows"
     assert sorted(r.row_no for r in rows.collect()) == list(range(100))
+
+
+def test_no_task_gathers_the_history_of_a_whole_conversation(spark):
+    conv = spark.createDataFrame([(c, t, "user", f"m{t}") for c, n in ((1, 41), (None, 9), (2, 1)) for t in range(-3, 3 * n, 3)],
+                                 "conv_id long, turn long, role string, text string")
+    got = toolcalls.conversation_history(conv, "S", block_turns=4)
+    assert sorted(got.collect(), key=str) == sorted(
+        toolcalls.conversation_history(conv, "S", block_turns=None).collect(), key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows
+    for w in windows:  # Window [functions], [partition], [order]
+        partition = w.split("windowspecdefinition(")[1].split(" ASC")[0]
+        assert "collect_list" not in w or "_blk" in partition
