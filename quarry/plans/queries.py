@@ -786,4 +786,4 @@ def q_stream_route(spark, sf):
 @query("stream_history")
 def q_stream_history(spark, sf):
     landed = streams.landed_in_files(spark, sf)
-    return streams.stream_history(spark, landed, max_files_per_trigger=1)
+    return streams.stream_history(spark, landed, max_files_per_trigger=streams.files_per_class(spark))

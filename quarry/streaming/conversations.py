@@ -132,10 +132,27 @@ def stream_history(spark: SparkSession, sf_dir: str,
     return spark.read.parquet(out)
 
 
-def landed_in_files(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+LANDED_CLASSES = 4
+
+
+def files_per_class(spark: SparkSession, files: int = LANDED_CLASSES) -> int:
+    """Files of each class of turns: all classes together follow the session's
+    shuffle width."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // files)
+
+
+def landed_in_files(spark: SparkSession, sf_dir: str, files: int = LANDED_CLASSES) -> str:
     """A copy of the conversations in which a conversation's turns lie in
-    different files, so that several micro-batches must carry state over."""
+    different files, so that several micro-batches must carry state over.
+
+    Turns are dealt to ``files`` classes by ``turn % files``, which land one
+    after the other.  A class is written by ``files_per_class`` tasks, a row's
+    task following from its conversation and turn, so a large conversation is
+    spread over all of them."""
     to = scratch_path(spark, "landed")
     conv = tables.load(spark, sf_dir, "conversations")
-    (conv.repartition(files, F.col("turn") % files).write.parquet(tables.table_path(to, "conversations")))
+    of = F.coalesce(F.pmod(F.col("turn"), F.lit(files)), F.lit(0))
+    for k in range(files):
+        (conv.where(of == k).repartition(files_per_class(spark, files), "conv_id", "turn")
+         .write.mode("append").parquet(tables.table_path(to, "conversations")))
     return to

@@ -54,3 +54,16 @@ def test_a_second_message_after_its_turn_stands_in_later_histories(spark, tmp_pa
     got = _landed(spark, tmp_path, [[(0, "user", "a")], [(1, "user", "c"), (0, "user", "b"), (0, "user", "a")], [(0, "user", "a")]])
     assert [(t, [m["content"] for m in __import__("json").loads(h)]) for _, t, _, h in got] == [
         (0, ["a"]), (0, ["a", "b"]), (1, ["a", "b", "c"])]
+
+
+def test_landed_copy_follows_the_shuffle_width(spark, tmp_path, monkeypatch):
+    conv = spark.range(400).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "string(id) AS text").unionByName(
+        spark.createDataFrame([(None, None, "user", "z"), (2, -1, "user", "y")], S.CONVERSATION_SCHEMA))
+    conv.write.parquet(str(tmp_path / "conversations.parquet"))
+    landed = tables.load(spark, S.landed_in_files(spark, str(tmp_path)), "conversations")
+    assert sorted(map(str, landed.collect())) == sorted(map(str, conv.collect()))
+    assert S.files_per_class(spark) == 2
+    files = landed.where("conv_id = 1").groupBy(F.input_file_name().alias("f")).agg(
+        F.count_distinct(F.expr("turn % 4")).alias("classes"), F.count("*").alias("n")).collect()
+    assert len(files) == 8  # one conversation, all tasks
+    assert all(r.classes == 1 and r.n < 100 for r in files)
