@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import chat, crf, decontam, linededup, packing, qda, simhash, suffix, tokens, toxicity
+from . import (bpe, chat, crf, decontam, divergence, linededup, packing, qda, simhash, suffix, tokens, toxicity,
+               whitening)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(load(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(load(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -67,10 +80,14 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_bpe": op11_bpe,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
     "op1_decontamination": decontam.ORACLE_SQL,
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
