@@ -18,6 +18,8 @@ audit compares the probabilities ``p`` and ``q`` of a term by ``|p - q|``.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,20 +34,34 @@ TOP_TERMS = 50
 BLOCK_CELLS = 1 << 20     # terms x sources of one block of probabilities
 HELD_CELLS = 1 << 23      # sums of pairs that a task holds before it hands them on
 
-# fixed values: what separates terms, and the letters that are folded
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# fixed values: letters of terms, upper case folded; any other ASCII character
+# separates terms, and bytes from 0x80 on belong to letters beyond ASCII
+FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``docs(lang, source, text)`` -> ``(lang, source, term, n, docs)``: a
-    term's occurrences in a group and the documents that hold it.  Terms are cut
-    in the document's row and added up before they are shuffled."""
-    words = F.filter(F.split(F.translate("text", UPPER, LOWER), SEPARATORS, -1), lambda w: w != "")
-    one = lambda n, d: lambda w: F.struct(w.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    both = F.concat(F.transform("w", one(1, 0)), F.transform(F.array_distinct("w"), one(0, 1)))
-    return (docs.select("lang", "source", words.alias("w")).select("lang", "source", F.explode(both).alias("t"))
-            .groupBy("lang", "source", "t.term").agg(F.sum("t.n").alias("n"), F.sum("t.docs").alias("docs")))
+    term's occurrences in a group and the documents that hold it.  A document
+    hands on each of its terms once, with its count, and counts are added up
+    before they are shuffled."""
+    def run(batches):
+        for b in batches:
+            terms, counts, row = [], [], []
+            for k, text in enumerate(b.column(2)):
+                found = Counter(text.as_py().translate(FOLD).split(b" "))
+                found.pop(b"", None)
+                terms += found
+                counts += found.values()
+                row += [k] * len(found)
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(terms, pa.binary()), pa.array(counts, pa.int64())],
+                ["lang", "source", "term", "n"])
+
+    found = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
+        run, "lang string, source string, term binary, n long")
+    return (found.groupBy("lang", "source", F.col("term").cast("string").alias("term"))
+            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")))
 
 
 def probability(count: Column, total: Column, terms: Column, smoothing: int = SMOOTHING, scale: int = SCALE) -> Column:
