@@ -16,11 +16,13 @@ between blocks of text.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,14 @@ from .base import bounded_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_WORDS = 200_000
-MAX_WORDS = 400_000       # words whose encodings are kept
+MAX_WORDS = 800_000       # words whose encodings are kept
 MAX_KEPT_CHARS = 64       # a longer word's encoding is not kept between blocks
 MAX_PAIRS = 500_000       # neighbours whose verdict is kept
+NEAR = 32                 # bytes of neighbouring words compared at once
 
-# fixed value: how the tokenizer's byte-level step cuts words
-WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# fixed value: how the tokenizer's byte-level step cuts words, for classes of
+# letters, numbers and other characters that are no white space
+WORD = r""" ?{letter}+| ?{number}+|'(?:s|t|re|ve|m|ll|d)| ?{other}+|\s+(?!\S)|\s+"""
 
 # fixed values: letters and numbers that Unicode got after the version that the
 # tokenizer's library knows (16); to it they are neither
@@ -76,14 +80,15 @@ class Vocabulary:
         for content, i in self.added.items():
             self.bytes[i] = content.encode()
         self.sizes = [len(t) for t in self.bytes]
+        self.raw = [array("i", [i]).tobytes() for i in range(len(self.bytes))]
         parts = sorted(self.added, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, parts)) + ")") if parts else None
-        self.words = regex.compile(WORD)
-        self.newer = regex.compile(f"[{NEWER}]")
-        known = rf"\s\p{{L}}\p{{N}}"
-        self.words_of_newer = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[{NEWER}]]+| ?[[^{known}]||[{NEWER}]]+|\s+(?!\S)|\s+",
-            regex.V1)
+        self.ascii_words = re.compile(WORD.format(letter="[A-Za-z]", number="[0-9]", other=r"[^\sA-Za-z0-9]"), re.ASCII)
+        self.words = regex.compile(WORD.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
+        self.words_of_newer = regex.compile(WORD.format(
+            letter=rf"[\p{{L}}--[{NEWER}]]", number=rf"[\p{{N}}--[{NEWER}]]",
+            other=rf"[[^\s\p{{L}}\p{{N}}]||[{NEWER}]]"), regex.V1)
+        self.newer, self.maybe_newer = regex.compile(f"[{NEWER}]"), regex.compile(f"[{NEWER[0]}-{chr(0x10FFFF)}]")
         self._merges(ids, model["merges"])
         self._endings(ids)
 
@@ -142,11 +147,11 @@ class Vocabulary:
         known = self.verdicts[left << 32 | right] = self._stands(left, right, 1 << 62)
         return known
 
-    def extend(self, data: bytearray, states: array) -> None:
+    def extend(self, data: bytes, states: list) -> None:
         """Adds the last token of each prefix of ``data`` that ``states`` does
         not hold yet: the tokens that end a prefix are read backwards, and the
         one that may follow the state before it is the state."""
-        back, token_at, verdicts = self.back.get, self.token_at, self.verdicts
+        back, token_at, verdicts = self.back.get, self.token_at, self.verdicts.get
         for depth in range(len(states), len(data) + 1):
             node, at, state = 0, depth, -1
             while at:
@@ -156,12 +161,12 @@ class Vocabulary:
                     break
                 token = token_at[node]
                 if token >= 0:
-                    ok = at == 0
-                    if not ok:
-                        left = states[at]
-                        ok = verdicts.get(left << 32 | token)
-                        if ok is None:
-                            ok = self.may_follow(left, token)
+                    if not at:
+                        state = token
+                        break
+                    ok = verdicts(states[at] << 32 | token)
+                    if ok is None:
+                        ok = self.may_follow(states[at], token)
                     if ok:
                         state = token
                         break
@@ -171,32 +176,25 @@ class Vocabulary:
 
 
 class Trie:
-    """A path-compressed trie of byte strings: a node is ``[edge, children,
-    word or None]``, children in byte order."""
+    """A trie of byte strings in array form: its words in byte order, which is
+    depth-first order, and the depth at which each leaves the path of the one
+    before."""
 
     def __init__(self, words):
-        self.root = [b"", [], None]
-        path = [(0, self.root)]           # depth reached by each node of the last word's path
-        last = b""
-        for word in sorted(set(words)):
-            shared = _shared(last, word)
-            below = None
-            while path[-1][0] > shared:
-                below = path.pop()[1]
-            depth, node = path[-1]
-            if depth < shared:            # an edge is cut where the words part
-                cut = [below[0][:shared - depth], [below], None]
-                below[0] = below[0][shared - depth:]
-                node[1][-1] = cut
-                path.append((shared, cut))
-                node = cut
-            if len(word) == shared:       # only the empty word: words are sorted and distinct
-                node[2] = word
-            else:
-                leaf = [word[shared:], [], word]
-                node[1].append(leaf)
-                path.append((len(word), leaf))
-            last = word
+        self.words = sorted(set(words))
+        self.shared = [0] * len(self.words)
+        if len(self.words) > 1:
+            size = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
+            data = np.frombuffer(b"".join(self.words) + bytes(NEAR), dtype=np.uint8)
+            start = np.cumsum(size) - size
+            most = np.minimum(size[1:], size[:-1])
+            depth, live = np.zeros(len(most), dtype=np.int64), np.arange(len(most))
+            for k in range(NEAR):
+                live = live[(most[live] > k) & (data[start[live] + k] == data[start[live + 1] + k])]
+                depth[live] = k + 1
+            for i in live:  # words that agree further than the loop went
+                depth[i] = _shared(self.words[i], self.words[i + 1])
+            self.shared[1:] = depth.tolist()
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -213,24 +211,21 @@ def _shared(a: bytes, b: bytes) -> int:
 
 def encode_words(vocab: Vocabulary, words) -> dict[bytes, bytes]:
     """Encodings (int32 ids as bytes) of distinct words by one walk over their
-    trie, depth first.  Memory follows the longest word and the trie's edges."""
-    out, sizes = {}, vocab.sizes
-    path, states = bytearray(), array("i", [-1])
-    stack = [(0, Trie(words).root)]
-    while stack:
-        depth, (edge, children, word) = stack.pop()
-        del path[depth:], states[depth + 1:]
-        path += edge
-        vocab.extend(path, states)
-        if word is not None:
-            ids, at = array("i"), len(path)
-            while at:
-                ids.append(states[at])
-                at -= sizes[states[at]]
-            ids.reverse()
-            out[word] = ids.tobytes()
-        if children:
-            stack += [(len(path), child) for child in reversed(children)]
+    trie, depth first: the states of the path are cut back to where a word
+    leaves it and extended by the word's own bytes.  Memory follows the longest
+    word."""
+    out, sizes, raw = {}, vocab.sizes, vocab.raw
+    trie, states = Trie(words), [-1]
+    for word, shared in zip(trie.words, trie.shared):
+        del states[shared + 1:]
+        vocab.extend(word, states)
+        ids, at = [], len(word)
+        while at:
+            token = states[at]
+            ids.append(raw[token])
+            at -= sizes[token]
+        ids.reverse()
+        out[word] = b"".join(ids)
     return out
 
 
@@ -249,7 +244,10 @@ class Encoder:
             if k % 2:
                 yield [part]
             elif part:
-                cut = v.words if part.isascii() or not v.newer.search(part) else v.words_of_newer
+                if part.isascii():
+                    cut = v.ascii_words
+                else:
+                    cut = v.words_of_newer if v.maybe_newer.search(part) and v.newer.search(part) else v.words
                 if len(part) <= BLOCK_WORDS:  # no more words than characters
                     yield cut.findall(part)
                 else:
@@ -350,7 +348,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER,
     def run(batches):
         vocab = load_vocabulary(tokenizer)
         for b in batches:
-            texts = [decode_ids(vocab, i.as_py() or ()) for i in b.column(at)]
+            column = b.column(at)
+            ids, edge = column.flatten().to_pylist(), np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy()])
+            texts = [decode_ids(vocab, ids[i:j]) for i, j in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     return encoded.mapInArrow(run, schema)
