@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from array import array
 from itertools import islice
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +62,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes that each id of a tokenizer file stands for."""
+    letters, ids, added = byte_letters(), spec["model"]["vocab"], spec.get("added_tokens") or []
+    out = [b""] * (max([*ids.values(), *(a["id"] for a in added)], default=-1) + 1)
+    for token, i in ids.items():
+        out[i] = bytes([letters[c] for c in token])
+    for a in added:
+        out[a["id"]] = a["content"].encode()
+    return out
+
+
 class Vocabulary:
     """Tokens, their merges, and the tokens that end with given bytes."""
 
     def __init__(self, spec: dict):
-        model, letters = spec["model"], byte_letters()
+        model = spec["model"]
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         if (model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space")
                 or not pre.get("use_regex", True) or spec.get("normalizer") or spec.get("post_processor")
@@ -73,12 +86,8 @@ class Vocabulary:
         if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
             raise ValueError("added tokens that take in what is around them are not handled")
         ids = model["vocab"]
-        self.bytes = [b""] * (max([*ids.values(), *(a["id"] for a in added)]) + 1)
-        for token, i in ids.items():
-            self.bytes[i] = bytes(letters[c] for c in token)
         self.added = {a["content"]: a["id"] for a in added}
-        for content, i in self.added.items():
-            self.bytes[i] = content.encode()
+        self.bytes = token_bytes(spec)
         self.sizes = [len(t) for t in self.bytes]
         self.raw = [array("i", [i]).tobytes() for i in range(len(self.bytes))]
         parts = sorted(self.added, key=len, reverse=True)
@@ -259,13 +268,16 @@ class Encoder:
         """The ids of each word; words not known yet are encoded together."""
         if not self.known or len(self.known) >= MAX_WORDS:
             self.known = {s: array("i", [i]).tobytes() for s, i in self.vocab.added.items()}
-        new = {w.encode(): w for w in set(words).difference(self.known)}
-        for raw, ids in encode_words(self.vocab, new).items():
-            self.known[new[raw]] = ids
-        out = list(map(self.known.__getitem__, words))
-        for w in new.values():
-            if len(w) > MAX_KEPT_CHARS:
-                del self.known[w]
+        known = self.known
+        out = list(map(known.get, words))
+        new = {w.encode(): w for w, ids in zip(words, out) if ids is None}
+        if new:
+            for raw, ids in encode_words(self.vocab, new).items():
+                known[new[raw]] = ids
+            out = list(map(known.__getitem__, words))
+            for w in new.values():
+                if len(w) > MAX_KEPT_CHARS:
+                    del known[w]
         return out
 
     def encode(self, texts) -> list[bytes]:
@@ -291,24 +303,44 @@ class Encoder:
         return [bytes(f) for f in found]
 
 
-def decode_ids(vocab: Vocabulary, ids) -> str:
-    """The text of token ids, special tokens included; bytes that are no UTF-8
-    become U+FFFD and ids outside the vocabulary nothing."""
-    known = vocab.bytes
-    return b"".join([known[i] for i in ids if 0 <= i < len(known)]).decode("utf-8", "replace")
+class Decoder:
+    """The bytes of each token id; that is all that decoding needs."""
 
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
 
-_vocabularies: dict[str, Vocabulary] = {}
+    def decode(self, ids) -> str:
+        """The text of token ids, special tokens included; bytes that are no
+        UTF-8 become U+FFFD and ids outside the vocabulary nothing."""
+        try:
+            if min(ids, default=0) < 0:
+                raise IndexError
+            raw = b"".join(map(self.tokens.__getitem__, ids))
+        except IndexError:
+            raw = b"".join([self.tokens[i] for i in ids if 0 <= i < len(self.tokens)])
+        return raw.decode("utf-8", "replace")
 
 
-def load_vocabulary(tokenizer: str = TOKENIZER) -> Vocabulary:
-    """Read and check a tokenizer file once per process."""
-    if tokenizer not in _vocabularies:
+def _load(name: str, make, tokenizer: str):
+    """What ``make`` builds from a tokenizer file, once per process.  Functions
+    come to a Python worker by value, task by task, so what shall outlast a task
+    is held by a module of the worker's own."""
+    held = vars(sys.modules.setdefault("_bpe_of_this_process", ModuleType("_bpe_of_this_process")))
+    key = f"{name}:{tokenizer}"
+    if key not in held:
         import public_tokenizers
 
         with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
-            _vocabularies[tokenizer] = Vocabulary(json.load(f))
-    return _vocabularies[tokenizer]
+            held[key] = make(json.load(f))
+    return held[key]
+
+
+def load_encoder(tokenizer: str = TOKENIZER) -> Encoder:
+    return _load("encoder", lambda spec: Encoder(Vocabulary(spec)), tokenizer)
+
+
+def load_decoder(tokenizer: str = TOKENIZER) -> Decoder:
+    return _load("decoder", lambda spec: Decoder(token_bytes(spec)), tokenizer)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -325,7 +357,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(load_vocabulary(tokenizer))
+        encoder = load_encoder(tokenizer)
         for b in batches:
             found = encoder.encode([t.as_py().decode("utf-8", "replace") for t in b.column(1)])
             ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int64)
@@ -337,7 +369,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER, out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids added as ``out_col``; null ids give
-    an empty text.  No shuffle."""
+    an empty text and a null id none.  No shuffle."""
     bounded_batches(encoded.sparkSession)
     if out_col in encoded.columns:
         raise ValueError(f"there is a column {out_col} already")
@@ -346,11 +378,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER,
     names = [*encoded.columns, out_col]
 
     def run(batches):
-        vocab = load_vocabulary(tokenizer)
+        text = load_decoder(tokenizer).decode
         for b in batches:
             column = b.column(at)
-            ids, edge = column.flatten().to_pylist(), np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy()])
-            texts = [decode_ids(vocab, ids[i:j]) for i, j in zip(edge[:-1], edge[1:])]
+            ids = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+            edge = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy()])
+            texts = [text(ids[i:j].tolist()) for i, j in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     return encoded.mapInArrow(run, schema)

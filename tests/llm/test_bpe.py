@@ -29,7 +29,7 @@ def ids_of(encoder, texts):
 def test_random_texts(library, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 13)  # texts are taken in several blocks
     monkeypatch.setattr(bpe, "MAX_WORDS", 500)
-    encoder, rnd = bpe.Encoder(bpe.load_vocabulary()), random.Random(5)
+    encoder, rnd = bpe.Encoder(bpe.load_encoder().vocab), random.Random(5)
     texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
     for k in range(0, len(texts), 50):
         some = texts[k:k + 50]
@@ -39,15 +39,15 @@ def test_random_texts(library, monkeypatch):
 
 
 def test_decoding_takes_any_ids(library):
-    vocab, rnd = bpe.load_vocabulary(), random.Random(6)
+    decoder, rnd = bpe.load_decoder(), random.Random(6)
     for _ in range(500):  # most of these are no UTF-8
         ids = [rnd.choice([rnd.randrange(300), rnd.randrange(50257)]) for _ in range(rnd.randint(0, 12))]
-        assert bpe.decode_ids(vocab, ids) == library.decode(ids, skip_special_tokens=False)
-    assert bpe.decode_ids(vocab, [10 ** 9, -1]) == ""
+        assert decoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert decoder.decode([10 ** 9, -1]) == ""
 
 
 def test_a_shared_prefix_is_computed_once(monkeypatch):
-    vocab, steps = bpe.load_vocabulary(), []
+    vocab, steps = bpe.load_encoder().vocab, []
     extend = vocab.extend
     monkeypatch.setattr(vocab, "extend", lambda data, states: (steps.append(len(data) + 1 - len(states)), extend(data, states)))
     words = [b"", b"inter", b"interest", b"interested", b"interesting", b"into", b"x", b"interest"]
@@ -60,11 +60,11 @@ def test_a_shared_prefix_is_computed_once(monkeypatch):
 
 def test_only_a_tokenizer_of_this_kind_is_taken():
     with pytest.raises(ValueError, match="byte-level"):
-        bpe.load_vocabulary("word_bpe_49k.json")
+        bpe.load_encoder("word_bpe_49k.json")
 
 
 def test_very_long_words_and_texts(library):
-    encoder = bpe.Encoder(bpe.load_vocabulary())
+    encoder = bpe.Encoder(bpe.load_encoder().vocab)
     text = "a" * 300_000 + " " + "bcd" * 100_000 + "\n" * 5000 + "the end " * 100_000
     t = time.time()
     assert ids_of(encoder, [text])[0] == library.encode(text, add_special_tokens=False).ids
