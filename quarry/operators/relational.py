@@ -4,7 +4,6 @@ SQL statements with their errors captured as data."""
 from __future__ import annotations
 
 import logging
-import re
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import sqlguard
 
 # ---------------------------------------------------------------- joins / aggregates
 
@@ -113,22 +113,20 @@ def catalog_columns(spark: SparkSession, names: list[str] | None = None,
     return out
 
 
-def catalog_info(spark: SparkSession, names: list[str] | None = None, in_use: bool = False) -> DataFrame:
-    """``(table_name, column_names array<string>)`` in column order.  By default
-    from the schema alone; with ``in_use`` the tables are read and columns
-    without any value are left out."""
+def catalog_info(spark: SparkSession, names: list[str] | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """``(table_name, column_names array<string>, without_values array<string>)``
+    in column order.  From the schema alone every column is listed and
+    ``without_values`` is null; a column profile (:func:`catalog_columns`, or a
+    stored one) tells which of them hold only nulls."""
+    if profile is not None:
+        cols = F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "non_null")))
+        name = lambda c: c["column_name"]
+        return profile.groupBy("table_name").agg(cols.alias("c")).select(
+            "table_name", F.transform("c", name).alias("column_names"),
+            F.transform(F.filter("c", lambda c: c["non_null"] == 0), name).alias("without_values"))
     names = names if names is not None else sorted(t.name for t in spark.catalog.listTables())
-    if not in_use:
-        rows = [(n, [f.name for f in spark.table(n).schema.fields]) for n in names]
-        return spark.createDataFrame(rows, "table_name string, column_names array<string>")
-    out = None
-    for n in names:
-        t = spark.table(n)
-        held = t.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(t.columns)])
-        cols = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(c)) for i, c in enumerate(t.columns)]))
-        one = held.select(F.lit(n).alias("table_name"), cols.alias("column_names"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = [(n, [f.name for f in spark.table(n).schema.fields], None) for n in names]
+    return spark.createDataFrame(rows, "table_name string, column_names array<string>, without_values array<string>")
 
 
 def schema_text(info: DataFrame) -> DataFrame:
@@ -144,26 +142,6 @@ def schema_text(info: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL with errors as data
 
-# names of plan nodes that change something; anything else is a query
-_CHANGES = re.compile(r"^'?(Insert|Create|Drop|Alter|Replace|Truncate|Delete|Update|Merge|Overwrite|Append|Load|Cache|"
-                      r"Uncache|Refresh|Repair|Recover|Analyze|Set|Reset|Add|List|Comment|Rename|Call|Execute|Declare|"
-                      r"CompoundBody|SingleStatement)|Command$|Statement$")
-_NODE = re.compile(r"^[\s:|+-]*('?[A-Za-z][A-Za-z0-9]*)")
-
-
-def plan_nodes(spark: SparkSession, sql: str) -> list[str]:
-    """Node names of a statement's parsed plan, root first.  ``EXPLAIN`` parses
-    the statement and runs nothing."""
-    text = spark.sql("EXPLAIN EXTENDED\n" + sql).first()[0]
-    parsed = text.split("== Parsed Logical Plan ==", 1)[-1].split("== Analyzed Logical Plan ==", 1)[0]
-    return [m[1] for line in parsed.splitlines() if (m := _NODE.match(line))]
-
-
-def read_only(nodes: list[str]) -> bool:
-    """Whether no node of the plan, at any depth, is a command or a change."""
-    return bool(nodes) and not any(_CHANGES.search(n) for n in nodes)
-
-
 def _unique(names: list[str]) -> list[str]:
     """Column names for JSON: a repeated name gets ``_2``, ``_3``, ..."""
     out: list[str] = []
@@ -198,8 +176,16 @@ def _numbered(rows: DataFrame) -> DataFrame:
         "stmt_id", (F.col("start") + F.col("place") - F.col("first")).alias("row_no"), "row_json")
 
 
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its views and settings, for statements of
+    others: they see no variables, and what they might set stays theirs."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.variable.substitute", "false")
+    return own
+
+
 def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
-              page: int = 1000, parallel: int = 4) -> DataFrame:
+              page: int = 1000, parallel: int = 4, functions: tuple[str, ...] = ()) -> DataFrame:
     """Run a table of SQL statements; ``(sql, ok, row_no, row_json, error)`` per
     distinct statement.
 
@@ -209,8 +195,8 @@ def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
     statement contributes one row per result row (``row_no`` is its place, which
     an ``ORDER BY`` makes meaningful), or one row with nulls when its result is
     empty; a failing one contributes one row with ``ok = false`` and the whole
-    error text.  A statement is refused if its parsed plan holds a command or a
-    change at any depth.
+    error text.  A statement that is no plain query is refused (``refused: ...``,
+    see :mod:`sqlguard`); ``functions`` names UDFs that it may call.
 
     Statement texts pass the driver in pages of ``page``, never their results;
     results are read back from storage in one scan and joined on a statement
@@ -218,13 +204,14 @@ def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
     limit.
     """
     root = scratch_path(spark, "sql")
+    own = _own_session(spark)
 
     def run_one(k_s):
         k, s = k_s
         try:
-            if s is None or not read_only(plan_nodes(spark, s)):
-                return k, s, False, "refused: only queries are run"
-            _write_result(spark, s, f"{root}/rows/stmt_id={k}")
+            if reason := sqlguard.why_refused(own, s, functions):
+                return k, s, False, f"refused: {reason}"
+            _write_result(own, s, f"{root}/rows/stmt_id={k}")
         except Exception as e:  # parse, analysis and run-time errors alike
             return k, s, False, str(e).strip() or type(e).__name__
         return k, s, True, None

@@ -171,15 +171,15 @@ def instructions_lookup(calls: DataFrame, instructions: DataFrame,
 
 
 def sql_tool_answer(spark: SparkSession, routed: DataFrame,
-                    max_result_chars: int = 100_000) -> tuple[DataFrame, DataFrame]:
+                    max_result_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Run the SQL of every ``sql`` route once per distinct statement.
 
     Returns ``(answers, rows)``: per call ``(conv_id, turn, call_id, ok,
     n_rows, content)``, where content is the tool message, and the whole result
-    rows ``(sql, row_no, row_json)``.  The message holds the rows in order as
-    one JSON array.  A result of more than ``max_result_chars`` characters does
-    not fit a message: it says how many rows there are, and they stay in
-    ``rows``.  A failure reads ``query failed with error: ...``.
+    rows ``(sql, row_no, row_json)``.  The message holds all rows in order as one
+    JSON array; a failure reads ``query failed with error: ...``.  A caller whose
+    model takes no longer messages may set ``max_result_chars``: the message of a
+    larger result says how many rows there are, and they stay in ``rows``.
     """
     calls = routed.where(F.col("route") == "sql").select("conv_id", "turn", "call_id", F.col("reply").alias("sql"))
     res = relational.sql_batch(spark, calls, sql_col="sql")
@@ -187,14 +187,14 @@ def sql_tool_answer(spark: SparkSession, routed: DataFrame,
     per = res.groupBy("sql").agg(
         F.bool_and("ok").alias("ok"), F.count("row_json").alias("n_rows"), F.max("error").alias("error"),
         F.coalesce(F.sum(F.char_length("row_json") + 2), F.lit(0)).alias("chars"))
-    fits = per.where(F.col("ok") & (F.col("chars") <= max_result_chars)).select(F.col("sql").alias("of"))
+    large = F.lit(False) if max_result_chars is None else F.col("chars") > max_result_chars
+    fits = per.where(F.col("ok") & ~large).select(F.col("sql").alias("of"))
     texts = (res.join(fits, res["sql"] == fits["of"], "left_semi").where(F.col("row_json").isNotNull()).groupBy("sql")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_json"))),
                                            lambda x: x["row_json"]), ", ").alias("rows_text")))
     per = per.join(texts, "sql", "left")
     content = (F.when(~F.col("ok"), F.concat(F.lit("query failed with error: "), F.col("error")))
-               .when(F.col("chars") > max_result_chars,
-                     F.concat(F.lit("query returned "), F.col("n_rows").cast("string"), F.lit(" rows")))
+               .when(large, F.concat(F.lit("query returned "), F.col("n_rows").cast("string"), F.lit(" rows")))
                .otherwise(F.concat(F.lit("["), F.coalesce("rows_text", F.lit("")), F.lit("]"))))
     answers = calls.join(per, "sql").select("conv_id", "turn", "call_id", "ok", "n_rows", content.alias("content"))
     rows = res.where(F.col("ok") & F.col("row_json").isNotNull()).select("sql", "row_no", "row_json")

@@ -482,15 +482,19 @@ ORACLE["catalog_columns"] = f"{with_(ALERTS, DEALS)} " + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, '{ty}' AS data_type, "
     f"count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct FROM {t}"
     for t, cols in CATALOG for i, (c, ty) in enumerate(cols))
-IN_USE = "in_use AS (" + " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS c FROM {t} HAVING count({c}) > 0"
+ORACLE["catalog_profile"] = f"{with_(ALERTS)} " + " UNION ALL ".join(
+    f"SELECT 'alerts_table' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, '{ty}' AS data_type, "
+    f"count({c}) AS non_null, true AS within FROM alerts_table" for i, (c, ty) in enumerate(CATALOG[0][1]))
+COLUMNS = "columns_of AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS c, count({c}) AS non_null FROM {t}"
     for t, cols in CATALOG for i, (c, _) in enumerate(cols)) + ")"
-ORACLE["catalog_info"] = (f"{with_(ALERTS, DEALS, IN_USE)} SELECT table_name, CAST(to_json(list(c ORDER BY ordinal)) AS VARCHAR) "
-                          "AS column_names FROM in_use GROUP BY table_name")
+ORACLE["catalog_info"] = (f"{with_(ALERTS, DEALS, COLUMNS)} SELECT table_name, CAST(to_json(list(c ORDER BY ordinal)) AS VARCHAR) "
+                          "AS column_names, CAST(to_json(coalesce(list(c ORDER BY ordinal) FILTER (non_null = 0), [])) AS VARCHAR) "
+                          "AS without_values FROM columns_of GROUP BY table_name")
 SCHEMA_TEXT = "\n".join(f"Table: {t}\nColumns: {', '.join(c for c, _ in cols)}" for t, cols in CATALOG)
-ORACLE["schema_text"] = (f"{with_(ALERTS, DEALS, IN_USE)} SELECT string_agg('Table: ' || table_name || chr(10) || 'Columns: ' "
+ORACLE["schema_text"] = (f"{with_(ALERTS, DEALS, COLUMNS)} SELECT string_agg('Table: ' || table_name || chr(10) || 'Columns: ' "
                          "|| cols, chr(10) ORDER BY table_name) AS schema_text FROM (SELECT table_name, "
-                         "string_agg(c, ', ' ORDER BY ordinal) AS cols FROM in_use GROUP BY table_name)")
+                         "string_agg(c, ', ' ORDER BY ordinal) AS cols FROM columns_of GROUP BY table_name)")
 ORACLE["section_summary"] = f"{with_(wiki(), summary())} SELECT doc_id, title AS path, text FROM summ"
 ORACLE["section_tree"] = (f"{with_(wiki(), tree())} SELECT doc_id, sec_no, level, "
                           "array_to_string(titles, ' > ') AS path, text FROM tree")

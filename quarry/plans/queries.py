@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..operators import context, corpus, embed, knn, relational, toolcalls
+from ..operators import context, corpus, embed, knn, profile, relational, toolcalls
 from ..session import scratch_path, spread
 from ..sources import derived, files, tables
 from ..streaming import conversations as streams
@@ -591,11 +591,29 @@ def q_catalog_columns(spark, sf):
     return relational.catalog_columns(spark, ALERT_VIEWS, exact=True)
 
 
+@query("catalog_profile")
+def q_catalog_profile(spark, sf):
+    """The alerts land in two parts; each update reads the files that are new."""
+    where, kept = scratch_path(spark, "alerts"), scratch_path(spark, "profile")
+    alerts = tables.alerts(spark, sf)
+    for k in range(2):
+        alerts.where(F.pmod(F.hash("alert_id"), F.lit(2)) == k).write.mode("append").parquet(where)
+        files = list(spark.read.parquet(where).inputFiles())
+        profile.update_profile(spark, kept, files, lambda some: spark.read.parquet(*some))
+    sketched = profile.merged_profile(spark, kept, "alerts_table", files)
+    tables.register_alert_views(spark, sf)
+    exact = relational.catalog_columns(spark, ["alerts_table"], exact=True).select("ordinal", F.col("n_distinct").alias("exact"))
+    off = F.abs(F.col("n_distinct") - F.col("exact"))
+    return sketched.join(exact, "ordinal").select("table_name", "ordinal", "column_name", "data_type", "non_null",
+                                                  (off <= 4 * profile.relative_error() * F.col("exact")).alias("within"))
+
+
 @query("catalog_info")
 def q_catalog_info(spark, sf):
     tables.register_alert_views(spark, sf)
-    info = relational.catalog_info(spark, ALERT_VIEWS, in_use=True)
-    return info.select("table_name", F.to_json("column_names").alias("column_names"))
+    info = relational.catalog_info(spark, profile=relational.catalog_columns(spark, ALERT_VIEWS))
+    return info.select("table_name", F.to_json("column_names").alias("column_names"),
+                       F.to_json("without_values").alias("without_values"))
 
 
 def _schema_text(spark, sf) -> str:
@@ -606,7 +624,7 @@ def _schema_text(spark, sf) -> str:
 @query("schema_text")
 def q_schema_text(spark, sf):
     tables.register_alert_views(spark, sf)
-    return relational.schema_text(relational.catalog_info(spark, ALERT_VIEWS, in_use=True))
+    return relational.schema_text(relational.catalog_info(spark, profile=relational.catalog_columns(spark, ALERT_VIEWS)))
 
 
 @query("section_summary")
