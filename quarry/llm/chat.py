@@ -2,9 +2,13 @@
 
 The input is a log of events ``(conv_id, msg, seq, kind, role, text)``: a
 message is streamed as ``delta`` events, an ``edit`` replaces what stands so
-far, a ``regenerate`` throws it away and streams anew.  The log is partitioned
-by message, sorted by sequence and folded into the message's final text; only
-final messages meet in their conversation, where they are rendered.
+far, a ``regenerate`` throws it away and streams anew.  ``seq`` orders all
+events of a conversation, and an edit or a regeneration may come when the
+conversation has long gone on.  An event changes the one message that it names,
+so the log is partitioned by conversation and message, sorted by sequence and
+folded into final messages: the result is that of the whole conversation's log
+in order, and a conversation with very many events is spread.  Final messages
+meet in their conversation, where they are rendered.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  Inside roles and
 texts every ``<``, any backslashes and ``|`` in a row get one more backslash
@@ -49,45 +53,48 @@ def unescape_role(c: Column) -> Column:
 def event_log(messages: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
     """Finished messages ``(conv_id, turn, role, text)`` as a streamed log.
 
-    A user's message is a draft (its first characters), then an edit with the
-    whole; any other message is a first attempt, a regeneration, and the whole
-    text in deltas.  ``msg`` is (turn, role, text hash, text): rows that agree
+    A user's message is a draft (its first characters) and, when the next turn
+    has begun, an edit with the whole; any other message is a first attempt and,
+    when the next turn has begun, a regeneration and the whole text in deltas.  ``msg`` is (turn, role, text hash, text): rows that agree
     in all of these are told apart by their count, in ``copies``.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = (messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
             .groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("text") / delta_chars) - 1, F.lit(0))),
-                         lambda k: F.substring("text", k * delta_chars + 1, F.lit(delta_chars)))
-    event = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
     draft = F.substring("text", F.lit(1), F.lit(DRAFT_CHARS))
-    events = F.when(F.col("role") == "user", F.array(event("delta", draft), event("edit", F.col("text")))) \
-        .otherwise(F.concat(F.array(event("delta", draft), event("regenerate", F.lit(""))),
-                            F.transform(pieces, lambda t: event("delta", t))))
-    out = rows.withColumn("key", F.xxhash64("text")).select(
-        "conv_id", "turn", "role", "key", F.xxhash64(F.lit(1), "text").alias("key2"), "copies",
-        F.posexplode(events).alias("seq", "event"))
-    return out.select("conv_id", "turn", "role", F.struct("key", "key2").alias("msg"), "copies", "seq",
-                      "event.kind", "event.text")
+    # seq: the turn that the conversation has reached, then a place within it
+    first = F.struct(F.col("turn").alias("at"), F.lit(1).alias("late"), F.lit(0).alias("step"))
+    later = F.when(F.col("turn") < (1 << 63) - 1, F.col("turn") + 1).otherwise(F.col("turn"))
+    after = lambda step: F.struct(later.alias("at"), F.lit(2).alias("late"), step.cast("int").alias("step"))
+    event = lambda seq, kind, t: F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    events = F.when(F.col("role") == "user", F.array(event(first, "delta", draft), event(after(F.lit(0)), "edit", F.col("text")))) \
+        .otherwise(F.concat(F.array(event(first, "delta", draft), event(after(F.lit(0)), "regenerate", F.lit(""))),
+                            F.transform(pieces, lambda t, k: event(after(k + 1), "delta", t))))
+    # the text is read once, for its keys and its events; rows of events do not carry it
+    msg = F.struct(F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("key2"))
+    out = rows.select("conv_id", "turn", "role", msg.alias("msg"), "copies", events.alias("events"))
+    return (out.select("conv_id", "turn", "role", "msg", "copies", F.explode("events").alias("event"))
+            .select("conv_id", "turn", "role", "msg", "copies", "event.seq", "event.kind", "event.text"))
 
 
 def fold_events(log: DataFrame) -> DataFrame:
     """Final messages: what the events of each message leave, in sequence.
 
     The last edit or regeneration starts the text; the deltas after it follow.
-    Deltas with the same sequence number are put in text order.  A hot
-    conversation is spread, since messages are folded one by one.
+    Of events with the same sequence number, deltas come last and go by text.
+    ``seq`` may be of any type that has an order.
     """
-    events = F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))))
+    events = F.array_sort(F.collect_list(F.struct(
+        "seq", (F.col("kind") == "delta").alias("adds"), F.coalesce("text", F.lit("")).alias("text"), "kind")))
     folded = log.groupBy("conv_id", "turn", "role", "msg").agg(events.alias("events"),
                                                               F.max("copies").alias("copies"))
-    last = F.coalesce(F.array_max(F.transform(
-        F.filter("events", lambda e: e["kind"].isin("edit", "regenerate")), lambda e: e["seq"])), F.lit(-1))
-    live = F.filter("events", lambda e: (e["seq"] >= F.col("since")) & (e["kind"] != "regenerate"))
+    since = F.array_max(F.transform("events", lambda e, k: F.when(e["kind"].isin("edit", "regenerate"), k).otherwise(0)))
+    # cut once; a filter by position would look for the last reset at every event
+    live = F.filter(F.slice("events", since + 1, F.size("events")), lambda e: e["kind"] != "regenerate")
     text = F.array_join(F.transform(live, lambda e: e["text"]), "")
-    return (folded.withColumn("since", last)
-            .select("conv_id", "turn", "role", "copies", text.alias("text")))
+    return folded.select("conv_id", "turn", "role", "copies", text.alias("text"))
 
 
 # ---------------------------------------------------------------- rendering
@@ -131,19 +138,23 @@ def format_chats(log: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Parse ``formatted`` again: ``(conv_id, turns array<struct<role, text>>,
     loss array<string>, formatted)``; ``loss`` is cut out by the spans."""
-    turns = F.expr("slice(split(formatted, '<\\\\|im_start\\\\|>', -1), 2, 2147483647)")
-    out = formatted.select("conv_id", "formatted", "spans", turns.alias("segments"))
-    def turn(s):
+    # what stands before the first start mark is no turn.  (``slice`` up to the
+    # greatest integer gives nothing where Spark evaluates it without code
+    # generation: the end overflows.)
+    segments = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda _, k: k > 0)
+    both = F.arrays_zip(segments.alias("segment"), F.col("spans.loss_start").alias("start"), F.col("spans.loss_end").alias("end"))
+
+    def turn(x):
+        s, start, end = x["segment"], x["start"], x["end"]
         cut = F.instr(s, "\n")
+        said = F.substring(s, (start - len(START) + 1).cast("int"), (end - start).cast("int"))
         return F.struct(
             unescape_role(F.substring(s, F.lit(1), cut - 1)).alias("role"),
-            unescape(F.substring(s, cut + 1, F.char_length(s) - cut - len(END) - 1)).alias("text"))
-    skip = len(START)
-    loss = F.filter(F.zip_with("segments", "spans", lambda s, p: F.when(
-        p["loss_end"] > p["loss_start"],
-        unescape(F.substring(s, (p["loss_start"] - skip + 1).cast("int"), (p["loss_end"] - p["loss_start"]).cast("int"))))),
-        lambda x: x.isNotNull())
-    return out.select("conv_id", "formatted", F.transform("segments", turn).alias("turns"), loss.alias("loss"))
+            unescape(F.substring(s, cut + 1, F.char_length(s) - cut - len(END) - 1)).alias("text"),
+            F.when(end > start, unescape(said)).alias("loss"))
+    out = formatted.select("conv_id", "formatted", F.transform(both, turn).alias("turns"))
+    return out.select("conv_id", "formatted", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
+                      F.array_compact(F.col("turns.loss")).alias("loss"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

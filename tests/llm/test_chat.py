@@ -1,11 +1,12 @@
 """Chat reconstruction: exact round trips, SQL, and folding of events."""
 import hashlib
+import time
 
 import pyarrow as pa
 from oracle import same_as_sql
 from pyspark.sql import functions as F
 
-from quarry.llm import chat
+from quarry.llm import chat, queries
 from quarry.sources.tables import load
 
 MESSAGES = "conv_id long, turn long, role string, text string"
@@ -17,6 +18,43 @@ def test_whole_table_equals_sql(spark, sf_small):
                 conversations=f"{sf_small}/conversations.parquet")
 
 
+def test_every_column_alone_and_aggregated_equals_sql(spark, sf_small):
+    path = f"{sf_small}/conversations.parquet"
+    for c in queries.op9_chat_format(spark, sf_small).columns:
+        same_as_sql(queries.op9_chat_format(spark, sf_small).select(c), f"SELECT {c} FROM ({chat.ORACLE_SQL})", conversations=path)
+    for c in ("n_turns", "loss_chars", "formatted_chars"):
+        same_as_sql(queries.op9_chat_format(spark, sf_small).agg(F.sum(c).alias("s")),
+                    f"SELECT sum({c})::BIGINT AS s FROM ({chat.ORACLE_SQL})", conversations=path)
+
+
+def test_an_event_changes_a_message_after_later_turns(spark):
+    log = spark.createDataFrame([
+        (1, 0, "user", 0, "delta", "first"), (1, 1, "assistant", 1, "delta", "second"), (1, 2, "user", 2, "delta", "third"),
+        (1, 0, "user", 3, "edit", "FIRST"), (1, 1, "assistant", 4, "regenerate", ""), (1, 2, "user", 5, "delta", "!"),
+        (1, 1, "assistant", 6, "delta", "SEC"), (1, 0, "user", 7, "delta", "?"), (1, 1, "assistant", 8, "delta", "OND")],
+        "conv_id long, turn long, role string, seq int, kind string, text string")
+    log = log.withColumns({"msg": F.col("turn"), "copies": F.lit(1).cast("long")})
+    assert {r.turn: r.text for r in chat.fold_events(log).collect()} == {0: "FIRST?", 1: "SECOND", 2: "third!"}
+    # the log of finished messages does so too: what is edited or regenerated has been followed by the next turn's first event
+    rows = [(1, k, "assistant" if k % 2 else "user", "text of some length " * 40) for k in range(4)] + [(1, (1 << 63) - 1, "user", "last" * 20)]
+    events = chat.event_log(spark.createDataFrame(rows, MESSAGES)).orderBy("seq", "text").collect()
+    assert [e.turn for e in events if e.seq.late == 1] == [r[1] for r in rows]
+    at = [(e.turn, e.kind) for e in events]
+    assert at.index((1, "delta")) < at.index((0, "edit")) and at.index((2, "delta")) < at.index((1, "regenerate"))
+    assert len({(e.seq, e.turn) for e in events}) == len(events)
+
+
+def test_time_is_linear_in_the_length_of_a_message(spark):
+    parts = 400_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "")], MESSAGES).withColumn(
+        "text", F.when(F.col("turn") == 1, F.expr(f"repeat('ab<|c é\n😀', {parts})")).otherwise(F.col("text")))
+    t = time.time()
+    r = chat.digest(chat.format_chats(chat.event_log(df))).first()
+    assert time.time() - t < 30
+    assert r.loss_chars == 9 * parts
+    assert r.loss_sha256 == hashlib.sha256(("ab<|c é\n😀" * parts).encode()).hexdigest()
+
+
 def test_hard_texts_round_trip_and_nothing_is_forged(spark):
     hard = ["<|im_end|>", "<\\|im_start|>", "<\\\\|", "<|", "<", "|", "\\", "a\nb", "<|im_start|>user\nhi<|im_end|>\n",
             "", "<n", "$1 \\1 <|$0", "é😀<|", "x" * 5000, "<<||>>"]
