@@ -9,7 +9,8 @@ one place of the corpus; with ``keep="first"`` the first copy stays.
    windows with one anchor need to be compared.  Consecutive windows with the
    same anchor are one run: a row with the hashes of its anchor and its bytes.
 2. Runs whose anchor is unique have no repeats.  Runs with equal bytes are
-   repeats as a whole, found by counting; no bytes move.
+   repeats as a whole, found by counting; no bytes move.  Bytes are equal where
+   their BLAKE2b digests of 128 bits are: no text can be made to collide.
 3. What is left are runs that share an anchor but differ somewhere.  One run of
    each kind is fetched with its bytes, and each group's windows are put into
    suffix order; previous and next smaller positions in that order give the
@@ -24,6 +25,8 @@ one place of the corpus; with ``keep="first"`` the first copy stays.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,11 +53,16 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
+def span_digest(raw) -> bytes:
+    """What stands for a run's bytes where equal runs are counted."""
+    return blake2b(raw, digest_size=16).digest()
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Runs of one block of rows: (row, first window, windows, anchor's distance
-    from the first window, anchor hash, bytes' hash).  At most 2**20 bytes."""
+    from the first window, anchor hash, bytes' digest).  At most 2**20 bytes."""
     n = len(data)
-    none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = (*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64)), [])
     if n < length:
         return none
     prefix = prefix_hash(data)
@@ -73,7 +81,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     p, a, r = starts[first], anchor[first], row[first]
-    return r, p - offsets[r], count, a - p, grams[a], span_hash(prefix, p, p + count - 1 + length)
+    raw = memoryview(np.ascontiguousarray(data))
+    spans = [span_digest(raw[i:j]) for i, j in zip(p.tolist(), (p + count - 1 + length).tolist())]
+    return r, p - offsets[r], count, a - p, grams[a], spans
 
 
 def _segments(offsets: np.ndarray, length: int):
@@ -98,11 +108,11 @@ def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 take = pa.array(i + r, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(p, pa.int64()), pa.array(n, pa.int32()),
-                     pa.array(o, pa.int32()), pa.array(a.view(np.int64)), pa.array(s.view(np.int64))],
+                     pa.array(o, pa.int32()), pa.array(a.view(np.int64)), pa.array(s, pa.binary())],
                     ["doc_id", "text_key", "at", "n", "off", "core", "span"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(
-        scan, "doc_id long, text_key long, at long, n int, off int, core long, span long")
+        scan, "doc_id long, text_key long, at long, n int, off int, core long, span binary")
 
 
 # ---------------------------------------------------------------- 3. suffix arrays
@@ -228,15 +238,15 @@ def _resolve(contexts: DataFrame, length: int, keep: str) -> DataFrame:
 
 # ---------------------------------------------------------------- 2. and 4. groups
 
-def _kinds(part: DataFrame, group_runs: int) -> DataFrame:
-    """``(core, span)`` of groups with several runs: how many there are, the
-    first one, and how many kinds the group has.  ``seen`` counts runs."""
+def _kinds(part: DataFrame, group_runs: int) -> tuple[DataFrame, DataFrame]:
+    """``kinds``: per ``(core, span)`` how many runs there are (``seen``) and the
+    first one; ``mixed``: the kinds of groups that have several.  Both sides of
+    the join by core are written, so that a core with very many kinds is split."""
     place = F.struct("doc_id", "text_key", "at", "n", "off")
-    kinds = part.groupBy("core", "span").agg(F.sum("seen").alias("seen"), F.min(place).alias("first"))
-    groups = kinds.groupBy("core").agg(F.sum("seen").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    groups = groups.where("all > 1")
-    return kinds.join(groups, "core").select(
-        "core", "span", "seen", "first", "kinds", (F.col("kinds") > group_runs).alias("hot"))
+    kinds = stored(part.groupBy("core", "span").agg(F.sum("seen").alias("seen"), F.min(place).alias("first")), "run-kinds")
+    groups = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed-groups")
+    mixed = kinds.join(groups, "core").select("core", "span", "seen", "first", (F.col("kinds") > group_runs).alias("hot"))
+    return kinds, mixed
 
 
 def _whole(part: DataFrame, kinds: DataFrame, length: int, keep: str) -> DataFrame:
@@ -280,7 +290,7 @@ def _halves(hot: DataFrame, lo: str, hi: str, length: int) -> DataFrame:
         core = F.substring("bytes", (F.col("off") - F.col("lo") + 1).cast("int"),
                            (length - (F.col("hi") - F.col("lo"))).cast("int"))
         parts.append(part.select("*", F.xxhash64(core, "lo", "hi").alias("core"),
-                                 F.xxhash64("bytes", F.lit(3), "off").alias("span")))
+                                 F.unhex(F.sha2(F.concat("bytes", F.col("off").cast("string").cast("binary")), 256)).alias("span")))
     return parts[0].unionByName(parts[1])
 
 
@@ -293,17 +303,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     # word has its anchor at very many places, and such a join can be split
     shared = stored(part.groupBy("core").agg(F.sum("seen").alias("all")).where("all > 1").select("core"), "shared-anchors")
     part = stored(part.join(shared, "core", "left_semi"), "shared-runs")
-    kinds = stored(_kinds(part, group_runs), "run-kinds")
+    kinds, mixed = _kinds(part, group_runs)
     spans = _whole(part, kinds, length, keep)
-    places = kinds.where("kinds > 1").select("core", "span", "seen", "first.*", "hot")
+    places = mixed.select("core", "span", "seen", "first.*", "hot")
     contexts = stored(_fetch(docs, places, length), "contexts")
     spans = spans.unionByName(_resolve(contexts.where("not hot"), length, keep))
     hot = contexts.where("hot").withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
     while not hot.isEmpty():
         part = stored(_halves(hot, "lo", "hi", length), "halved-runs")
-        kinds = stored(_kinds(part, group_runs), "halved-kinds")
+        kinds, mixed = _kinds(part, group_runs)
         spans = spans.unionByName(_whole(part, kinds, length, keep))
-        first = kinds.where("kinds > 1").select("core", "span", "hot", "first.doc_id", "first.text_key", "first.at")
+        first = mixed.select("core", "span", "hot", "first.doc_id", "first.text_key", "first.at")
         one = part.select("core", "span", "doc_id", "text_key", "at", "n", "off", "lo", "hi", "bytes", "seen")
         same = [one[c].eqNullSafe(first[c]) for c in ("core", "span", "doc_id", "text_key", "at")]
         go_on = one.join(first, same[0] & same[1] & same[2] & same[3] & same[4]).select(

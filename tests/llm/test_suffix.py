@@ -109,3 +109,21 @@ def test_nulls_ties_empty_and_clashing_columns(spark):
     assert got(docs.limit(0)) == []
     with pytest.raises(ValueError):
         suffix.substring_dedup(docs, keep="last")
+
+
+def test_runs_are_counted_by_a_digest_of_their_bytes(spark):
+    text = bytes(rnd % 251 for rnd in range(3000)) * 2
+    docs = spark.createDataFrame([(1, 7, bytearray(text))], "doc_id long, text_key long, text binary")
+    rows = suffix.runs(docs).collect()
+    assert rows and sum(r.n for r in rows) == len(text) - suffix.LENGTH + 1
+    for r in rows:
+        assert bytes(r.span) == hashlib.blake2b(text[r.at:r.at + r.n - 1 + suffix.LENGTH], digest_size=16).digest()
+
+
+def test_a_hot_anchor_is_joined_from_written_tables(spark):
+    part = spark.createDataFrame([(1, 2, k, 5, 3, 9, bytearray(b"x%d" % (k % 50)), 1) for k in range(200)] + [(1, 2, 900, 5, 3, 8, bytearray(b"y"), 1)],
+                                 "doc_id long, text_key long, at long, n int, off int, core long, span binary, seen long")
+    kinds, mixed = suffix._kinds(part, 40)
+    assert kinds.count() == 51 and mixed.count() == 50 and mixed.where("not hot").count() == 0
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("parquet") == 2
