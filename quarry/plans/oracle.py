@@ -570,3 +570,4 @@ ORACLE["embed_query"] = (f"{with_(BENCH_EMB)} SELECT id AS item_id, unnest(gener
 
 ORACLE["stream_route"] = ORACLE["route_tool_call"]
 ORACLE["stream_history"] = ORACLE["conversation_history"]
+ORACLE["stream_answers"] = ORACLE["append_reply"]

@@ -18,7 +18,7 @@ from ..functions import vectors as V
 from ..operators import context, corpus, embed, knn, profile, relational, toolcalls
 from ..session import scratch_path, spread
 from ..sources import derived, files, tables
-from ..streaming import conversations as streams
+from ..streaming import answers, conversations as streams
 
 # Workload constants.
 K_NN = 5
@@ -704,27 +704,25 @@ def q_route_tool_call(spark, sf):
     return _routed(spark, sf).select("call_id", "route", "reply")
 
 
+def _masked(replies):
+    failed = (F.col("role") == "tool") & F.col("content").startswith(F.lit(QUERY_FAILED))  # the engine's own words follow
+    return replies.withColumn("content", F.when(failed, F.lit(QUERY_FAILED)).otherwise(F.col("content")))
+
+
 @query("append_reply")
 def q_append_reply(spark, sf):
     # retrieval questions are answered from the documents, SQL is run, and both
     # come back as messages
-    routed = _routed(spark, sf)
-    qid = F.col("conv_id") * 1_000_000 + F.col("turn") * 10 + F.col("call_no")
-    asked = routed.where(F.col("route") == "retrieval").select(qid.alias("qid"), "call_id", F.col("reply").alias("question"))
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    answers = context.first_lines(asked, docs).join(asked, "qid").select("call_id", "answer")
     tables.register_alert_views(spark, sf)
-    results, _rows = toolcalls.sql_tool_answer(spark, routed)
-    out = toolcalls.append_reply(_t(spark, sf, "conversations"), routed, answers, results)
-    failed = (F.col("role") == "tool") & F.col("content").startswith(F.lit(QUERY_FAILED))  # the engine's own words follow
-    return out.withColumn("content", F.when(failed, F.lit(QUERY_FAILED)).otherwise(F.col("content")))
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _masked(answers.replies(_t(spark, sf, "conversations"), docs))
 
 
 @query("sql_tool_answer")
 def q_sql_tool_answer(spark, sf):
     tables.register_alert_views(spark, sf)
-    answers, _rows = toolcalls.sql_tool_answer(spark, _routed(spark, sf))
-    return answers.select("call_id", "ok", "n_rows",
+    said, _rows = toolcalls.sql_tool_answer(spark, _routed(spark, sf))
+    return said.select("call_id", "ok", "n_rows",
                           F.when(F.col("ok"), F.col("content")).alias("content"))
 
 
@@ -732,10 +730,10 @@ def q_sql_tool_answer(spark, sf):
 def q_second_request(spark, sf):
     tables.register_alert_views(spark, sf)
     routed = _routed(spark, sf)
-    answers, _rows = toolcalls.sql_tool_answer(spark, routed)
+    results, _rows = toolcalls.sql_tool_answer(spark, routed)
     said = F.when(F.col("ok"), F.col("content")).otherwise(F.lit(QUERY_FAILED))  # without the engine's own words
     history = toolcalls.conversation_history(_t(spark, sf, "conversations"), block_turns=HISTORY_BLOCK)
-    return toolcalls.second_request(history, routed, answers.withColumn("content", said), context.DEFAULT_MODEL)
+    return toolcalls.second_request(history, routed, results.withColumn("content", said), context.DEFAULT_MODEL)
 
 
 @query("score_text")
@@ -805,3 +803,12 @@ def q_stream_route(spark, sf):
 def q_stream_history(spark, sf):
     landed = streams.landed_in_files(spark, sf)
     return streams.stream_history(spark, landed, max_files_per_trigger=streams.files_per_class(spark))
+
+
+@query("stream_answers")
+def q_stream_answers(spark, sf):
+    """The tool loop inside the stream, in four micro-batches."""
+    tables.register_alert_views(spark, sf)
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    landed = streams.landed_in_files(spark, sf)
+    return _masked(answers.stream_answers(spark, landed, docs, max_files_per_trigger=streams.files_per_class(spark)))
