@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,7 +81,6 @@ def test_pluggable_similarity(spark):
 
 
 def test_a_task_emits_k_rows_per_query_whatever_its_batches(spark):
-    import pyarrow as pa
     rng = np.random.default_rng(11)
     vecs = rng.integers(0, 3, size=(400, 4)).astype(float)  # many ties
     qids, q = np.arange(10), rng.normal(size=(10, 4))
@@ -91,7 +91,7 @@ def test_a_task_emits_k_rows_per_query_whatever_its_batches(spark):
             for a in range(0, 400, size)]
         for metric in ("cosine", "l2"):
             qn = np.sqrt((q * q).sum(axis=1))
-            out = knn._partition_topk(iter(batches), qids, q, qn, 5, metric, 6, "id", "vec", 4)
+            out = pa.Table.from_batches(knn._partition_topk(iter(batches), qids, q, qn, 5, metric, 6, "id", "vec", 4))
             assert out.num_rows == 50
             got = sorted(zip(out["qid"].to_pylist(), out["id"].to_pylist()))
             whole = whole or {}
@@ -140,3 +140,31 @@ def test_blocked_path_with_empty_slices(spark):
     a = sorted(knn.nearest(q, c, 1).select("qid", "id").collect())
     b = sorted(knn.nearest(q, c, 1, broadcast_limit_bytes=0, query_block_rows=2).select("qid", "id").collect())
     assert a == b and len(a) == 5
+
+
+def test_passes_are_bounded_by_bytes_that_include_k(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    q = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(200)], "qid long, qvec array<double>")
+    c = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)], "id long, vec array<double>")
+    held, scan = [], knn._scan
+    monkeypatch.setattr(knn, "_scan", lambda c, qids, *rest: (held.append(len(qids)), scan(c, qids, *rest))[1])
+    whole = sorted(knn.nearest(q, c, 20, "l2").collect())
+    assert held == [200] and len(whole) == 4000
+    for k, limit in ((20, 60_000), (5, 60_000)):
+        held.clear()
+        got = sorted(knn.nearest(q, c, k, "l2", broadcast_limit_bytes=limit).collect())
+        assert got == [r for r in whole if r.rank <= k]
+        assert sum(held) == 200 and len(held) > 1 and max(held) * knn.bytes_per_query(8, k) <= limit
+    assert knn.bytes_per_query(64, 100) > 10 * 64  # with a large k the ranking, not the vector, is what counts
+
+
+def test_the_corpus_is_never_shuffled(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<double>")
+    c = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>")
+    plan = knn.nearest(q, c, 3)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" in plan and "Exchange" not in below
+    rows = knn._partition_topk(iter([pa.RecordBatch.from_pydict({"id": [5, 6], "vec": [[1.0, 0.0], [0.0, 1.0]]})]),
+                               np.arange(100_000), np.ones((100_000, 2)), np.full(100_000, 2 ** 0.5), 2, "l2", 6, "id", "vec", 2)
+    sizes = [b.num_rows for b in rows]
+    assert sum(sizes) == 200_000 and max(sizes) <= knn.EMIT_ROWS  # candidates leave in bounded batches
