@@ -164,9 +164,9 @@ def instructions_table(spark: SparkSession, rows=DEFAULT_INSTRUCTIONS) -> DataFr
 
 def instructions_lookup(calls: DataFrame, instructions: DataFrame,
                         name_col: str = "name") -> DataFrame:
-    """Left join of calls to the instruction for their tool type.  The
-    instruction table is a parameter of a few rows, so it is broadcast."""
-    return calls.join(F.broadcast(instructions),
+    """Left join of calls to the instruction for their tool type; Spark
+    broadcasts the instructions if they are small."""
+    return calls.join(instructions,
                       calls[name_col] == instructions["type"], "left").drop("type")
 
 

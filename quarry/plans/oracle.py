@@ -570,4 +570,7 @@ ORACLE["embed_query"] = (f"{with_(BENCH_EMB)} SELECT id AS item_id, unnest(gener
 
 ORACLE["stream_route"] = ORACLE["route_tool_call"]
 ORACLE["stream_history"] = ORACLE["conversation_history"]
+ORACLE["insert_keyed"] = (f"{with_(ALERTS)} SELECT alert_id, deal_number, CAST(NULL AS VARCHAR) AS reason FROM alerts_table "
+                          "UNION ALL SELECT alert_id, deal_number, 'key exists' FROM alerts_table "
+                          "WHERE CAST(alert_id AS BIGINT) % 2 = 0")
 ORACLE["stream_answers"] = ORACLE["append_reply"]

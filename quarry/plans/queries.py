@@ -17,7 +17,7 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import context, corpus, embed, knn, profile, relational, toolcalls
 from ..session import scratch_path, spread
-from ..sources import derived, files, tables
+from ..sources import derived, files, keyed, tables
 from ..streaming import answers, conversations as streams
 
 # Workload constants.
@@ -805,6 +805,18 @@ def q_stream_history(spark, sf):
     return streams.stream_history(spark, landed, max_files_per_trigger=streams.files_per_class(spark))
 
 
+@query("insert_keyed")
+def q_insert_keyed(spark, sf):
+    """Alerts in two batches that overlap; the second one is sent again."""
+    alerts = tables.alerts(spark, sf)
+    table = keyed.KeyedTable(spark, scratch_path(spark, "keyed"), alerts.schema, "alert_id")
+    table.insert(alerts.where(F.col("alert_id").cast("long") % 2 == 0), "even")
+    for _ in range(2):
+        table.insert(alerts, "all")
+    return (table.rows().select("alert_id", "deal_number", F.lit(None).cast("string").alias("reason"))
+            .unionByName(table.rejects().select("alert_id", "deal_number", "reason")))
+
+
 @query("stream_answers")
 def q_stream_answers(spark, sf):
     """The tool loop inside the stream, in four micro-batches."""
