@@ -11,9 +11,9 @@ too: a class is only probed by documents with enough shingles to contain a
 share t of its smallest item.  Candidates are verified by exact containment of
 the shingles themselves.
 
-The item side is read in blocks of bounded size; each block's sketches go to
-the executors and the corpus is scanned once per block, so any number of items
-takes the same path.
+The item side is read in blocks, each of bounded size; each block's sketches go
+to the executors and the corpus is scanned once per block.  The driver collects
+the items while the plan is built, so they must fit there.
 """
 
 from __future__ import annotations

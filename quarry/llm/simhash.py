@@ -1,14 +1,14 @@
-"""SimHash near-duplicates by multi-index hashing.
-
-Each 64-bit fingerprint is cut into segments.  Inside each segment the Hamming
-ball of radius 1 is enumerated, the other segments staying as they are, and
-every such value is a key of one table: 64 keys, and the fingerprint itself.
-Two fingerprints differ in at most two bits exactly when they meet at a key
-(the value half way between them), so matches are fetched with one hash
-aggregation and no list of pairs.  A key has at most 65 fingerprints; they are
-kept as a bitmap of the flipped bits, which makes bucket sizes bounded however
-many near copies there are.  (Tables keyed by a bare segment have hot buckets:
-all near copies of one text share it.)  Complete distances are verified.
+"""SimHash near-duplicates by a join on one-bit neighbours.
+
+This stands in for multi-index hashing, whose tables keyed by a bare segment
+put all near copies of one text into one bucket.  Here one table is keyed by
+whole fingerprints: each distinct fingerprint, and each copy of it with one bit
+flipped, which is the ball of radius 1.  Two fingerprints differ in at most two
+bits exactly when they meet at a key (the value half way between them), so
+matches are fetched with one hash aggregation and no list of pairs.  A key has
+at most 65 fingerprints; they are kept as a bitmap of the flipped bits, which
+bounds a bucket however many near copies there are.  Complete distances are
+verified.
 """
 
 from __future__ import annotations
