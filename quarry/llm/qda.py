@@ -5,6 +5,12 @@ covariances come from one aggregate over all training rows (sums of products,
 combined in each task); each covariance is shrunk towards the diagonal of the
 pooled one.  The driver factorises two small matrices once; every document is
 then scored from Mahalanobis distances with these cached Cholesky factors.
+
+Statistics of one text depend on each other more than Gaussians say, so plain
+log-odds are far too sure.  They are divided by a temperature, the one with the
+least log loss on training folds that the moments were taken without.  The loss
+is taken against targets a little inside 0 and 1, by the size of each class, so
+classes that the training rows separate do not make every score 0 or 1.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from .crf import (IS_BANG, IS_CHAR, IS_DIGIT, IS_PIPE, IS_SYMBOL, IS_UPPER, WORD
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 SHRINKAGE = 0.1
+TEMPERATURES = tuple(2.0 ** k for k in range(12))
 FLOOR = 1e-3  # least variance of a standardised statistic
 
 IS_STOP = _flag(".,;:?")
@@ -85,7 +92,10 @@ def held_out(col: str = "doc_id"):
 
 
 class Discriminant:
-    """Two Gaussians with shrunken covariances; ``score`` is the probability of class 1."""
+    """Two Gaussians with shrunken covariances; ``score`` is the probability of
+    class 1, from log-odds divided by ``temperature``."""
+
+    temperature = 1.0
 
     def __init__(self, counts, sums, products, shrinkage: float = SHRINKAGE):
         self.counts = np.asarray(counts, dtype=np.float64)
@@ -109,37 +119,71 @@ class Discriminant:
             chol = np.linalg.cholesky(shrunk)
             self.parts.append((m, np.linalg.inv(chol).T, 2 * np.log(np.diag(chol)).sum() - 2 * np.log(n / total)))
 
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.scale
+        d = [(((z - m) @ w) ** 2).sum(axis=1) + c for m, w, c in self.parts]
+        return (d[0] - d[1]) / 2
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.parts is None:  # a class is missing: its share is all that is known
             total = self.counts.sum()
             return np.full(len(x), self.counts[1] / total if total else 0.5)
-        z = (x - self.centre) / self.scale
-        d = [(((z - m) @ w) ** 2).sum(axis=1) + c for m, w, c in self.parts]
-        return 1 / (1 + np.exp(np.clip((d[1] - d[0]) / 2, -700, 700)))
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(x) / self.temperature, -700, 700)))
+
+
+def _temperature(rows: DataFrame, models: dict[int, Discriminant], counts) -> float:
+    """The temperature with the least log loss over ``rows(y, fold, x...)``, each
+    scored by the model of the other folds; tasks add up, the driver gets a
+    number for each temperature."""
+    target = np.array([1 / (counts[0] + 2), (counts[1] + 1) / (counts[1] + 2)])
+
+    def run(batches):
+        loss = np.zeros(len(TEMPERATURES))
+        for b in batches:
+            y, fold = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            x = np.stack([b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(D)], axis=1)
+            for f, model in models.items():
+                at = fold == f
+                if model.parts is not None and at.any():
+                    odds, p = model.log_odds(x[at]), target[y[at]]
+                    loss += [(p * np.logaddexp(0, -odds / t) + (1 - p) * np.logaddexp(0, odds / t)).sum() for t in TEMPERATURES]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loss)), pa.int32()), pa.array(loss)], ["t", "loss"])
+
+    got = rows.mapInArrow(run, "t int, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).collect()
+    return TEMPERATURES[min(got, key=lambda r: (r["loss"], r["t"]))["t"]] if any(r["loss"] for r in got) else 1.0
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality",
         shrinkage: float = SHRINKAGE) -> Discriminant:
-    """One aggregate over every labelled row outside the held-out fold; the
-    driver gets two rows of sums, whatever the number of documents."""
+    """Moments of every labelled row outside the held-out fold in one aggregate,
+    the temperature in another; the driver gets sums of two classes in three
+    folds, whatever the number of documents."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     rows = stats.where(~held_out()).join(known, "doc_id")
-    rows = rows.select("y", *[F.col("x")[i].alias(f"x{i}") for i in range(D)])
+    rows = stored(rows.select("y", remainder().cast("int").alias("fold"), *[F.col("x")[i].alias(f"x{i}") for i in range(D)]),
+                  "labelled-stats")
     pairs = [(i, j) for i in range(D) for j in range(i + 1)]
-    sums = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
-                                 *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
-    got = {r["y"]: r for r in sums.collect()}
-    counts, s, p = [], [], []
-    for y in (0, 1):
-        r = got.get(y)
-        counts.append(r["n"] if r else 0)
-        s.append(np.array([r[f"s{i}"] for i in range(D)]) if r else np.zeros(D))
-        m = np.zeros((D, D))
-        for i, j in pairs if r else ():
-            m[i, j] = m[j, i] = r[f"p{i}_{j}"]
-        p.append(m)
-    return Discriminant(counts, s, p, shrinkage)
+    sums = rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
+                                         *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+    got = {(r["y"], r["fold"]): r for r in sums.collect()}
+
+    def moments(without: int | None) -> Discriminant:
+        counts, s, p = [0, 0], [np.zeros(D), np.zeros(D)], [np.zeros((D, D)), np.zeros((D, D))]
+        for (y, fold), r in sorted(got.items()):
+            if fold != without:
+                counts[y] += r["n"]
+                s[y] = s[y] + np.array([r[f"s{i}"] for i in range(D)])
+                m = np.zeros((D, D))
+                for i, j in pairs:
+                    m[i, j] = m[j, i] = r[f"p{i}_{j}"]
+                p[y] = p[y] + m
+        return Discriminant(counts, s, p, shrinkage)
+
+    model = moments(None)
+    if model.parts is not None:
+        model.temperature = _temperature(rows, {f: moments(f) for f in range(FOLDS) if f != HELD_OUT}, model.counts)
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -23,6 +23,41 @@ def test_scores_on_held_out_documents(spark):
     assert sum(r.predicted == r.quality for r in held) >= 0.93 * len(held)
 
 
+def test_scores_are_graded_and_calibrated(spark):
+    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
+    rows = [r for r in qda.quality_scores(docs, labels).join(labels, "doc_id").collect() if r.held_out]
+    p = np.clip([r.score for r in rows], 1e-12, 1 - 1e-12)
+    y = np.array([r.quality for r in rows])
+    loss = -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+    share = y.mean()
+    assert loss < 0.6 * -(share * np.log(share) + (1 - share) * np.log(1 - share))  # far better than the share of class 1
+    assert np.mean((p > 1e-9) & (p < 1 - 1e-9)) > 0.8
+
+
+def test_the_temperature_is_the_one_with_the_least_loss_on_other_folds(spark):
+    rng = np.random.default_rng(9)
+    n = 900
+    y = rng.integers(0, 2, n)
+    fold = rng.choice([0, 1, 3], n)
+    x = rng.normal(size=(n, 1)) * 1.5 + np.where(y, 8.0, 0.0)[:, None] + np.zeros((n, qda.D))
+    x += rng.normal(size=x.shape) * 0.05  # statistics that say the same many times
+    cols = [f"x{i}" for i in range(qda.D)]
+    rows = spark.createDataFrame([(int(a), int(b), *map(float, v)) for a, b, v in zip(y, fold, x)],
+                                 "y int, fold int, " + ", ".join(f"{c} double" for c in cols))
+    of = lambda keep: qda.Discriminant(
+        [int((keep & (y == k)).sum()) for k in (0, 1)], [x[keep & (y == k)].sum(axis=0) for k in (0, 1)],
+        [x[keep & (y == k)].T @ x[keep & (y == k)] for k in (0, 1)])
+    models = {f: of(fold != f) for f in (0, 1, 3)}
+    d = np.zeros(n)
+    for f, m in models.items():
+        d[fold == f] = m.log_odds(x[fold == f])
+    counts = [(y == 0).sum(), (y == 1).sum()]
+    target = np.where(y == 1, (counts[1] + 1) / (counts[1] + 2), 1 / (counts[0] + 2))
+    loss = [-(target * np.log(q) + (1 - target) * np.log1p(-q)).sum() for q in
+            (np.clip(1 / (1 + np.exp(-d / t)), 1e-300, 1 - 1e-16) for t in qda.TEMPERATURES)]
+    assert qda._temperature(rows, models, counts) == qda.TEMPERATURES[int(np.argmin(loss))] > 1
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
     kept = labels.where("pmod(crc32(cast(doc_id as string)), 4) != 2")
