@@ -1,18 +1,24 @@
-"""SimHash near-duplicates by a join on one-bit neighbours.
-
-This stands in for multi-index hashing, whose tables keyed by a bare segment
-put all near copies of one text into one bucket.  Here one table is keyed by
-whole fingerprints: each distinct fingerprint, and each copy of it with one bit
-flipped, which is the ball of radius 1.  Two fingerprints differ in at most two
-bits exactly when they meet at a key (the value half way between them), so
-matches are fetched with one hash aggregation and no list of pairs.  A key has
-at most 65 fingerprints; they are kept as a bitmap of the flipped bits, which
-bounds a bucket however many near copies there are.  Complete distances are
-verified.
+"""SimHash near-duplicates by multi-index hashing.
+
+A fingerprint is cut into segments, and each segment has a table from its value
+to the fingerprints that hold it.  Fingerprints within ``d`` bits differ in few
+bits of some segment, so a fingerprint looks up, in each table, the values of a
+small Hamming ball around its own segment, fetches the bucket found there and
+verifies complete distances.  With 2 segments and 2 bits these are the 33 values
+within one bit of the first segment and the one value of the second.
+
+Near copies of one text may share a segment by the thousand.  A bucket of more
+than ``BUCKET`` fingerprints is not fetched: it stays out of its table, and
+links between two fingerprints that both lie in such buckets come from a table
+of whole fingerprints, where the ball of one bit around each of them meets the
+other's half way.  There a key has at most 65 fingerprints, kept as a bitmap of
+the flipped bits, however many near copies there are.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +30,8 @@ from .graph import components
 
 SHINGLE = 3
 MAX_DISTANCE = 2
-SEGMENTS = 4
+SEGMENTS = 2
+BUCKET = 128  # fingerprints of a segment's value that a lookup fetches
 SEED = 42
 _SLICE = 1 << 16
 
@@ -76,25 +83,77 @@ def text_key(text_col: str):
     return F.xxhash64(text_of(text_col), F.lit(7))
 
 
-def segment_masks(segments: int = SEGMENTS) -> list[int]:
-    """One mask per bit, segment by segment."""
+def search_plan(max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> list[tuple[int, list[int]]]:
+    """``(mask, flips)`` of each table that is looked up: the segment's bits, and
+    the ball around a value as what is flipped in it (0 first).
+
+    ``max_distance = segments * r + a``: either one of the first ``a + 1``
+    segments differs in at most ``r`` bits, or one of the others in at most
+    ``r - 1``; otherwise the whole would differ in more than ``max_distance``."""
     width = 64 // segments
-    if segments * width != 64:
+    if segments < 1 or segments * width != 64:
         raise ValueError("segments must divide 64")
-    return [_signed(1 << (s * width + b)) for s in range(segments) for b in range(width)]
-
-
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    r, a = divmod(max_distance, segments)
+    plan = []
+    for s in range(segments):
+        radius = r if s <= a else r - 1
+        if radius < 0:
+            continue
+        bits = [1 << (s * width + b) for b in range(width)]
+        flips = [_signed(sum(c)) for n in range(radius + 1) for c in combinations(bits, n)]
+        plan.append((_signed(sum(bits)), flips))
+    return plan
+
+
+def segment_entries(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """``(seg, key, fp)``: the segment tables, a row for each table of each fingerprint."""
+    keys = [F.struct(F.lit(s).alias("seg"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"))
+            for s, (mask, _) in enumerate(search_plan(max_distance, segments))]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.seg", "k.key", "fp")
+
+
+def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS,
+          bucket: int = BUCKET) -> DataFrame:
     """Distinct fingerprints ``(fp)`` -> edges ``(u, v)`` whose components are
-    those of all pairs at ``max_distance`` (0, 1 or 2) or fewer differing bits."""
+    those of all pairs at ``max_distance`` (0, 1 or 2) or fewer differing bits.
+
+    A link of two fingerprints is found when either looks the other up.  So only
+    links between two that lie in buckets above ``bucket`` are left for the
+    table of whole fingerprints.  A lookup compares at most ``bucket``
+    fingerprints, and what it keeps are verified links."""
     if max_distance not in (0, 1, 2):
         raise ValueError("max_distance must be 0, 1 or 2")
     if max_distance == 0:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("u != v")
-    masks = segment_masks(segments)
-    # a row becomes 65: few rows in few files are dealt to all tasks first
-    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = fps.repartition(width, "fp")
+    # a row becomes many: few rows in few files are dealt to all tasks first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entries = segment_entries(fps, max_distance, segments)
+    hot = stored(entries.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
+                 .select("seg", "key", F.lit(True).alias("hot")), "hot-buckets")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        # written, so that adaptive execution may split a hot value's rows
+        entries = stored(entries.join(hot, ["seg", "key"], "left"), "segments")
+    cold = entries.where("hot is null") if any_hot else entries
+    buckets = cold.groupBy("seg", "key").agg(F.collect_list("fp").alias("found"))
+    def ball(s, mask, flips):
+        return F.transform(F.lit(flips), lambda x: F.struct(
+            F.lit(s).alias("seg"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(x).alias("key")))
+
+    balls = [ball(s, *table) for s, table in enumerate(search_plan(max_distance, segments))]
+    lookups = fps.select("fp", F.explode(F.concat(*balls)).alias("k")).select("k.seg", "k.key", "fp")
+    near = F.expr(f"filter(found, x -> x != fp and bit_count(x ^ fp) <= {int(max_distance)})")
+    out = lookups.join(buckets, ["seg", "key"]).select(F.col("fp").alias("u"), F.explode(near).alias("v"))
+    if any_hot:
+        out = out.unionByName(_half_way(entries.where("hot").select("fp").distinct(), max_distance))
+    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _half_way(fps: DataFrame, max_distance: int) -> DataFrame:
+    """Edges that join whatever lies within ``max_distance`` (1 or 2): two
+    fingerprints meet at a key of the table of whole fingerprints, the value
+    half way between them.  A key's fingerprints are linked as a star."""
+    masks = [_signed(1 << b) for b in range(64)]
     # position 64 is the fingerprint itself
     probes = fps.select(F.col("fp"), F.posexplode(F.array(*[F.lit(m) for m in [*masks, 0]])).alias("bit", "mask"))
     table = (probes.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "bit")
@@ -104,16 +163,14 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
     hits = table.where("bit_count(flipped) + int(own) > 1")
     if max_distance == 1:  # only the key itself and its neighbours
         hits = hits.where("own")
-    mask_list = ", ".join(f"{m}L" if m >= 0 else f"({m + 1}L - 1L)" for m in masks)
     hits = hits.select(
         "key", "own",
-        F.expr(f"transform(filter(sequence(0, 63), i -> (shiftright(flipped, i) & 1L) = 1L), "
-               f"i -> key ^ element_at(array({mask_list}), i + 1))").alias("found"))
+        F.expr("transform(filter(sequence(0, 63), i -> (shiftright(flipped, i) & 1L) = 1L), "
+               "i -> key ^ shiftleft(1L, i))").alias("found"))
     linked = hits.select(
         F.when(F.col("own"), F.col("key")).otherwise(F.col("found")[0]).alias("v"),
         F.explode("found").alias("u"))
-    return (linked.where(f"u != v and bit_count(u ^ v) <= {max_distance}")
-            .select("u", "v").distinct())
+    return linked.where(f"u != v and bit_count(u ^ v) <= {int(max_distance)}").select("u", "v")
 
 
 def _components(rows: DataFrame, max_distance: int, segments: int) -> DataFrame:

@@ -1,6 +1,8 @@
 """SimHash near-duplicates against a brute-force version over all pairs."""
+import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import Row
 from pyspark.sql import types as T
@@ -92,3 +94,53 @@ def test_keep_one_drops_all_but_the_least_id(spark, sf_small):
     docs = load(spark, sf_small, "documents")
     first = {c for _, _, c in got(simhash.near_duplicates(docs))}
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(first)
+
+
+def close(fps, distance):
+    return {(max(a, b), min(a, b)) for a in fps for b in fps if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
+
+
+@pytest.mark.parametrize("segments", [1, 2, 4, 8])
+def test_lookups_find_each_link_whatever_the_segments(spark, segments):
+    rng = random.Random(segments)
+    some = [rng.getrandbits(64) for _ in range(12)]
+    some += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in some for _ in range(4)]
+    fps = sorted({simhash._signed(f) for f in some})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for d in (1, 2):
+        assert {tuple(r) for r in simhash.links(df, d, segments).collect()} == close(fps, d)
+
+
+def test_a_ball_holds_each_value_within_its_radius():
+    assert [(len(flips), flips[0]) for _, flips in simhash.search_plan(2, 2)] == [(33, 0), (1, 0)]
+    assert [len(flips) for _, flips in simhash.search_plan(2, 4)] == [1, 1, 1]
+    assert [len(flips) for _, flips in simhash.search_plan(2, 1)] == [1 + 64 + 64 * 63 // 2]
+    with pytest.raises(ValueError):
+        simhash.search_plan(2, 3)
+
+
+def test_hot_buckets_lose_no_component(spark):
+    """Hundreds of fingerprints in one bucket of either segment, and a cold one linked to them."""
+    from quarry.llm.graph import components
+    rng = random.Random(5)
+    base = 0x0123456789ABCDEF
+    some = {base ^ sum(1 << b for b in rng.sample(range(32), 3)) for _ in range(150)}   # share the high half
+    some |= {base ^ sum(1 << b for b in rng.sample(range(32, 64), 3)) for _ in range(150)}
+    some |= {next(iter(some)) ^ 1 << 40, next(iter(some)) ^ 1 << 3 ^ 1 << 50, rng.getrandbits(64)}
+    fps = sorted(simhash._signed(f) for f in some)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    edges = close(fps, 2)
+    parent = {f: f for f in fps}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+    for a, b in edges:
+        hi, lo = max(find(a), find(b)), min(find(a), find(b))
+        parent[hi] = lo
+    for bucket in (1, 8, 10_000):
+        found = simhash.links(df, 2, bucket=bucket)
+        assert {tuple(r) for r in found.collect()} <= edges
+        roots = {r.u: r.root for r in components(found).collect()}
+        assert {f: roots.get(f, f) for f in fps} == {f: find(f) for f in fps}
