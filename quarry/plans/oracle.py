@@ -412,6 +412,9 @@ ORACLE["order_check"] = """SELECT 'n_in' AS metric, count(*) AS value FROM docum
 ORACLE["sort_relatedness"] = f"{with_(VEC, vec_rank('cosine', Q.TOP_N))} SELECT * FROM r"
 ORACLE["topn_cosine"] = f"{with_(DOC_EMB, BENCH_EMB, TOPN)} SELECT * FROM topn"
 ORACLE["knn_l2"] = f"{with_(VEC, vec_rank('l2', Q.K_NN))} SELECT * FROM r"
+# the pivot index skips vectors, never rows of the result
+ORACLE["knn_pruned"] = ORACLE["knn_l2"]
+ORACLE["topn_pruned"] = ORACLE["topn_cosine"]
 ORACLE["top_model"] = f"{with_(ALERTS)} {PER_MODEL} ORDER BY alert_count DESC, model_name LIMIT 1"
 ORACLE["top_event_type"] = ("SELECT event_type, count(event_id) AS n_events FROM events GROUP BY event_type "
                             "ORDER BY n_events DESC, event_type LIMIT 1")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..operators import context, corpus, embed, knn, profile, relational, toolcalls
+from ..operators import context, corpus, embed, knn, profile, pruned, relational, toolcalls
 from ..session import scratch_path, spread
 from ..sources import derived, files, keyed, tables
 from ..streaming import answers, conversations as streams
@@ -483,6 +483,18 @@ def q_knn_l2(spark, sf):
     return knn.nearest(_vec_queries(spark, sf), _vec_corpus(spark, sf), K_NN, "l2")
 
 
+@query("knn_pruned")
+def q_knn_pruned(spark, sf):
+    path = pruned.build(_vec_corpus(spark, sf), scratch_path(spark, "pivots-l2"), "l2")
+    return pruned.search(_vec_queries(spark, sf), path, K_NN, "l2")[0]
+
+
+@query("topn_pruned")
+def q_topn_pruned(spark, sf):
+    path = pruned.build(_doc_emb(spark, sf), scratch_path(spark, "pivots-cosine"), "cosine", cid="doc_id", cvec="embedding")
+    return pruned.search(_bench_emb(spark, sf), path, TOP_N, "cosine", qid="item_id", qvec="embedding")[0]
+
+
 @query("top_model")
 def q_top_model(spark, sf):
     per = relational.count_per(_alerts(spark, sf), "model_name", "alert_id", "alert_count")
