@@ -37,13 +37,28 @@ def _unit(V: np.ndarray, metric: str) -> np.ndarray:
 def _distances(A: np.ndarray, B: np.ndarray) -> np.ndarray:
     """Distances of all rows of A to all rows of B, by differences."""
     out = np.empty((len(A), len(B)))
-    step = max(1, (1 << 22) // max(1, A.shape[1] * len(B)))
+    step = max(1, (1 << 20) // max(1, A.shape[1] * len(B)))
     for at in range(0, len(A), step):
         diff = A[at:at + step, None, :] - B[None, :, :]
         out[at:at + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
     return out
 
 
+def _pivot_distances(U: np.ndarray, P: np.ndarray):
+    """``(distances, error)`` of unit or plain vectors to the pivots by a matrix
+    product, null where there is none; ``error`` bounds, per row, how far they
+    are from the exact ones."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        un, pn = (U * U).sum(axis=1), (P * P).sum(axis=1)
+        d = (-2.0 * U) @ P.T
+        d += un[:, None]
+        d += pn
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+    d[~np.isfinite(d)] = np.nan
+    # |sqrt(x) - sqrt(y)| <= sqrt(|x - y|)
+    return d, np.sqrt(4 * (U.shape[1] + 4) * np.finfo(np.float64).eps * (un + pn.max(initial=0)))
+
+
 def build(corpus: DataFrame, path: str, metric: str = "l2", *, cid: str = "id", cvec: str = "vec",
           pivots: int = PIVOTS) -> str:
     """Write the index of ``corpus`` at ``path``: ``pivots`` (at most so many
@@ -80,23 +95,48 @@ def build(corpus: DataFrame, path: str, metric: str = "l2", *, cid: str = "id",
                  pa.array(d[np.arange(len(d)), at], mask=none)], ["id", "vec", "pivot", "dist"])
 
     rows = c.mapInArrow(assign, "id long, vec array<double>, pivot int, dist double")
-    (rows.repartitionByRange("pivot", "dist", F.xxhash64("id")).sortWithinPartitions("pivot", "dist")
+    # a search works on pairs, so small files are worth a task: the count is not left to adaptive execution
+    ranges = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (rows.repartitionByRange(ranges, "pivot", "dist", F.xxhash64("id")).sortWithinPartitions("pivot", "dist")
      .write.parquet(f"{path}/vectors"))
     return path
 
 
+def _needed(stretches, at, dist, pd, bound, error, digits):
+    """``(lo, hi, queries)`` of the stretches that some query needs; neighbouring
+    ones that all queries need are one, up to ``knn.GROUP_ROWS`` vectors."""
+    nq = len(bound)
+    held = None
+    for lo, hi in stretches:
+        q = np.arange(nq)
+        if at[lo] >= 0:
+            d, r = pd[at[lo]], dist[lo:hi]
+            least = np.maximum(d - r.max(), r.min() - d)
+            # slack for rounding: of the distances, and of the scores that are compared
+            slack = error + 1e-9 * (1 + np.abs(d) + r.max()) + np.sqrt(2 * 10.0 ** -digits)
+            q = np.flatnonzero(~(least > bound + slack))
+        if held and (len(q) < nq or hi - held[0] > knn.GROUP_ROWS):
+            yield *held, np.arange(nq)
+            held = None
+        if len(q) == nq:
+            held = (held[0] if held else lo, hi)
+        elif len(q):
+            yield lo, hi, q
+    if held:
+        yield *held, np.arange(nq)
+
+
 def _task(batches, qids, Q, P, k, metric, digits):
     """The best ``k`` per query among a task's vectors, and a last row with a
     null qid whose id is how many scores were computed."""
     nq, dim = Q.shape
     qn = np.sqrt((Q * Q).sum(axis=1))
-    pd = _distances(_unit(Q, metric), P)
-    pd[~np.isfinite(pd)] = np.nan  # a query without distances skips nothing
+    pd, error = _pivot_distances(_unit(Q, metric), P)  # a query without distances skips nothing
     bound = np.full(nq, np.inf)
     if len(P) >= k:
-        bound = np.partition(np.where(np.isnan(pd), np.inf, pd), k - 1, axis=1)[:, k - 1]
-    key, score = np.full((nq, k), np.inf), np.full((nq, k), np.nan)
-    ids, have = np.full((nq, k), _NO_ID), np.zeros((nq, k), dtype=bool)
+        bound = np.partition(np.where(np.isnan(pd), np.inf, pd), k - 1, axis=1)[:, k - 1] + error
+    pd = np.ascontiguousarray(pd.T)
+    top = knn.Top(nq, k)
     scored = 0
     for b in batches:
         at = b.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -104,42 +144,15 @@ def _task(batches, qids, Q, P, k, metric, digits):
         cuts = np.flatnonzero(np.diff(at)) + 1
         stretches = [(lo, min(lo + STRETCH, end)) for start, end in zip([0, *cuts], [*cuts, len(at)])
                      for lo in range(start, end, STRETCH)]
-        all_ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        V_all, ok_all = knn._matrix(b.column(1), dim)
-        for lo, hi in stretches:
-            q = np.arange(nq)
-            if at[lo] >= 0:
-                d, r = pd[:, at[lo]], dist[lo:hi]
-                least = np.maximum(d - r.max(), r.min() - d)
-                # slack for rounding: of the distances, and of the scores that are compared
-                slack = 1e-9 * (1 + np.abs(d) + r.max()) + np.sqrt(2 * 10.0 ** -digits)
-                q = np.flatnonzero(~(least > bound + slack))
-            if not len(q):
-                continue
-            V, ok, new_ids = V_all[lo:hi], ok_all[lo:hi], all_ids[lo:hi]
-            vn = np.sqrt((V * V).sum(axis=1))
-            s = knn._scores(Q[q], qn[q], V, vn, metric)
-            s[:, ~ok] = np.nan
-            if metric == "l2":
-                s = knn._refine(s, ~np.isnan(s), Q[q], V)
-            scored += s.size
-            s = np.round(s, digits)
-            c_key = np.concatenate([key[q], knn._order_key(s, metric)], axis=1)
-            c_score = np.concatenate([score[q], s], axis=1)
-            c_ids = np.concatenate([ids[q], np.broadcast_to(new_ids, s.shape)], axis=1)
-            c_have = np.concatenate([have[q], np.ones(s.shape, dtype=bool)], axis=1)
-            sel = knn._best(c_key, c_ids, k)
-            key[q], score[q], ids[q], have[q] = (np.take_along_axis(x, sel, axis=1) for x in (c_key, c_score, c_ids, c_have))
-            last = key[q].max(axis=1)
+        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        V, ok = knn._matrix(b.column(1), dim)
+        for lo, hi, q in _needed(stretches, at, dist, pd, bound, error, digits):
+            scored += len(q) * (hi - lo)
+            knn.add_vectors(top, Q, qn, ids[lo:hi], V[lo:hi], ok[lo:hi], metric, digits, rows=None if len(q) == nq else q)
+            last = top.key[q].max(axis=1)
             far = np.sqrt(np.maximum(last if metric == "l2" else 2 + 2 * last, 0))
             bound[q] = np.minimum(bound[q], far)
-    step = max(1, knn.EMIT_ROWS // k)
-    for lo in range(0, nq, step):
-        full = have[lo:lo + step]
-        kept = score[lo:lo + step][full]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids[lo:lo + step], full.sum(axis=1))), pa.array(ids[lo:lo + step][full]),
-             pa.array(kept, mask=np.isnan(kept))], ["qid", "id", "score"])
+    yield from knn.emit(top, qids)
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([scored], pa.int64()),
                                       pa.array([None], pa.float64())], ["qid", "id", "score"])
 
@@ -170,11 +183,10 @@ def search(queries: DataFrame, path: str, k: int, metric: str = "l2", *, qid: st
     schema = "qid long, id long, score double"
 
     def over(qids, Q):
-        pd = _distances(_unit(Q, metric), P)
-        pd = np.where(np.isfinite(pd), pd, np.nan)
+        pd, error = _pivot_distances(_unit(Q, metric), P)
         bound = np.partition(np.where(np.isnan(pd), np.inf, pd), k - 1, axis=1)[:, k - 1] if len(P) >= k \
             else np.full(len(Q), np.inf)
-        slack = 1e-6 * (1 + np.abs(np.nan_to_num(pd)).max(initial=0)) + np.sqrt(2 * 10.0 ** -digits)
+        slack = 2 * error + 1e-6 * (1 + np.abs(np.nan_to_num(pd)).max(initial=0)) + np.sqrt(2 * 10.0 ** -digits)
         need = [p for p, r in reach.items() if p is not None
                 and not (np.maximum(pd[:, p] - r.hi, r.lo - pd[:, p]) > bound + slack).all()]
         rows = vectors

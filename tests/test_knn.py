@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
-from quarry.operators import knn
+from quarry.operators import knn, manhattan
 
 
 def frames(spark, corpus_rows, query_rows):
@@ -168,3 +168,45 @@ def test_the_corpus_is_never_shuffled(spark):
                                np.arange(100_000), np.ones((100_000, 2)), np.full(100_000, 2 ** 0.5), 2, "l2", 6, "id", "vec", 2)
     sizes = [b.num_rows for b in rows]
     assert sum(sizes) == 200_000 and max(sizes) <= knn.EMIT_ROWS  # candidates leave in bounded batches
+
+
+def test_a_corpus_no_larger_than_the_queries_goes_round_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vecs = [[float(x) for x in rng.integers(0, 4, 6)] for _ in range(150)] + [None, [1.0], [0.0] * 6]  # many ties
+    c = spark.createDataFrame(list(enumerate(vecs)) + [(3, vecs[3])], "id long, vec array<double>")
+    q = spark.createDataFrame(list(enumerate(vecs[:150])) + [(k, vecs[2]) for k in range(150, 180)] + [(7, vecs[9])],
+                              "qid long, qvec array<double>")
+    for metric in ("cosine", "l2", manhattan.similarity):
+        for k in (4, 200):
+            whole = sorted(map(str, knn.nearest(q, c, k, metric).select("qid", "rank", "id", "score").collect()))
+            with monkeypatch.context() as m:
+                m.setattr(knn, "_scan", None)  # no task sends its own candidates
+                got = knn.nearest(q, c, k, metric, broadcast_limit_bytes=4000)
+                assert sorted(map(str, got.select("qid", "rank", "id", "score").collect())) == whole
+    once = knn.nearest(q.where("qid <> 7"), c, 4, broadcast_limit_bytes=4000)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()  # nothing is ranked again
+
+
+def test_only_pairs_near_the_best_are_scored_exactly(monkeypatch):
+    rng = np.random.default_rng(6)
+    V, Q = rng.normal(size=(9000, 16)), rng.normal(size=(50, 16))
+    exact, scored = knn._pair_scores, []
+    monkeypatch.setattr(knn, "_pair_scores", lambda r, *rest: (scored.append(len(r)), exact(r, *rest))[1])
+    for metric in ("l2", "cosine", manhattan.similarity):
+        scored.clear()
+        top = knn.Top(len(Q), 5)
+        for lo in range(0, 9000, 3000):
+            knn.add_vectors(top, Q, np.sqrt((Q * Q).sum(axis=1)), np.arange(lo, lo + 3000), V[lo:lo + 3000], np.ones(3000, dtype=bool), metric, 6)
+        assert top.have.all() and sum(scored) < 50 * 9000 / 50
+        if callable(metric):
+            best = np.argsort(-np.round(metric(Q, V), 6), axis=1, kind="stable")[:, :5]
+            assert (np.sort(top.ids, axis=1) == np.sort(best, axis=1)).all()
+
+
+@pytest.mark.parametrize("dim", [1, 3, 64, 3000])
+def test_approximate_manhattan_is_within_its_error(dim):
+    rng = np.random.default_rng(dim)
+    for Q, V in ((rng.normal(size=(9, dim)), rng.normal(size=(70, dim)) * 5 + 100), (np.ones((2, dim)), np.ones((3, dim)))):
+        got, error = manhattan.approximate(Q, V)
+        want = -np.abs(Q[:, None, :] - V[None, :, :]).sum(axis=2)
+        assert np.allclose(manhattan.similarity(Q, V), want) and np.abs(got - want).max() <= error + 1e-9

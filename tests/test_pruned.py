@@ -1,6 +1,8 @@
 """The pivot index returns the rows of the plain scan, and skips vectors."""
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.operators import knn, pruned
@@ -56,3 +58,26 @@ def test_empty_tables_and_wrong_width(spark):
     nothing = pruned.build(corpus.limit(0), scratch_path(spark, "pruned-test"))
     ranking, report = pruned.search(queries, nothing, 3)
     assert ranking.count() == 0 and tuple(report.first()) == (0, 0, 0)
+
+
+def test_a_small_index_is_searched_by_all_cores(spark):
+    corpus = spark.createDataFrame(list(enumerate(clustered(3, 2000))), CORPUS)
+    path = pruned.build(corpus, scratch_path(spark, "pruned-test"))
+    files = spark.read.parquet(f"{path}/vectors").inputFiles()
+    assert len(files) >= spark.sparkContext.defaultParallelism
+
+
+def test_a_search_scores_few_pairs_exactly(monkeypatch):
+    rng = np.random.default_rng(9)
+    V, Q = rng.normal(size=(4000, 16)), rng.normal(size=(40, 16))
+    P = V[:20]
+    exact, scored = knn._pair_scores, []
+    monkeypatch.setattr(knn, "_pair_scores", lambda r, *rest: (scored.append(len(r)), exact(r, *rest))[1])
+    d = pruned._distances(V, P)
+    at = np.lexsort((d.min(axis=1), d.argmin(axis=1)))
+    rows = pa.RecordBatch.from_arrays([pa.array(at), pa.array(V[at].tolist()), pa.array(d.argmin(axis=1)[at].astype(np.int32)),
+                                       pa.array(d.min(axis=1)[at])], ["id", "vec", "pivot", "dist"])
+    out = pa.Table.from_batches(pruned._task(iter([rows]), np.arange(40), Q, P, 5, "l2", 6))
+    want = pruned._distances(Q, V).argsort(axis=1)[:, :5]
+    assert sorted(x for x in out["id"].to_pylist()[:-1]) == sorted(want.ravel().tolist())
+    assert sum(scored) < 40 * 4000 / 10
