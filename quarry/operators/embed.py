@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import small_batches
 
 DEFAULT_DIM = 64
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20  # Arrow batches of texts
+STEP_TOKENS = 1 << 18  # tokens that a task counts at once
 
 
 def token_bucket(tok, dim: int = DEFAULT_DIM):
@@ -33,34 +37,54 @@ def token_bucket(tok, dim: int = DEFAULT_DIM):
     return (h % F.lit(dim)).cast("int")
 
 
+@lru_cache(maxsize=1 << 16)
 def _bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8", "replace")).hexdigest()[:8], 16) % dim
 
 
+def _steps(sizes):
+    """``(first row, rows)`` of stretches of at most ``STEP_TOKENS`` tokens."""
+    lo = held = 0
+    for k, n in enumerate(sizes):
+        if k > lo and held + n > STEP_TOKENS:
+            yield lo, k - lo
+            lo, held = k, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes) - lo
+
+
+def _counted(lists, sizes, dim: int) -> np.ndarray:
+    """Tokens per bucket of each list."""
+    words = pc.dictionary_encode(lists.flatten())
+    buckets = np.array([_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    at = rows * dim + buckets[words.indices.to_numpy(zero_copy_only=False)] if len(rows) else rows
+    return np.bincount(at, minlength=len(sizes) * dim).reshape(len(sizes), dim).astype(np.float64)
+
+
 def hashed_embedding(df: DataFrame, id_col: str = "id", text_col: str = "text",
                      dim: int = DEFAULT_DIM, out_col: str = "embedding",
                      carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, carry..., embedding array<double>)``, one row per input row (zero
     vector for a text without tokens); rows that share an id stay apart.
 
-    Tokens are cut by Spark; each Arrow batch hashes its distinct tokens once
-    and counts buckets with one NumPy histogram.  No shuffle.  ``carry`` names
-    columns that travel beside the vector.
+    Tokens are cut by Spark; each step of at most ``STEP_TOKENS`` tokens (one
+    row at least) hashes its distinct tokens and counts buckets with one NumPy
+    histogram, so a task's memory follows neither the table nor its partitions.
+    No shuffle.  ``carry`` names columns that travel beside the vector.
     """
+    small_batches(df.sparkSession, BATCH_ROWS, BATCH_BYTES)
     src = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)],
                     tokens(F.lower(F.col(text_col))).alias("_t"))
 
     def run(batches):
         for b in batches:
-            lists = b.column(b.num_columns - 1)
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            words = pc.dictionary_encode(lists.flatten())
-            buckets = np.array([_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
-            rows = np.repeat(np.arange(b.num_rows), sizes)
-            at = rows * dim + buckets[words.indices.to_numpy(zero_copy_only=False)] if len(rows) else rows
-            counts = np.bincount(at, minlength=b.num_rows * dim).reshape(b.num_rows, dim).astype(np.float64)
-            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            vecs = counts / np.where(norm > 0, norm, 1.0)
+            sizes = pc.list_value_length(b.column(b.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False)
+            vecs = np.concatenate([_counted(b.column(b.num_columns - 1).slice(lo, n), sizes[lo:lo + n], dim)
+                                   for lo, n in _steps(sizes)] or [np.zeros((0, dim))])
+            norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
+            vecs /= np.where(norm > 0, norm, 1.0)
             out = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * dim + 1, dim), pa.int32()),
                                            pa.array(vecs.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], [*b.schema.names[:-1], "_v"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.operators import embed, knn
@@ -31,3 +32,17 @@ def test_rows_with_one_id_keep_their_own_vectors(spark):
     assert len(rows) == 4 and len({tuple(r.embedding) for r in rows if r.id == 1}) == 2
     assert all(sum(r.embedding) == 0 for r in rows if r.id in (2, 3))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_travel_in_small_batches_and_are_counted_in_steps(spark, monkeypatch):
+    texts = [(k, " ".join(f"w{(k * j) % 97}" for j in range(k % 60))) for k in range(700)] + [(700, None), (701, "a " * 500)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    whole = sorted(embed.hashed_embedding(df).collect())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= embed.BATCH_ROWS
+    monkeypatch.setattr(embed, "STEP_TOKENS", 100)
+    sizes = [0, 40, 70, 0, 500, 3, 0]
+    assert list(embed._steps(sizes)) == [(0, 2), (2, 2), (4, 1), (5, 2)]
+    words = [[f"w{j % 7}" for j in range(n)] for n in sizes]
+    parts = [embed._counted(pa.array(words[lo:lo + n], pa.list_(pa.string())), np.array(sizes[lo:lo + n]), 64)
+             for lo, n in embed._steps(sizes)]
+    assert (np.concatenate(parts).sum(axis=1) == sizes).all() and len(whole) == 702
