@@ -37,25 +37,34 @@ MAX_WORDS = 400_000
 SPACE = "▁"
 
 
-class State:
-    __slots__ = ("borders", "next")
+class State(dict):
+    """Character -> the next state and the tokens emitted, compiled when first met."""
 
-    def __init__(self, borders):
-        self.borders = borders
-        self.next = {}
+    __slots__ = ("borders", "machine")
+
+    def __init__(self, borders, machine):
+        self.borders, self.machine = borders, machine
+
+    def __missing__(self, c):
+        return self.machine._step(self, c)
 
 
 class _Words(dict):
-    """Counts of whole words (a space mark and what follows) from the start state."""
+    """Counts of whole words (a space mark and what follows) from the start state.
+    Of a full table, the words that were met since the table before are kept."""
 
     def __init__(self, machine):
         super().__init__()
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, word):
-        if len(self) >= MAX_WORDS:
+        n = self.older.get(word)
+        if n is None:
+            n = self.machine.run(self.machine.start, SPACE + word)[1]
+        if len(self) >= MAX_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        n = self[word] = self.machine.run(self.machine.start, SPACE + word)[1]
+        self[word] = n
         return n
 
 
@@ -81,7 +90,7 @@ class Transducer:
     def _state(self, borders) -> State:
         s = self.states.get(borders)
         if s is None:
-            s = self.states[borders] = State(borders)
+            s = self.states[borders] = State(borders, self)
         return s
 
     def merged(self, text: str) -> list[str]:
@@ -129,18 +138,15 @@ class Transducer:
                 raise AssertionError("no piece ends here")
             grown = [(b + c, before, since + emitted) for b, before, since in borders if b + c in self.prefixes]
             out = self._state((*grown, ("", piece, 0))), emitted
-        state.next[c] = out
+        state[c] = out
         return out
 
     def run(self, state: State, text: str) -> tuple[State, int]:
         """The state after ``text`` and the tokens emitted."""
         total = 0
         for c in text:
-            t = state.next.get(c)
-            if t is None:
-                t = self._step(state, c)
-            state = t[0]
-            total += t[1]
+            state, n = state[c]
+            total += n
         return state, total
 
     # ------------------------------------------------------ chunk state maps

@@ -115,3 +115,15 @@ def test_spaceless_text_of_ten_million_characters(unit, monkeypatch):
     assert sum(ran) == len(text) + 1
     assert len(heads) == -(-(len(text) + 1) // tokens.CHUNK_CHARS) and max(heads) == 0
     assert 0 < n <= 4 * len(text)
+
+
+def test_frequent_words_outlive_a_full_table(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
+    m = tokens.Transducer(tokens.load_transducer().pieces)
+    ran, run = [], m.run
+    m.run = lambda state, text: (ran.append(text), run(state, text))[1]
+    for k in range(100):
+        assert m.words["frequent"] == m.words["often"] + run(m.start, "▁frequent")[1] - run(m.start, "▁often")[1]
+        m.words[f"rare{k}"]
+        assert len(m.words) + len(m.words.older) <= 20
+    assert ran.count("▁frequent") == ran.count("▁often") == 1 and len(ran) == 102
