@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 from . import embed, knn
 
 # Prompt formats (every join falls on white space).
@@ -125,8 +126,9 @@ def first_lines(questions: DataFrame, corpus: DataFrame, qid: str = "qid", quest
     q = questions.select(F.col(qid).alias("qid"), F.col(question).alias("question"))
     c = corpus.select(F.col(cid).alias("id"), F.col(text).alias("text"))
     ce = corpus_vectors if corpus_vectors is not None else embed.hashed_embedding(c, "id", "text", dim)
-    top = knn.nearest(embed.hashed_embedding(q, "qid", "question", dim), ce, 1, "cosine", qid="qid", qvec="embedding",
-                      cid="id", cvec="embedding")
+    # the search reads its queries several times
+    qe = stored(embed.hashed_embedding(q, "qid", "question", dim), "question-vectors")
+    top = knn.nearest(qe, ce, 1, "cosine", qid="qid", qvec="embedding", cid="id", cvec="embedding")
     ranked = top.join(c, "id").select("qid", "rank", "text")
     kept = budget_prefix(ranked, q, budget, intro)
     body = F.substring(F.col("article"), F.lit(len(ARTICLE_PREFIX) + 1),

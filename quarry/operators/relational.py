@@ -4,6 +4,7 @@ SQL statements with their errors captured as data."""
 from __future__ import annotations
 
 import logging
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
@@ -185,7 +186,8 @@ def _own_session(spark: SparkSession) -> SparkSession:
 
 
 def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
-              page: int = 1000, parallel: int = 4, functions: tuple[str, ...] = ()) -> DataFrame:
+              page: int = 1000, parallel: int = 4, functions: tuple[str, ...] = (),
+              results: str | None = None) -> DataFrame:
     """Run a table of SQL statements; ``(sql, ok, row_no, row_json, error)`` per
     distinct statement.
 
@@ -202,9 +204,25 @@ def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
     results are read back from storage in one scan and joined on a statement
     number, so neither the number of statements nor the size of a result has a
     limit.
+
+    ``results`` names a shared folder that calls over the same state of the
+    tables share: a statement that one of them has run, failures too, is not run
+    again.  A statement whose call was lost before it was listed is run anew.
     """
-    root = scratch_path(spark, "sql")
+    root = results or scratch_path(spark, "sql")
     own = _own_session(spark)
+    schema = f"stmt_id long, {sql_col} string, ok boolean, error string"
+    wanted = statements.select(sql_col).distinct()
+    todo = wanted
+
+    def list_(done):
+        spark.createDataFrame(done, schema).coalesce(1).write.mode("append").parquet(f"{root}/status")
+
+    list_([])
+    if results:
+        wanted = wanted.withColumnRenamed(sql_col, "of")
+        listed = spark.read.schema(schema).parquet(f"{root}/status")
+        todo = wanted.join(listed, wanted["of"].eqNullSafe(listed[sql_col]), "left_anti")
 
     def run_one(k_s):
         k, s = k_s
@@ -216,8 +234,7 @@ def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
             return k, s, False, str(e).strip() or type(e).__name__
         return k, s, True, None
 
-    texts = (r[0] for r in statements.select(sql_col).distinct().toLocalIterator())
-    numbered, schema = enumerate(texts), f"stmt_id int, {sql_col} string, ok boolean, error string"
+    numbered = ((uuid.uuid4().int >> 65, r[0]) for r in todo.toLocalIterator())
     # failures are data here, so the client-side error log is quieted
     ctx_log = logging.getLogger("SQLQueryContextLogger")
     level = ctx_log.level
@@ -228,11 +245,13 @@ def sql_batch(spark: SparkSession, statements: DataFrame, sql_col: str = "sql",
             while some := list(islice(numbered, page)):
                 done = list(pool.map(run_one, some))
                 ran = ran or any(d[2] for d in done)
-                spark.createDataFrame(done, schema).write.mode("append").parquet(f"{root}/status")
+                list_(done)
     finally:
         ctx_log.setLevel(level)
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{root}/status")
     status = spark.read.schema(schema).parquet(f"{root}/status")
-    rows = _numbered(spark.read.schema("place long, row_json string, stmt_id int").parquet(f"{root}/rows")) if ran \
-        else spark.createDataFrame([], "stmt_id int, row_no long, row_json string")
+    if results:
+        status = status.join(wanted, status[sql_col].eqNullSafe(wanted["of"]), "left_semi")
+        ran = ran or status.where("ok").limit(1).count() > 0
+    rows = _numbered(spark.read.schema("place long, row_json string, stmt_id long").parquet(f"{root}/rows")) if ran \
+        else spark.createDataFrame([], "stmt_id long, row_no long, row_json string")
     return status.join(rows, "stmt_id", "left").select(sql_col, "ok", "row_no", "row_json", "error")

@@ -170,9 +170,10 @@ def instructions_lookup(calls: DataFrame, instructions: DataFrame,
                       calls[name_col] == instructions["type"], "left").drop("type")
 
 
-def sql_tool_answer(spark: SparkSession, routed: DataFrame,
-                    max_result_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run the SQL of every ``sql`` route once per distinct statement.
+def sql_tool_answer(spark: SparkSession, routed: DataFrame, max_result_chars: int | None = None,
+                    kept: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run the SQL of every ``sql`` route once per distinct statement, also over
+    several calls that share the folder ``kept`` (see ``relational.sql_batch``).
 
     Returns ``(answers, rows)``: per call ``(conv_id, turn, call_id, ok,
     n_rows, content)``, where content is the tool message, and the whole result
@@ -182,7 +183,7 @@ def sql_tool_answer(spark: SparkSession, routed: DataFrame,
     larger result says how many rows there are, and they stay in ``rows``.
     """
     calls = routed.where(F.col("route") == "sql").select("conv_id", "turn", "call_id", F.col("reply").alias("sql"))
-    res = relational.sql_batch(spark, calls, sql_col="sql")
+    res = relational.sql_batch(spark, calls, sql_col="sql", results=kept)
     # sizes first: only results that fit a message are gathered into one
     per = res.groupBy("sql").agg(
         F.bool_and("ok").alias("ok"), F.count("row_json").alias("n_rows"), F.max("error").alias("error"),

@@ -77,3 +77,23 @@ def test_result_text_is_bounded_and_never_cut(spark):
     assert relational.result_text(df, ["k"]).first().result == '[{"k":1,"v":"x"}, {"k":2,"v":null}]'
     with pytest.raises(Exception, match="more than 1 rows"):
         relational.result_text(df, ["k"], max_rows=1).collect()
+
+
+def test_calls_that_share_their_results_run_a_statement_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1,), (2,)], "a long").createOrReplaceTempView("shared_results")
+    one, two, bad = "SELECT a FROM shared_results ORDER BY a", "SELECT 7 AS b", "SELECT nope FROM shared_results"
+    ran, write = [], relational._write_result
+    monkeypatch.setattr(relational, "_write_result", lambda s, sql, path: (ran.append(sql), write(s, sql, path)))
+
+    def batch(*texts, results=str(tmp_path / "results")):
+        res = relational.sql_batch(spark, spark.createDataFrame([(x,) for x in texts], "sql string"), results=results)
+        return sorted((r.sql, r.ok, r.row_no, r.row_json) for r in res.collect() if r.ok) + sorted(r.sql or "" for r in res.collect() if not r.ok)
+
+    first, second = batch(one, bad, None), batch(one, one, two, bad, None)
+    assert sorted(ran) == sorted([one, two, bad])
+    assert first == [(one, True, 0, '{"a":1}'), (one, True, 1, '{"a":2}'), "", bad]  # only what a call asks for
+    assert second == sorted([*first[:2], (two, True, 0, '{"b":7}')]) + ["", bad]
+    assert second == batch(one, one, two, bad, None, results=None) and batch(bad) == [bad]
+    # rows of a call that was lost before they were listed are not taken
+    write(spark, one, str(tmp_path / "results" / "rows" / "stmt_id=5"))
+    assert batch(one, two) == second[:3]

@@ -171,3 +171,21 @@ def test_answers_in_the_stream_equal_the_batch_also_after_a_lost_batch(spark, sf
     got = spark.read.schema(A.ANSWER_SCHEMA).parquet(out).select(*columns)
     want = real(tables.load(spark, sf_small, "conversations"), docs).select(*columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_all_batches_of_a_run_share_their_sql_results(spark, sf_small, monkeypatch):
+    docs = spark.createDataFrame([(1, "some text")], "id long, text string")
+    landed, index = S.landed_in_files(spark, sf_small), A.document_index(docs)
+    folders = []
+
+    def noted(conv, docs, vectors, sql_results):
+        folders.append(sql_results)
+        none = F.lit(None).cast("string")
+        return conv.select("conv_id", "turn", F.lit(0).alias("seq"), "role", none.alias("call_id"), F.col("text").alias("content"))
+
+    monkeypatch.setattr(A, "replies", noted)
+    for _ in range(2):
+        A.run_answers(S.conversation_stream(spark, landed, S.files_per_class(spark)), index,
+                      scratch_path(spark, "answers"), scratch_path(spark, "answers-ckpt"))
+    assert len(folders) == 2 * 4 and None not in folders
+    assert len(set(folders[:4])) == len(set(folders[4:])) == 1 and folders[0] != folders[4]  # a new run asks anew
