@@ -13,10 +13,11 @@ MAX_ROUNDS = 60
 def _with_minimum(pairs: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, m): m is the least of u and its partners.  The minimum
     is combined in each task first, so a hub is no hot key there; the join back
-    on u is a plain sort-merge join that adaptive execution splits if skewed."""
+    on u is a plain sort-merge join, whatever Spark takes the tables' sizes for,
+    that adaptive execution splits if skewed."""
     m = pairs.groupBy("u").agg(F.min("v").alias("least"))
     m = m.select("u", F.least("u", "least").alias("m"))
-    return pairs.join(m, "u")
+    return pairs.join(m.hint("merge"), "u")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

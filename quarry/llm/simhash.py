@@ -133,7 +133,7 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
     any_hot = not hot.isEmpty()
     if any_hot:
         # written, so that adaptive execution may split a hot value's rows
-        entries = stored(entries.join(hot, ["seg", "key"], "left"), "segments")
+        entries = stored(entries.join(hot.hint("merge"), ["seg", "key"], "left"), "segments")
     cold = entries.where("hot is null") if any_hot else entries
     buckets = cold.groupBy("seg", "key").agg(F.collect_list("fp").alias("found"))
     def ball(s, mask, flips):
@@ -143,7 +143,8 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
     balls = [ball(s, *table) for s, table in enumerate(search_plan(max_distance, segments))]
     lookups = fps.select("fp", F.explode(F.concat(*balls)).alias("k")).select("k.seg", "k.key", "fp")
     near = F.expr(f"filter(found, x -> x != fp and bit_count(x ^ fp) <= {int(max_distance)})")
-    out = lookups.join(buckets, ["seg", "key"]).select(F.col("fp").alias("u"), F.explode(near).alias("v"))
+    # Spark sizes the lookups as if each fingerprint had one: never broadcast
+    out = lookups.join(buckets.hint("merge"), ["seg", "key"]).select(F.col("fp").alias("u"), F.explode(near).alias("v"))
     if any_hot:
         out = out.unionByName(_half_way(entries.where("hot").select("fp").distinct(), max_distance))
     return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -179,14 +180,15 @@ def _components(rows: DataFrame, max_distance: int, segments: int) -> DataFrame:
 
     Rows meet by fingerprint only in aggregates that combine in each task; the
     table is written, so that joining rows to it is a join of two plain scans,
-    whose hot fingerprints adaptive execution can split."""
+    whose hot fingerprints adaptive execution can split.  No join broadcasts a
+    table: all of them grow with the input, and the driver's memory does not."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     nodes = stored(rows.groupBy("fp").agg(F.min(rank).alias("first"), F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), max_distance, segments))
-    known = nodes.join(roots, nodes.fp == roots.u, "left").select(
+    known = nodes.join(roots.hint("merge"), nodes.fp == roots.u, "left").select(
         "fp", "first", "least", F.coalesce("root", "fp").alias("root"))
     best = known.groupBy("root").agg(F.min("first").alias("best"), F.min("least").alias("component_id"))
-    return stored(known.join(best, "root").select("fp", "best", "component_id"), "components")
+    return stored(known.join(best.hint("merge"), "root").select("fp", "best", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     found = _components(rows, max_distance, segments)
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(found.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -220,7 +222,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts cross the network once."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     found = _components(rows, max_distance, segments)
-    of = rows.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(found, "fp")
+    of = rows.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).join(found.hint("merge"), "fp")
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     of = stored(of.select("doc_id", "text_key", "n", same.alias("stays")), "decisions")
     gone_id, gone_key, own_key = fresh(docs, "gone_id", "gone_key", "own_key")

@@ -144,3 +144,24 @@ def test_hot_buckets_lose_no_component(spark):
         assert {tuple(r) for r in found.collect()} <= edges
         roots = {r.u: r.root for r in components(found).collect()}
         assert {f: roots.get(f, f) for f in fps} == {f: find(f) for f in fps}
+
+
+def test_no_join_broadcasts_a_table(spark, sf_small, monkeypatch):
+    """All tables of the joins grow with the input; Spark sizes the lookups 34 times too low."""
+    from quarry.llm import base, graph
+    plans = []
+
+    def plan(name, df):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+
+    def recorded(df, name):
+        plan(name, df)
+        return base.stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", recorded)
+    monkeypatch.setattr(graph, "stored", recorded)
+    plan("rows", simhash.near_duplicates(load(spark, sf_small, "documents")))
+    fps = base.stored(spark.createDataFrame([(f,) for f in range(40)], "fp long"), "few")
+    plan("links", simhash.links(fps, 2, bucket=4))  # with hot buckets
+    assert {n for n, p in plans if "SortMergeJoin" in p} == {"cc", "components", "rows", "segments", "links"}
+    assert not [n for n, p in plans if "Broadcast" in p]
