@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators import knn, manhattan
+from quarry.plans.queries import QUERIES
 
 
 def frames(spark, corpus_rows, query_rows):
@@ -187,6 +188,59 @@ def test_a_corpus_no_larger_than_the_queries_goes_round_in_blocks(spark, monkeyp
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()  # nothing is ranked again
 
 
+def test_sort_relatedness_ranks_the_whole_corpus(spark, tmp_path):
+    """More vectors than any top n keeps, in order, with ties by id."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)], 0) for i in range(130)]
+    rows[7] = (7, [0.0] * 4, 0)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    V = np.array([r[1] for r in rows])
+    n = np.sqrt((V * V).sum(axis=1))
+    with np.errstate(invalid="ignore"):
+        s = np.round(V @ V.T / np.outer(n, n), 6)
+    want = {q: sorted(range(130), key=lambda i: (np.isnan(s[q, i]), -s[q, i] if s[q, i] == s[q, i] else 0, i)) for q in range(130)}
+    got = {}
+    for r in QUERIES["sort_relatedness"](spark, str(tmp_path)).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+        assert r.rank == len(got[r.qid])
+        assert r.score == pytest.approx(s[r.qid, r.id], abs=1e-6) if r.score is not None else np.isnan(s[r.qid, r.id])
+    assert got == want
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 2000])
+def test_a_whole_ranking_is_that_of_nearest_without_a_cut(spark, limit):
+    rng = np.random.default_rng(6)
+    vecs = [[float(x) for x in rng.integers(0, 4, 6)] for _ in range(70)] + [None, [1.0], [0.0] * 6]  # many ties
+    c = spark.createDataFrame([*enumerate(vecs), (3, vecs[3]), (-4, vecs[8])], "id long, vec array<double>")
+    q = spark.createDataFrame([*enumerate(vecs[:20]), (7, vecs[9])], "qid long, qvec array<double>")
+    for metric in ("cosine", "l2", manhattan.similarity):
+        whole = sorted(map(str, knn.nearest(q, c, 200, metric).select("qid", "rank", "id", "score").collect()))
+        got = knn.ranking(q, c, metric, broadcast_limit_bytes=limit)
+        assert sorted(map(str, got.select("qid", "rank", "id", "score").collect())) == whole
+        assert len(whole) == 21 * 75
+    assert knn.ranking(q, c.limit(0), broadcast_limit_bytes=limit).count() == 0
+    assert knn.ranking(q.limit(0), c, broadcast_limit_bytes=limit).count() == 0
+    last = knn.ranking(q.limit(1), c.unionByName(c.where("id = 5").selectExpr("cast(null as long) id", "vec")),
+                       broadcast_limit_bytes=limit).where("id is null").collect()
+    assert len(last) == 1  # an id may be null; it follows those of its score
+    with pytest.raises(ValueError):
+        knn.ranking(q.unionByName(q.limit(1).selectExpr("qid", "cast(null as array<double>) qvec")), c)
+
+
+def test_a_ranking_of_a_broadcast_corpus_shuffles_no_pair(spark):
+    c = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id long, vec array<double>")
+    plan = knn.ranking(c.toDF("qid", "qvec"), c)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")] and "Window" not in plan
+
+
+def test_rows_are_sorted_alike_as_integers_and_as_floats():
+    rng = np.random.default_rng(1)
+    key = np.round(rng.normal(size=(5, 400)), 2)
+    key[:, ::9] = np.inf
+    for k in (key, key * 1e14, key[:, :1]):
+        assert (knn._in_order(k, 2) == np.argsort(k, axis=1, kind="stable")).all()
+
+
 def test_only_pairs_near_the_best_are_scored_exactly(monkeypatch):
     rng = np.random.default_rng(6)
     V, Q = rng.normal(size=(9000, 16)), rng.normal(size=(50, 16))
